@@ -141,11 +141,15 @@ def _unit_nodes(panels: int, order: int) -> tuple[tuple[float, float], ...]:
     return tuple((float(a), float(b)) for a, b in out)
 
 
-def quadrature(fn, panels: int = 5, order: int = 20) -> Column:
-    """Integral of fn over [0, 1]; the node table is one folded literal."""
+def node_table(panels: int = 5, order: int = 20) -> Column:
+    """Gauss-Legendre nodes x and weights w on [0, 1] as one folded literal."""
     pairs = ",".join(f"named_struct('x',{a!r}D,'w',{b!r}D)" for a, b in _unit_nodes(panels, order))
-    nodes = F.expr(f"array({pairs})")
-    return F.aggregate(nodes, F.lit(0.0), lambda acc, nd: acc + nd["w"] * fn(nd["x"]))
+    return F.expr(f"array({pairs})")
+
+
+def quadrature(fn, panels: int = 5, order: int = 20) -> Column:
+    """Integral of fn over [0, 1]."""
+    return F.aggregate(node_table(panels, order), F.lit(0.0), lambda acc, nd: acc + nd["w"] * fn(nd["x"]))
 
 
 def gamma_half_ratio(a: Column) -> Column:

@@ -143,7 +143,9 @@ def unit_metrics(
             aggs.append(F.max(F.when(cond, 1.0).otherwise(0.0)).alias(m.name))
             zero.append(m.name)
             continue
-        agg = m.type if m.type in AGGREGATES else m.aggregate
+        # A type that names an aggregate (count, sum, avg, ...) is its own fold;
+        # "mean" and "ratio" say how units combine and fold by `aggregate`.
+        agg = m.type if m.type in AGGREGATES and m.type not in TEST_OF_TYPE else m.aggregate
         aggs.append(_fold(agg, m.numerator, m.filter).alias(m.name))
         if agg in ("sum", "count", "count_distinct"):
             zero.append(m.name)

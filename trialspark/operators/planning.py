@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import MARGINAL_DAYS, RATIO_LARGE_N, RATIO_VIABLE_N, VIABLE_DAYS
-from ..functions.columns import div, num
-from ..functions.distributions import norm_sf, quadrature, t_quantile, z_value
+from ..functions.columns import div, let, num
+from ..functions.distributions import node_table, norm_sf, t_quantile, z_value
 
 C = F.col
 
@@ -75,24 +75,36 @@ def t_power(n: Column, d: Column, alpha: float) -> Column:
     Conditional on the pooled scale s the statistic is normal, so power is the
     mean of two normal tails over the density of s (chi / sqrt(df)).
     """
-    df = 2 * n - 2
-    crit = t_quantile(1 - alpha / 2, df)
-    shift = d * F.sqrt(n / 2)
+    return let(
+        {"n": n, "d": d},
+        lambda r: _t_power(2 * r["n"] - 2, r["d"] * F.sqrt(r["n"] / 2), alpha),
+    )
+
+
+def _t_power(df: Column, shift: Column, alpha: float) -> Column:
     spread = F.lit(9.0) / F.sqrt(2 * df)
     lo = F.greatest(F.lit(0.0), 1 - spread)
     hi = 1 + spread * 1.5 + F.when(df < 20, F.lit(3.0)).otherwise(F.lit(0.0))
+    ends = {
+        "df": df, "shift": shift, "lo": lo, "width": hi - lo,
+        "crit": t_quantile(1 - alpha / 2, df),
+    }
 
-    def integrand(u: Column) -> Column:
-        s = lo + (hi - lo) * u
-        log_density = df * F.log(s) - df * (s * s - 1) / 2 - F.log(s)
-        tails = norm_sf(crit * s - shift) + norm_sf(crit * s + shift)
-        return F.exp(log_density) * tails
+    def body(r: Column) -> Column:
+        def node(acc: Column, nd: Column) -> Column:
+            def add(v: Column) -> Column:
+                s, w = v["s"], v["w"]
+                tails = norm_sf(r["crit"] * s - r["shift"]) + norm_sf(r["crit"] * s + r["shift"])
+                return F.struct((acc["m"] + w).alias("m"), (acc["p"] + w * tails).alias("p"))
 
-    def mass(u: Column) -> Column:
-        s = lo + (hi - lo) * u
-        return F.exp(df * F.log(s) - df * (s * s - 1) / 2 - F.log(s))
+            s = r["lo"] + r["width"] * nd["x"]
+            weight = nd["w"] * F.exp((r["df"] - 1) * F.log(s) - r["df"] * (s * s - 1) / 2)
+            return let({"s": s, "w": weight}, add)
 
-    return quadrature(integrand, 4, 20) / quadrature(mass, 4, 20)
+        start = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("p"))
+        return F.aggregate(node_table(4, 20), start, node, lambda acc: div(acc["p"], acc["m"]))
+
+    return let(ends, body)
 
 
 def power_mean(
@@ -203,20 +215,26 @@ def detectable_effect_mean(
 ) -> DataFrame:
     """Smallest detectable mean change for a fixed n: secant steps on t-test power."""
     few = C(n) < 2
-    size = F.when(~few, C(n).cast("double"))
-    scale = F.sqrt(div(F.lit(2.0), size))
-    start = F.lit(_two_sided_shift(z_value(1 - alpha / 2), power)) * scale * (1 + div(F.lit(1.0), size))
-    state = F.struct(
-        (start * 0.98).alias("a"), t_power(size, start * 0.98, alpha).alias("fa"), start.alias("b")
-    )
+    shift = _two_sided_shift(z_value(1 - alpha / 2), power)
+
+    def solve(r: Column) -> Column:
+        def secant(acc: Column, _: Column) -> Column:
+            def move(v: Column) -> Column:
+                slope = div(v["fb"] - acc["fa"], acc["b"] - acc["a"])
+                jump = F.coalesce(div(F.lit(power) - v["fb"], slope), F.lit(0.0))
+                return F.struct(acc["b"].alias("a"), v["fb"].alias("fa"), (acc["b"] + jump).alias("b"))
 
-    def secant(acc: Column, _: Column) -> Column:
-        fb = t_power(size, acc["b"], alpha)
-        slope = div(fb - acc["fa"], acc["b"] - acc["a"])
-        nxt = acc["b"] + F.coalesce(div(F.lit(power) - fb, slope), F.lit(0.0))
-        return F.struct(acc["b"].alias("a"), fb.alias("fa"), nxt.alias("b"))
+            return let({"fb": t_power(r["n"], acc["b"], alpha)}, move)
 
-    d = F.aggregate(F.sequence(F.lit(1), F.lit(6)), state, secant, lambda acc: acc["b"])
+        near = r["start"] * 0.98
+        state = F.struct(
+            near.alias("a"), t_power(r["n"], near, alpha).alias("fa"), r["start"].alias("b")
+        )
+        return F.aggregate(F.sequence(F.lit(1), F.lit(6)), state, secant, lambda acc: acc["b"])
+
+    size = F.when(~few, C(n).cast("double"))
+    start = F.lit(shift) * F.sqrt(div(F.lit(2.0), size)) * (1 + div(F.lit(1.0), size))
+    d = let({"n": size, "start": start}, solve)
     step = df.withColumns({"error": F.when(few, "insufficient_data"), "cohens_d": F.when(~few, d)})
     return step.withColumn("mde_absolute", C("cohens_d") * C(std))
 

@@ -14,6 +14,8 @@ from ..sources.readers import read_tables
 C = F.col
 EXPOSURE = "1998-01-01"
 HORIZON_DAYS = 180
+# Ends of the first and start of the last third of the exposure window.
+FIRST_THIRD, LAST_THIRD = "1999-03-15", "2000-05-27"
 
 
 def arm_of(key: str):
@@ -65,12 +67,17 @@ def customer_units(spark: SparkSession, sf: str) -> DataFrame:
         .agg(
             F.sum(F.when(at < start, amount).otherwise(0.0)).alias("pre_value"),
             F.sum(F.when(at >= start, amount).otherwise(0.0)).alias("value"),
+            F.sum(
+                F.when((at >= start) & (at < F.lit(FIRST_THIRD).cast("timestamp")), amount).otherwise(0.0)
+            ).alias("early_value"),
+            F.sum(F.when(at >= F.lit(LAST_THIRD).cast("timestamp"), amount).otherwise(0.0)).alias("late_value"),
             F.count(F.when(at >= start, 1)).alias("orders"),
             F.max(F.when((at >= start) & (at < end), 1).otherwise(0)).alias("converted"),
         )
     )
     return join_units_zero_filled(
-        assign, folded, ["unit_id"], ["pre_value", "value", "orders", "converted"]
+        assign, folded, ["unit_id"],
+        ["pre_value", "value", "early_value", "late_value", "orders", "converted"],
     )
 
 

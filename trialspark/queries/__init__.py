@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import tests_of_effect, ratio_and_bayes  # noqa: F401, I001
+from . import data_prep, decisions, files_and_streams, ratio_and_bayes, tests_of_effect  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

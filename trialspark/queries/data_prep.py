@@ -1,0 +1,489 @@
+"""Preparation, joins, profiling, discovery, text and metric-compiler queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..fixed_values import DATE_FORMATS, PURPOSE_ROW_LIMITS, REDACTIONS
+from ..functions.columns import rnd
+from ..functions.text import date_format_of, redact_text, redact_with_counts
+from ..operators import joins, metrics as mx, prep, profile as pf
+from ..plans.experiments import (
+    customer_assignment, customer_units, event_assignment, event_facts, exposed_events, order_facts,
+)
+from ..sources.readers import read_tables
+from . import sql as S
+from .registry import query
+from .tests_of_effect import K, _rounded
+
+C = F.col
+
+
+def _dirty(spark, sf):
+    """Orders as experiment rows with a missing arm, a text metric and an id."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return o.select(
+        "o_orderkey",
+        F.when(C("o_orderkey") % 10 == 0, None).when(C("o_orderkey") % 2 == 0, "control").otherwise("treatment").alias("variant"),
+        F.when(C("o_orderkey") % 7 == 0, "n/a").otherwise(C("o_custkey").cast("string")).alias("score"),
+        C("o_totalprice").alias("revenue"),
+        "o_orderpriority",
+        C("o_orderdate").cast("timestamp").alias("ordered_at"),
+    )
+
+
+DIRTY = """dirty AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'control' ELSE 'treatment' END AS variant,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE CAST(o_custkey AS VARCHAR) END AS score, o_totalprice AS revenue, o_orderpriority, o_orderdate AS ordered_at FROM orders)"""
+
+
+@query("drop_missing_arm", f"WITH {DIRTY} SELECT variant, count(*) AS n FROM dirty WHERE variant IS NOT NULL GROUP BY variant")
+def q_drop(spark, sf):
+    return prep.drop_missing_arm(_dirty(spark, sf), "variant").groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("coerce_numeric", f"""WITH {DIRTY} SELECT variant, count(score) - count(TRY_CAST(score AS DOUBLE)) AS n_coerced, {S.rnd('sum(TRY_CAST(score AS DOUBLE))', 2)} AS total FROM dirty GROUP BY variant""")
+def q_coerce(spark, sf):
+    d = _dirty(spark, sf).withColumn("raw", C("score"))
+    c = prep.coerce_numeric(d, ["score"])
+    return c.groupBy("variant").agg((F.count("raw") - F.count("score")).alias("n_coerced"), rnd(F.sum("score"), 2).alias("total"))
+
+
+@query("winsorize", f"""WITH q AS (SELECT quantile_cont(o_totalprice, 0.01) AS lo, quantile_cont(o_totalprice, 0.99) AS hi FROM orders)
+SELECT o_orderkey, {S.rnd('least(greatest(o_totalprice, lo), hi)', 3)} AS clipped FROM orders, q""")
+def q_winsorize(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice")
+    return prep.winsorize(o, "o_totalprice").select("o_orderkey", rnd("o_totalprice", 3).alias("clipped"))
+
+
+@query("winsorize_spec", f"""WITH q AS (SELECT quantile_cont(l_extendedprice, 0.05) AS lo, quantile_cont(l_extendedprice, 0.95) AS hi, quantile_cont(l_quantity, 0.1) AS ql, quantile_cont(l_quantity, 0.9) AS qh FROM lineitem)
+SELECT l_returnflag, count(*) AS n, {S.rnd('sum(least(greatest(l_extendedprice, lo), hi))', 1)} AS price, {S.rnd('sum(least(greatest(l_quantity, ql), qh))', 1)} AS quantity FROM lineitem, q GROUP BY l_returnflag""")
+def q_winsorize_spec(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_returnflag", "l_extendedprice", "l_quantity")
+    w = prep.winsorize_spec(li, {"l_extendedprice": (0.05, 0.95), "l_quantity": (0.1, 0.9), "absent": (0.0, 0.9)})
+    return w.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("l_extendedprice"), 1).alias("price"),
+                                         rnd(F.sum("l_quantity"), 1).alias("quantity"))
+
+
+@query("prepare", f"""WITH {DIRTY}, kept AS (SELECT *, TRY_CAST(score AS DOUBLE) AS s FROM dirty WHERE variant IS NOT NULL),
+q AS (SELECT quantile_cont(revenue, 0.0) AS lo, quantile_cont(revenue, 0.95) AS hi FROM kept)
+SELECT variant, o_orderpriority, count(*) AS n, count(s) AS n_score, {S.rnd('sum(least(greatest(revenue, lo), hi))', 1)} AS revenue FROM kept, q GROUP BY ALL""")
+def q_prepare(spark, sf):
+    p = prep.prepare(_dirty(spark, sf), "variant", ["score", "revenue"], ["o_orderpriority"], {"revenue": (0.0, 0.95)})
+    return p.groupBy("variant", "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.count("score").alias("n_score"), rnd(F.sum("revenue"), 1).alias("revenue"))
+
+
+@query("prepare_audit", f"""WITH {DIRTY}, a AS (SELECT count(*) AS i, count(variant) AS o, count(*) FILTER (WHERE variant IS NOT NULL AND score IS NOT NULL AND TRY_CAST(score AS DOUBLE) IS NULL) AS c FROM dirty)
+SELECT i AS n_rows_input, o AS n_rows_output, i - o AS n_rows_dropped, c AS n_coerced_score, {S.rnd('(i-o)*1.0/i')} AS drop_rate,
+  'score: ' || c || ' values coerced to NULL;' || 'absent: unknown column in winsorize bounds;' || 'high drop rate' AS warnings FROM a""")
+def q_audit(spark, sf):
+    a = prep.prepare_audit(_dirty(spark, sf), "variant", ["score", "revenue"], {"revenue": (0, .95), "absent": (0, 1)})
+    return a.select("n_rows_input", "n_rows_output", "n_rows_dropped", "n_coerced_score", rnd("drop_rate").alias("drop_rate"),
+                    F.concat_ws(";", "warnings").alias("warnings"))
+
+
+@query("exposure_filter", f"""WITH {S.EXPOSED} SELECT arm, count(*) AS n, {S.rnd('sum(value)', 3)} AS total FROM exposed WHERE event_type = 'purchase' AND value > 20 GROUP BY arm""")
+def q_exposure_filter(spark, sf):
+    e = prep.exposure_filter(exposed_events(spark, sf), "event_type = 'purchase' AND value > 20")
+    return e.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("value"), 3).alias("total"))
+
+
+@query("exposed_filter", f"WITH {S.CUST_ASSIGN} SELECT experiment_id, arm, count(*) AS n FROM cust_assign WHERE c_acctbal > 0 AND region <> 'REGION_0' GROUP BY ALL")
+def q_exposed_filter(spark, sf):
+    a = prep.exposed_filter(customer_assignment(spark, sf), "c_acctbal > 0 AND region <> 'REGION_0'")
+    return a.groupBy("experiment_id", "arm").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cohort_window", """SELECT strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d') AS cohort_day, count(*) AS n FROM events
+WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1""")
+def q_cohort(spark, sf):
+    e = prep.cohort_window(event_facts(spark, sf), "event_at", "2024-01-05", "2024-01-20", "America/New_York")
+    return e.groupBy(F.date_format("cohort_day", "yyyy-MM-dd").alias("cohort_day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("blind_projection", f"WITH {S.CUST_ASSIGN} SELECT experiment_id, c_mktsegment, count(*) AS n FROM cust_assign GROUP BY ALL")
+def q_blind(spark, sf):
+    a = customer_assignment(spark, sf)
+    try:
+        prep.blind_projection(a)
+        raise AssertionError("arm column was not refused")
+    except prep.BlindedColumnError:
+        pass
+    b = prep.blind_projection(a, ["experiment_id", "c_mktsegment", "unit_id"])
+    return b.groupBy("experiment_id", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("purpose_limit", " UNION ALL ".join(
+    f"SELECT '{p}' AS purpose, least(count(*), {cap}) AS n FROM lineitem" for p, cap in PURPOSE_ROW_LIMITS.items()))
+def q_purpose(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey")
+    out = None
+    for p in PURPOSE_ROW_LIMITS:
+        part = prep.purpose_limit(li, p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("purpose"), "n")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@query("peek", "SELECT least(count(*), 5) AS n FROM customer")
+def q_peek(spark, sf):
+    return prep.peek(spark.read.parquet(f"{sf}/customer.parquet")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("top_k", f"""SELECT o_orderkey, {S.rnd('o_totalprice', 2)} AS o_totalprice FROM orders ORDER BY orders.o_totalprice DESC, o_orderkey LIMIT 20""")
+def q_topk(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return o.orderBy(C("o_totalprice").desc(), "o_orderkey").limit(20).select("o_orderkey", rnd("o_totalprice", 2).alias("o_totalprice"))
+
+
+@query("union_of_sources", """SELECT kind, count(*) AS n FROM (SELECT 'customer' AS kind, c_custkey AS k FROM customer UNION ALL SELECT 'supplier', s_suppkey FROM supplier) GROUP BY kind""")
+def q_union(spark, sf):
+    t = read_tables(spark, sf, ["customer", "supplier"])
+    a = t["customer"].select(F.lit("customer").alias("kind"), C("c_custkey").alias("k"))
+    b = t["supplier"].select(F.lit("supplier").alias("kind"), C("s_suppkey").alias("k"))
+    return a.unionByName(b).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- joins -----------------------------------------------------------------------
+
+@query("join_exposure", f"""WITH {S.EXPOSED} SELECT unit_id, arm, count(*) AS n_events, {S.rnd('sum(value)', 3)} AS total FROM exposed
+WHERE event_at < first_exposure_at + INTERVAL 7 DAY GROUP BY ALL""")
+def q_join_exposure(spark, sf):
+    e = exposed_events(spark, sf, 7)
+    return e.groupBy("unit_id", "arm").agg(F.count(F.lit(1)).alias("n_events"), rnd(F.sum("value"), 3).alias("total"))
+
+
+@query("join_units_zero_filled", f"""WITH {S.EXPOSED}, buy AS (SELECT unit_id, count(*) AS n FROM exposed WHERE event_type = 'purchase' AND value > 90 GROUP BY unit_id)
+SELECT unit_id, arm, coalesce(n, 0) AS n FROM event_assign LEFT JOIN buy USING (unit_id)""")
+def q_zero(spark, sf):
+    rare = exposed_events(spark, sf).where("event_type = 'purchase' AND value > 90")
+    per_unit = rare.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n"))
+    j = joins.join_units_zero_filled(event_assignment(spark, sf), per_unit, ["unit_id"], ["n"])
+    return j.select("unit_id", "arm", "n")
+
+
+@query("first_exposure", f"WITH {S.EXPOSED} SELECT unit_id, strftime(first_exposure_at, '%Y-%m-%d %H:%M:%S') AS first_exposure_at FROM first_view")
+def q_first(spark, sf):
+    return event_assignment(spark, sf).select("unit_id", F.date_format("first_exposure_at", "yyyy-MM-dd HH:mm:ss").alias("first_exposure_at"))
+
+
+@query("join_dimension", f"WITH {S.CUST_ASSIGN} SELECT region, c_mktsegment, count(*) AS n FROM cust_assign GROUP BY ALL")
+def q_dim(spark, sf):
+    return customer_assignment(spark, sf).groupBy("region", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("join_pre_period", f"""WITH pre AS (SELECT o_custkey AS unit_id, sum(o_totalprice) AS pre_value FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1),
+post AS (SELECT o_custkey AS unit_id, sum(o_totalprice) AS value FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1)
+SELECT unit_id, {S.rnd('pre_value', 2)} AS pre_value, {S.rnd('value', 2)} AS value, TRUE AS pair_complete FROM pre JOIN post USING (unit_id)""")
+def q_pre(spark, sf):
+    o = order_facts(spark, sf)
+    cut = F.lit("1998-01-01").cast("timestamp")
+    pre = o.where(C("event_at") < cut).groupBy("unit_id").agg(F.sum("amount").alias("pre_value"))
+    post = o.where(C("event_at") >= cut).groupBy("unit_id").agg(F.sum("amount").alias("value"))
+    j = joins.join_pre_period(pre, post, ["unit_id"], "pre_value", "value")
+    return j.select("unit_id", rnd("pre_value", 2).alias("pre_value"), rnd("value", 2).alias("value"), "pair_complete")
+
+
+def _conflicted(spark, sf):
+    """Assignment log in which some users flip arms on later events."""
+    ev = event_facts(spark, sf)
+    flip = (C("unit_id") % 5 == 0) & (C("event_id") % 4 == 0)
+    other = F.when(C("arm") == "control", "treatment").otherwise("control")
+    return ev.select("experiment_id", "unit_id", F.when(flip, other).otherwise(C("arm")).alias("arm"))
+
+
+CONFLICT = f"""{S.EVENTS}, conf AS (SELECT experiment_id, unit_id, CASE WHEN unit_id % 5 = 0 AND event_id % 4 = 0 THEN CASE arm WHEN 'control' THEN 'treatment' ELSE 'control' END ELSE arm END AS arm FROM ev)"""
+
+
+@query("multi_arm_conflict", f"WITH {CONFLICT} SELECT experiment_id, unit_id, count(*) AS n_rows FROM conf GROUP BY ALL HAVING count(DISTINCT arm) > 1")
+def q_conflict(spark, sf):
+    return joins.multi_arm_conflict(_conflicted(spark, sf), ["experiment_id", "unit_id"]).select("experiment_id", "unit_id", "n_rows")
+
+
+@query("exclude_conflicts", f"""WITH {CONFLICT} SELECT experiment_id, arm, count(*) AS n FROM conf
+WHERE (experiment_id, unit_id) NOT IN (SELECT (experiment_id, unit_id) FROM conf GROUP BY experiment_id, unit_id HAVING count(DISTINCT arm) > 1) GROUP BY ALL""")
+def q_exclude(spark, sf):
+    kept = joins.exclude_conflicts(_conflicted(spark, sf), ["experiment_id", "unit_id"])
+    return kept.groupBy("experiment_id", "arm").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- metrics -----------------------------------------------------------------------
+
+SPECS = [
+    {"name": "purchase_rate", "type": "proportion", "numerator": "event_id", "filter": "event_type = 'purchase'", "description": "any purchase after exposure"},
+    {"name": "revenue", "type": "mean", "numerator": "value", "aggregate": "sum", "filter": "event_type = 'purchase'", "description": "purchase value"},
+    {"name": "error_count", "type": "mean", "numerator": "event_id", "aggregate": "count", "filter": "event_type = 'error'", "description": "errors"},
+    {"name": "active_days", "type": "count_distinct", "numerator": "to_date(event_at)", "description": "days with an event"},
+    {"name": "value_per_event", "type": "ratio", "numerator": "value", "denominator": "1", "description": "value per event"},
+    {"name": "value_p50", "type": "p50", "numerator": "value", "description": "median value"},
+    {"name": "value_p95", "type": "p95", "numerator": "value", "filter": "event_type <> 'error'", "description": "tail value"},
+]
+UNITS_SQL = f"""{S.EXPOSED}, um0 AS (SELECT unit_id, max(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END) AS purchase_rate,
+  sum(value) FILTER (WHERE event_type = 'purchase') AS revenue, count(event_id) FILTER (WHERE event_type = 'error') AS error_count,
+  count(DISTINCT CAST(event_at AS DATE)) AS active_days, sum(value) AS num, count(*) AS den FROM exposed GROUP BY unit_id),
+um AS (SELECT a.experiment_id, a.unit_id, a.arm, coalesce(purchase_rate, 0) AS purchase_rate, coalesce(revenue, 0) AS revenue, coalesce(error_count, 0)*1.0 AS error_count,
+  coalesce(active_days, 0)*1.0 AS active_days, coalesce(num, 0) AS num, coalesce(den, 0)*1.0 AS den FROM event_assign a LEFT JOIN um0 USING (unit_id))"""
+
+
+def _event_facts(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select(
+        C("user_id").alias("unit_id"), C("ts").cast("timestamp").alias("event_at"), "event_id", "event_type", "value")
+
+
+def _unit_metrics(spark, sf):
+    return mx.unit_metrics(event_assignment(spark, sf), _event_facts(spark, sf), mx.metric_catalog(SPECS), K)
+
+
+@query("metric_catalog", "SELECT * FROM (VALUES ('active_days', 'count_distinct'), ('error_count', 'mean'), ('purchase_rate', 'proportion'), ('revenue', 'mean'), ('value_p50', 'p50'), ('value_p95', 'p95'), ('value_per_event', 'ratio')) v(name, type) WHERE (SELECT count(*) FROM events) > 0")
+def q_catalog(spark, sf):
+    catalog = mx.metric_catalog(SPECS)
+    rows = F.array(*[F.struct(F.lit(m.name).alias("name"), F.lit(m.type).alias("type")) for m in catalog.values()])
+    return spark.read.parquet(f"{sf}/events.parquet").agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.inline(rows))
+
+
+@query("unit_metrics", f"""WITH {UNITS_SQL} SELECT unit_id, arm, {S.rnd('purchase_rate')} AS purchase_rate, {S.rnd('revenue', 3)} AS revenue,
+  {S.rnd('error_count')} AS error_count, {S.rnd('active_days')} AS active_days, {S.rnd('num', 3)} AS num, {S.rnd('den')} AS den FROM um""")
+def q_unit_metrics(spark, sf):
+    u = _unit_metrics(spark, sf)
+    return u.select("unit_id", "arm", rnd("purchase_rate").alias("purchase_rate"), rnd("revenue", 3).alias("revenue"), rnd("error_count").alias("error_count"),
+                    rnd("active_days").alias("active_days"), rnd("value_per_event", 3).alias("num"), rnd("value_per_event__den").alias("den"))
+
+
+def _mc(name, kind, expr):
+    return f"SELECT experiment_id, arm, '{name}' AS metric, '{kind}' AS metric_type, count(*) AS n_units, {S.rnd(expr)} AS value FROM um GROUP BY ALL"
+
+
+@query("metric_compute", f"""WITH {UNITS_SQL} {_mc('purchase_rate', 'proportion', 'avg(purchase_rate)')} UNION ALL {_mc('revenue', 'mean', 'avg(revenue)')}
+UNION ALL {_mc('error_count', 'mean', 'avg(error_count)')} UNION ALL {_mc('active_days', 'count_distinct', 'avg(active_days)')} UNION ALL {_mc('value_per_event', 'ratio', 'sum(num)/sum(den)')}""")
+def q_metric_compute(spark, sf):
+    m = mx.metric_compute(_unit_metrics(spark, sf), mx.metric_catalog(SPECS), K)
+    return m.select("experiment_id", "arm", "metric", "metric_type", "n_units", rnd("value").alias("value"))
+
+
+@query("percentile_metrics", f"""WITH {S.EXPOSED} SELECT experiment_id, arm, 'value_p50' AS metric, count(value) AS n, {S.rnd('quantile_cont(value, 0.5)')} AS value FROM exposed GROUP BY ALL
+UNION ALL SELECT experiment_id, arm, 'value_p95', count(value), {S.rnd('quantile_cont(value, 0.95)')} FROM exposed WHERE event_type <> 'error' GROUP BY ALL""")
+def q_percentiles(spark, sf):
+    p = mx.percentile_metrics(event_assignment(spark, sf), _event_facts(spark, sf), mx.metric_catalog(SPECS), K)
+    return p.select("experiment_id", "arm", "metric", "n", rnd("value").alias("value"))
+
+
+def _disp_welch(name):
+    return f"{S.moments(f'm_{name}', 'um', 'experiment_id', name)}, {S.pairs(f'p_{name}', f'm_{name}', 'experiment_id')}, {S.welch(f'w_{name}', f'p_{name}')}"
+
+
+@query("metric_dispatch", f"""WITH {UNITS_SQL}, {_disp_welch('revenue')}, {_disp_welch('error_count')}, {_disp_welch('active_days')},
+{S.moments('mp', 'um', 'experiment_id', 'purchase_rate')}, {S.pairs('pp', 'mp', 'experiment_id')},
+pa AS (SELECT *, total_treatment/n_treatment - total_control/n_control AS diff, (total_control+total_treatment)/(n_control+n_treatment) AS pool FROM pp),
+pb AS (SELECT *, CASE WHEN pool IN (0, 1) THEN 0 ELSE diff/sqrt(pool*(1-pool)*(1.0/n_control+1.0/n_treatment)) END AS zz FROM pa),
+rm AS (SELECT experiment_id, arm, count(*) AS n, avg(num) AS mean_x, avg(den) AS mean_y, var_samp(num) AS var_x, var_samp(den) AS var_y, covar_samp(num, den) AS cov, sum(num) AS sum_x, sum(den) AS sum_y FROM um GROUP BY experiment_id, arm),
+{S.pairs('rp', 'rm', 'experiment_id', 'n mean_x mean_y var_x var_y cov sum_x sum_y')},
+ra AS (SELECT *, sum_x_treatment/sum_y_treatment - sum_x_control/sum_y_control AS diff, sqrt(
+ (var_x_control - 2*(sum_x_control/sum_y_control)*cov_control + power(sum_x_control/sum_y_control,2)*var_y_control)/(mean_y_control*mean_y_control*n_control) +
+ (var_x_treatment - 2*(sum_x_treatment/sum_y_treatment)*cov_treatment + power(sum_x_treatment/sum_y_treatment,2)*var_y_treatment)/(mean_y_treatment*mean_y_treatment*n_treatment)) AS se FROM rp)
+SELECT experiment_id, 'revenue' AS metric, 'mean' AS metric_type, {S.rnd('diff', 5)} AS diff, {S.rnd('p_value')} AS p_value FROM w_revenue
+UNION ALL SELECT experiment_id, 'error_count', 'mean', {S.rnd('diff', 5)}, {S.rnd('p_value')} FROM w_error_count
+UNION ALL SELECT experiment_id, 'active_days', 'mean', {S.rnd('diff', 5)}, {S.rnd('p_value')} FROM w_active_days
+UNION ALL SELECT experiment_id, 'purchase_rate', 'proportion', {S.rnd('diff', 5)}, {S.rnd(f"CASE WHEN zz = 0 THEN 1 ELSE {S.normal_two_sided('zz')} END")} FROM pb
+UNION ALL SELECT experiment_id, 'value_per_event', 'ratio', {S.rnd('diff', 5)}, {S.rnd(S.normal_two_sided('diff/se'))} FROM ra""")
+def q_dispatch(spark, sf):
+    t = mx.metric_tests(_unit_metrics(spark, sf), mx.metric_catalog(SPECS), K)
+    return t.select("experiment_id", "metric", "metric_type", rnd("diff", 5).alias("diff"), rnd("p_value").alias("p_value"))
+
+
+# --- profile and discovery -----------------------------------------------------------
+
+PROFILED = {
+    "customer": {"c_custkey": "integer", "c_name": "string", "c_nationkey": "integer", "c_acctbal": "float", "c_mktsegment": "string"},
+    "orders": {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "string", "o_totalprice": "float", "o_orderdate": "timestamp", "o_orderpriority": "string"},
+    "events": {"event_id": "integer", "ts": "timestamp", "user_id": "integer", "event_type": "string", "value": "float", "props": "string"},
+    "lineitem": {"l_orderkey": "integer", "l_quantity": "float", "l_extendedprice": "float", "l_discount": "float", "l_returnflag": "string", "l_shipdate": "timestamp"},
+    "embeddings": {"vec_id": "integer", "embedding": "unknown", "label": "integer"},
+    "documents": {"doc_id": "integer", "text": "string", "lang": "string", "source": "string", "n_chars": "integer"},
+}
+
+
+def _profile_sql(table, col, kind):
+    numeric = kind in ("integer", "float")
+    value = f"CAST({col} AS DOUBLE)" if numeric else "CAST(NULL AS DOUBLE)"
+    length = f"length({col})" if kind == "string" else "NULL"
+    lows = f"min({col}), max({col})" if kind == "string" else "NULL, NULL"
+    lo, hi = lows.split(", ", 1)
+    return f"""SELECT '{table}' AS table_name, '{col}' AS column_name, '{kind}' AS dtype, count(*) AS n_rows, {S.rnd(f'1 - count({col})*1.0/count(*)')} AS null_rate,
+ count(DISTINCT {col}) AS n_distinct, {lo} AS min_text, {hi} AS max_text, {S.rnd(f'min({value})', 4)} AS min_number, {S.rnd(f'max({value})', 4)} AS max_number,
+ {S.rnd(f'quantile_cont({value}, 0.25)', 4)} AS q25, {S.rnd(f'quantile_cont({value}, 0.5)', 4)} AS q50, {S.rnd(f'quantile_cont({value}, 0.75)', 4)} AS q75,
+ {S.rnd(f'avg({value})', 4)} AS mean, {S.rnd(f'stddev_samp({value})', 4)} AS stddev, CAST(min({length}) AS INTEGER) AS min_length, CAST(max({length}) AS INTEGER) AS max_length FROM {table}"""
+
+
+@query("profile_columns", " UNION ALL ".join(_profile_sql(t, c, k) for t, cols in PROFILED.items() for c, k in cols.items()))
+def q_profile(spark, sf):
+    out = None
+    for name, cols in PROFILED.items():
+        df = spark.read.parquet(f"{sf}/{name}.parquet").select(*cols)
+        p = pf.profile_columns(df, n_samples=0, exact_distinct=True)
+        text = C("dtype") == "string"
+        p = p.select(
+            F.lit(name).alias("table_name"), "column_name", "dtype", "n_rows", rnd("null_rate").alias("null_rate"), "n_distinct",
+            F.when(text, C("min_value")).alias("min_text"), F.when(text, C("max_value")).alias("max_text"),
+            *[rnd(c, 4).alias(c) for c in ("min_number", "max_number", "q25", "q50", "q75", "mean", "stddev")], "min_length", "max_length")
+        out = p if out is None else out.unionAll(p)
+    return out
+
+
+def _samples_sql(table, col):
+    return f"""SELECT '{table}' AS table_name, '{col}' AS column_name, CAST(row_number() OVER (ORDER BY md5(v)) AS INTEGER) AS rank, left(v, 80) AS sample FROM (SELECT DISTINCT CAST({col} AS VARCHAR) AS v FROM {table}) WHERE v IS NOT NULL QUALIFY rank <= 10"""
+
+
+@query("sample_values", " UNION ALL ".join(_samples_sql(t, c) for t, c in (("customer", "c_name"), ("customer", "c_mktsegment"), ("customer", "c_custkey"), ("documents", "lang"), ("documents", "text"))))
+def q_samples(spark, sf):
+    t = read_tables(spark, sf, ["customer", "documents"])
+    a = pf.sample_values(t["customer"].select("c_name", "c_mktsegment", "c_custkey")).withColumn("table_name", F.lit("customer"))
+    b = pf.sample_values(t["documents"].select("lang", "text")).withColumn("table_name", F.lit("documents"))
+    return a.unionByName(b)
+
+
+def _nulls(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return o.select(F.when(C("o_orderkey") % 3 == 0, C("o_custkey")).alias("user_id"), F.when(C("o_orderkey") % 3 == 0, C("o_orderstatus")).alias("o_status"),
+                    F.when(C("o_orderkey") % 2 == 0, C("o_totalprice")).alias("account_total"), "o_orderkey")
+
+
+@query("flag_null_identifiers", f"""WITH x AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 1 END AS a, CASE WHEN o_orderkey % 2 = 0 THEN 1 END AS b FROM orders),
+r AS (SELECT 1 - count(a)*1.0/count(*) AS ra, 1 - count(b)*1.0/count(*) AS rb FROM x)
+SELECT 'user_id' AS column_name, {S.rnd('ra')} AS null_rate, ra > 0.5 AS flagged_for_review FROM r UNION ALL SELECT 'o_status', {S.rnd('ra')}, FALSE FROM r
+UNION ALL SELECT 'account_total', {S.rnd('rb')}, rb > 0.5 FROM r UNION ALL SELECT 'o_orderkey', 0.0, FALSE FROM r""")
+def q_null_ids(spark, sf):
+    p = pf.flag_null_identifiers(pf.profile_columns(_nulls(spark, sf), n_samples=0, exact_distinct=False))
+    return p.select("column_name", rnd("null_rate").alias("null_rate"), "flagged_for_review")
+
+
+@query("profile_report", """WITH x AS (SELECT 1 - count(CASE WHEN o_orderkey % 3 = 0 THEN 1 END)*1.0/count(*) AS r, count(*) AS n FROM orders)
+SELECT n AS n_rows, CAST(4 AS BIGINT) AS n_columns, r > 0.5 AS any_flag, 'user_id is ' || CAST(round(r*100) AS INTEGER) || '% null; not analyzable as the randomization unit' AS reasons FROM x""")
+def q_report(spark, sf):
+    p = pf.flag_null_identifiers(pf.profile_columns(_nulls(spark, sf), n_samples=0, exact_distinct=False))
+    r = pf.profile_report(p)
+    return r.select("n_rows", "n_columns", "any_flag", F.concat_ws("|", "reasons").alias("reasons"))
+
+
+def _mixed(spark, sf):
+    """Order dates written in several formats, chosen by the order's key."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    d, k = C("o_orderdate").cast("timestamp"), C("o_orderkey") % 8
+    return o.select(
+        (F.when(k == 0, F.date_format(d, "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format(d, "yyyy-MM-dd")).when(k == 2, F.date_format(d, "MM/dd/yyyy"))
+         .when(k == 3, F.date_format(d, "dd.MM.yyyy")).when(k == 4, F.unix_seconds(d).cast("string")).when(k == 5, (F.unix_seconds(d) * 1000).cast("string"))
+         .when(k == 6, F.concat(F.lit("Q-"), F.year(d).cast("string"))).otherwise("unknown")).alias("when_text"),
+        C("o_orderpriority"), F.date_format(d, "yyyy-MM-dd").alias("iso_day"))
+
+
+MIXED = """mixed AS (SELECT CASE o_orderkey % 8 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%m/%d/%Y')
+ WHEN 3 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 4 THEN CAST(CAST(epoch(o_orderdate) AS BIGINT) AS VARCHAR) WHEN 5 THEN CAST(CAST(epoch(o_orderdate) AS BIGINT)*1000 AS VARCHAR)
+ WHEN 6 THEN 'Q-' || year(o_orderdate) ELSE 'unknown' END AS when_text, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS iso_day FROM orders)"""
+
+
+def _fmt_case(col):
+    whens = " ".join(f"WHEN regexp_matches(trim({col}), '{p}') THEN '{n}'" for n, p in DATE_FORMATS)
+    return f"CASE {whens} WHEN regexp_matches(trim({col}), '[0-9]') AND regexp_matches(trim({col}), '[-/:]') THEN 'other' ELSE 'not_a_date' END"
+
+
+ORDER = "list_position(['" + "','".join([n for n, _ in DATE_FORMATS] + ["other"]) + "'], format)"
+
+
+@query("detect_mixed_timestamps", f"""WITH {MIXED}, l AS (SELECT 'when_text' AS column_name, when_text AS v FROM mixed UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM mixed UNION ALL SELECT 'iso_day', iso_day FROM mixed),
+f AS (SELECT column_name, {_fmt_case('v')} AS format, count(*) AS n, min(v) AS sample FROM l GROUP BY ALL), g AS (SELECT *, {ORDER} AS r FROM f WHERE format <> 'not_a_date'),
+k AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY r) AS i FROM g)
+SELECT column_name, CAST(sum(n) AS BIGINT) AS n_dates, CAST(count(*) AS INTEGER) AS n_formats, count(*) >= 2 AS mixed_format_detected,
+  string_agg(format, '|' ORDER BY r) FILTER (WHERE i <= 5) AS formats, string_agg(sample, '|' ORDER BY r) FILTER (WHERE i <= 5) AS samples FROM k GROUP BY column_name""")
+def q_mixed(spark, sf):
+    m = pf.detect_mixed_timestamps(_mixed(spark, sf))
+    return m.select("column_name", "n_dates", "n_formats", "mixed_format_detected", F.concat_ws("|", "formats").alias("formats"),
+                    F.concat_ws("|", "format_samples").alias("samples"))
+
+
+@query("classify_date_format", f"WITH {MIXED} SELECT {_fmt_case('when_text')} AS format, count(*) AS n FROM mixed GROUP BY 1")
+def q_date_format(spark, sf):
+    return _mixed(spark, sf).groupBy(date_format_of(C("when_text")).alias("format")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("discover_roles", f"""WITH {DIRTY} SELECT 'variant' AS arm_column, min(variant) FILTER (WHERE variant = 'control') AS control_value, string_agg(DISTINCT variant, ',' ORDER BY variant) FILTER (WHERE variant <> 'control') AS treatment_values,
+ 'o_orderkey,revenue' AS metric_columns, 'o_orderpriority' AS segment_columns, 'ordered_at' AS timestamp_columns, '' AS unit_columns, CAST(6 AS INTEGER) AS n_columns FROM dirty""")
+def q_discover(spark, sf):
+    d = pf.discover_roles(_dirty(spark, sf))
+    lists = ["treatment_values", "metric_columns", "segment_columns", "timestamp_columns", "unit_columns"]
+    return d.select("arm_column", "control_value", "n_columns", *[F.concat_ws(",", c).alias(c) for c in lists])
+
+
+@query("table_fingerprint", "SELECT count(*) AS n_rows, CAST(5 AS INTEGER) AS n_columns, sha256('c_custkey:integer,c_name:string,c_nationkey:integer,c_acctbal:float,c_mktsegment:string') AS schema_hash FROM customer")
+def q_fingerprint(spark, sf):
+    return pf.table_fingerprint(spark.read.parquet(f"{sf}/customer.parquet"))
+
+
+@query("fingerprint_drift", "SELECT count(*) FILTER (WHERE c_custkey % 9 = 0) > 0 AS rows_changed, TRUE AS columns_changed, TRUE AS schema_changed FROM customer")
+def q_drift(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    before = pf.table_fingerprint(c)
+    after = pf.table_fingerprint(c.where("c_custkey % 9 <> 0").drop("c_name"))
+    return pf.fingerprint_drift(after, before)
+
+
+LOCK = """WITH h AS (SELECT md5(concat_ws(chr(31), CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority)) AS m FROM orders),
+w AS (SELECT CAST('0x' || m[1:8] AS BIGINT) AS h1, CAST('0x' || m[9:16] AS BIGINT) AS h2 FROM h)"""
+
+
+@query("content_lock", f"{LOCK} SELECT count(*) AS n_rows, CAST(sum(h1) AS VARCHAR) AS hash_sum, CAST(bit_xor(h1) AS BIGINT) AS hash_xor_1, CAST(bit_xor(h2) AS BIGINT) AS hash_xor_2 FROM w")
+def q_lock(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    lock = pf.content_lock(o, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    return lock.select("n_rows", C("hash_sum").cast("string").alias("hash_sum"), "hash_xor_1", "hash_xor_2")
+
+
+@query("verify_lock", "SELECT 'same rows' AS case_name, count(*) >= 0 AS lock_holds FROM orders UNION ALL SELECT 'one changed', count(*) < 0 FROM orders")
+def q_verify(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    shuffled = o.repartition(7)
+    edited = o.withColumn("o_orderstatus", F.when(C("o_orderkey") == 1, "X").otherwise(C("o_orderstatus")))
+    lock = pf.content_lock(o)
+    a = pf.verify_lock(shuffled, lock).select(F.lit("same rows").alias("case_name"), "lock_holds")
+    b = pf.verify_lock(edited, lock).select(F.lit("one changed").alias("case_name"), "lock_holds")
+    return a.unionAll(b)
+
+
+# --- redaction -------------------------------------------------------------------------
+
+def _re2(pattern: str) -> list[tuple[str, str]]:
+    """RE2 has no back-references inside a pattern: one pattern per alternative."""
+    if r"\1" not in pattern:
+        return [(pattern, "")]
+    return [(pattern.replace("(RSA |EC |DSA |OPENSSH |)", kind).replace(r"\1", kind), kind) for kind in ("RSA ", "EC ", "DSA ", "OPENSSH ", "")]
+
+
+def _redact_steps():
+    steps, prev, k = [], "documents", 0
+    for name, pattern, replacement, fold in REDACTIONS:
+        repl = replacement.replace("$", "\\")
+        opts = "'gi'" if fold else "'g'"
+        pats = [p.replace("'", "''") for p, _ in _re2(pattern)]
+        flag = "(?i)" if fold else ""
+        text = "t" if k else "text"
+        hits = " + ".join(f"len(regexp_extract_all({text}, '{flag}{p}'))" for p in pats)
+        expr = text
+        for p in pats:
+            expr = f"regexp_replace({expr}, '{p}', '{repl}', {opts})"
+        keep = "doc_id" + "".join(f", h_{n}" for n, *_ in REDACTIONS[:k])
+        steps.append(f"r{k} AS (SELECT {keep}, {hits} AS h_{name}, {expr} AS t FROM {prev})")
+        prev = f"r{k}"
+        k += 1
+    return ", ".join(steps), prev
+
+
+RED, LAST = _redact_steps()
+
+
+@query("redact_text", f"WITH {RED} SELECT doc_id, md5(t) AS redacted_md5, length(t) AS redacted_chars FROM {LAST}")
+def q_redact(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", redact_text(C("text")).alias("t"))
+    return d.select("doc_id", F.md5("t").alias("redacted_md5"), F.length("t").cast("long").alias("redacted_chars"))
+
+
+@query("redaction_counts", f"WITH {RED} SELECT {', '.join(f'CAST(sum(h_{n}) AS BIGINT) AS {n}' for n, *_ in REDACTIONS)} FROM {LAST}")
+def q_redaction_counts(spark, sf):
+    d = redact_with_counts(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "text")
+    return d.agg(*[F.sum(C("hits")[n]).alias(n) for n, *_ in REDACTIONS])

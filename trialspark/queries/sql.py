@@ -19,17 +19,34 @@ def rnd(expr: str, digits: int = 6) -> str:
     return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
 
 
-def simpson(f: str) -> str:
-    """Integral over u in [0, 1) of f(u); f may use any column and `u`."""
-    w = f"(CASE WHEN i = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
-    body = f.replace("{u}", f"(CAST(i AS DOUBLE)/{N})")
-    return f"(list_sum(list_transform(range(0, {N}), lambda i: {w} * ({body}))) / (3.0 * {N}))"
+def simpson(f: str, n: int = N, var: str = "i", mark: str = "{u}") -> str:
+    """Integral over u in [0, 1) of f(u); f may use any column and the mark."""
+    w = f"(CASE WHEN {var} = 0 THEN 1 WHEN {var} % 2 = 1 THEN 4 ELSE 2 END)"
+    body = f.replace(mark, f"(CAST({var} AS DOUBLE)/{n})")
+    return f"(list_sum(list_transform(range(0, {n}), lambda {var}: {w} * ({body}))) / (3.0 * {n}))"
 
 
-def normal_tail(x: str) -> str:
+def normal_tail(x: str, n: int = N, var: str = "i") -> str:
     """P(Z > x) for x >= 0."""
     t = f"(({x}) + {{u}}/(1-{{u}}))"
-    return simpson(f"exp(-0.5*{t}*{t}) / 2.5066282746310002 / ((1-{{u}})*(1-{{u}}))")
+    return simpson(f"exp(-0.5*{t}*{t}) / 2.5066282746310002 / ((1-{{u}})*(1-{{u}}))", n, var)
+
+
+def t_power(df: str, crit: str, shift: str) -> str:
+    """Power of the two-sided t test: two normal tails averaged over the scale s.
+
+    Simpson over s in (0, 3), with a short inner sum for each tail; tails of
+    negative arguments are reflected.
+    """
+    s = "(3*<s> + 1e-9)"
+    near = f"({crit}*{s} - {shift})"
+    tail = normal_tail(f"abs({near})", 240, "k")
+    reflected = f"(CASE WHEN {near} >= 0 THEN {tail} ELSE 1 - {tail} END)"
+    far = normal_tail(f"({crit}*{s} + {shift})", 240, "k")
+    weight = f"exp(({df} - 1)*ln({s}) - {df}*({s}*{s} - 1)/2)"
+    top = simpson(f"{weight}*({reflected} + {far})", 600, "j", "<s>")
+    bottom = simpson(weight, 600, "j", "<s>")
+    return f"({top}/{bottom})"
 
 
 def normal_two_sided(x: str) -> str:
@@ -90,12 +107,15 @@ order_fold AS (
   SELECT o_custkey,
     sum(o_totalprice) FILTER (WHERE o_orderdate < TIMESTAMP '1998-01-01') AS pre_value,
     sum(o_totalprice) FILTER (WHERE o_orderdate >= TIMESTAMP '1998-01-01') AS value,
+    sum(o_totalprice) FILTER (WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1999-03-15') AS early_value,
+    sum(o_totalprice) FILTER (WHERE o_orderdate >= TIMESTAMP '2000-05-27') AS late_value,
     count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1998-01-01') AS orders,
     count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1998-01-01'
                        AND o_orderdate < TIMESTAMP '1998-01-01' + INTERVAL 180 DAY) AS soon
   FROM orders GROUP BY o_custkey),
 units AS (
   SELECT a.*, coalesce(pre_value, 0.0) AS pre_value, coalesce(value, 0.0) AS value,
+         coalesce(early_value, 0.0) AS early_value, coalesce(late_value, 0.0) AS late_value,
          coalesce(orders, 0) AS orders, CASE WHEN coalesce(soon, 0) > 0 THEN 1 ELSE 0 END AS converted
   FROM cust_assign a LEFT JOIN order_fold f ON a.unit_id = f.o_custkey)"""
 
