@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import div, num
+from ..session import small_side
 from .hypothesis import welch_from_moments
 from .moments import pair_arms, pair_moments
 
@@ -86,7 +87,7 @@ def cuped_adjust(
     reg = pooled_regression(df, keys, pre, post).select(
         *keys, F.when(C("error").isNull(), C("theta")).alias("theta"), "mean_pre"
     )
-    return df.join(reg, list(keys), "left").withColumn(
+    return df.join(small_side(reg, "regression"), list(keys), "left").withColumn(
         out, num(post) - C("theta") * (num(pre) - C("mean_pre"))
     )
 

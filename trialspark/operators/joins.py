@@ -6,12 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import fits_broadcast
+from ..session import BROADCAST_LIMIT_BYTES, fits_broadcast, materialize
 
-# A unit may own a third of all events.  When the assignment side is too big to
-# broadcast, facts are spread over this many salts per unit and each assignment
-# row is repeated once per salt.
-SALTS = 16
+# Units above this share of the facts are joined by broadcast instead of by
+# shuffle; there can be at most 1/share of them.
+HOT_SHARE = 1e-4
 
 
 def first_exposure(
@@ -22,39 +21,47 @@ def first_exposure(
     return events.where(cond).groupBy(*keys, unit).agg(F.min(ts).alias("first_exposure_at"))
 
 
+def hot_units(facts: DataFrame, unit: str, share: float = HOT_SHARE, fraction: float = 0.01) -> DataFrame:
+    """Units that own more than `share` of the facts, judged on a sample.
+
+    The list only routes rows (results do not depend on it) and holds at most
+    1/share units.  It is stored, so both routes see the same list.
+    """
+    sample = facts.select(unit).where(F.col(unit).isNotNull()).sample(fraction, seed=1)
+    counts = sample.groupBy(unit).agg(F.count(F.lit(1)).alias("_c"))
+    total = sample.agg((F.count(F.lit(1)) * share).alias("_t")).withColumn("_k", F.lit(1))
+    heavy = counts.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
+    picked = heavy.where((F.col("_c") > F.col("_t")) & (F.col("_c") > 1)).orderBy(F.col("_c").desc())
+    return materialize(picked.limit(int(1 / share)).select(unit), "hot-units")
+
+
 def join_exposure(
     facts: DataFrame,
     assign: DataFrame,
     unit: str = "unit_id",
     ts: str = "event_at",
     horizon_days: float | None = None,
-    salts: int = SALTS,
-    salt_on: Sequence[str] | None = None,
+    broadcast_limit: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Facts of assigned units at or after first exposure (optionally within a horizon).
 
     Inner by design: units without facts come back in `join_units_zero_filled`,
-    so the big side is never the NULL-extended one and can be split.
+    so the fact side is never NULL-extended.  A small assignment is broadcast.
+    Otherwise the few hot units (one may own a third of all facts) are joined by
+    broadcasting only their assignment rows, and the rest is a shuffle join.
     """
     right = assign.withColumnRenamed(unit, "_unit")
-    cond = [F.col(unit) == F.col("_unit"), F.col(ts) >= F.col("first_exposure_at")]
+    on = (F.col(unit) == F.col("_unit")) & (F.col(ts) >= F.col("first_exposure_at"))
     if horizon_days is not None:
         seconds = int(horizon_days * 86400)
-        cond.append(F.col(ts) < F.col("first_exposure_at") + F.make_dt_interval(secs=F.lit(seconds)))
-    if fits_broadcast(assign):
-        right = F.broadcast(right)
-        left = facts
-    else:
-        spread = [F.col(c) for c in (salt_on or facts.columns)]
-        left = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-        right = right.withColumn(
-            "_salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        )
-        cond.append(F.col("_salt") == F.col("_salt_r"))
-    on = cond[0]
-    for c in cond[1:]:
-        on = on & c
-    return left.join(right, on, "inner").drop("_unit", "_salt", "_salt_r")
+        on = on & (F.col(ts) < F.col("first_exposure_at") + F.make_dt_interval(secs=F.lit(seconds)))
+    if fits_broadcast(assign, broadcast_limit):
+        return facts.join(F.broadcast(right), on, "inner").drop("_unit")
+    hot = F.broadcast(hot_units(facts, unit))
+    hot_right = right.join(hot.withColumnRenamed(unit, "_unit"), "_unit", "left_semi")
+    hot_part = facts.join(hot, unit, "left_semi").join(F.broadcast(hot_right), on, "inner")
+    cold_part = facts.join(hot, unit, "left_anti").join(right, on, "inner")
+    return hot_part.unionByName(cold_part).drop("_unit")
 
 
 def join_units_zero_filled(

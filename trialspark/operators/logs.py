@@ -149,10 +149,10 @@ def log_diff(
 
 def classify_path(path: Column) -> Column:
     """material if a change of this path can alter the decision, else administrative."""
-    bare = F.regexp_replace(path, F.lit(r"^experiment\."), F.lit(""))
-    head = F.regexp_extract(bare, F.lit(r"^([^.\[]*)"), 1)
+    bare = F.regexp_replace(path, r"^experiment\.", "")
+    head = F.regexp_extract(bare, r"^([^.\[]*)", 1)
     leaf = F.regexp_extract(
-        F.regexp_replace(bare, F.lit(r"(\[[^\]]*\])+$"), F.lit("")), F.lit(r"([^.]*)$"), 1
+        F.regexp_replace(bare, r"(\[[^\]]*\])+$", ""), r"([^.]*)$", 1
     )
     return (
         F.when(head.isin(ADMIN_HEADS), "administrative")

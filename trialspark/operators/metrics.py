@@ -106,6 +106,18 @@ def load_metric_catalog(spark, path: str) -> dict[str, Metric]:
     return metric_catalog(json.loads(r[0]) for r in text.toLocalIterator())
 
 
+def catalog_coverage(facts: DataFrame, metrics: Mapping[str, Metric]) -> DataFrame:
+    """Fact rows that pass each metric's filter: one aggregate for the whole catalog."""
+    rows = [
+        F.struct(
+            F.lit(m.name).alias("name"), F.lit(m.type).alias("type"),
+            F.count(F.when(F.expr(m.filter), 1) if m.filter else F.lit(1)).alias("n_fact_rows"),
+        )
+        for m in metrics.values()
+    ]
+    return facts.agg(F.array(*rows).alias("m")).select(F.inline("m"))
+
+
 def _fold(agg: str, expression: str, predicate: str | None):
     value = F.expr(expression)
     if predicate:

@@ -75,27 +75,47 @@ def _long(df: DataFrame, numeric_only: bool = False) -> DataFrame:
     return df.select(F.inline(F.array(*parts)))
 
 
-def distinct_values(df: DataFrame) -> DataFrame:
+def distinct_values(df: DataFrame, predicate: Column | None = None) -> DataFrame:
     """Distinct values per column, keyed by digest so long texts do not travel.
 
     Only a truncated sample text is kept beside the digest.
     """
     long = _long(df).where(C("text").isNotNull())
+    keyed = long.select(
+        "column_name", F.md5(C("text")).alias("digest"),
+        F.left(C("text"), F.lit(SAMPLE_VALUE_CHARS)).alias("sample"),
+    )
     return (
-        long.select(
-            "column_name", F.md5(C("text")).alias("digest"),
-            F.left(C("text"), F.lit(SAMPLE_VALUE_CHARS)).alias("sample"),
-        )
+        (keyed if predicate is None else keyed.where(predicate))
         .groupBy("column_name", "digest")
         .agg(F.min("sample").alias("sample"))
     )
 
 
+SURVIVORS = 200
+
+
 def sample_values(df: DataFrame, n: int = SAMPLE_VALUES) -> DataFrame:
-    """Up to n distinct values per column, chosen by digest order (repeatable)."""
+    """Up to n distinct values per column, chosen by digest order (repeatable).
+
+    The first n digests are wanted, so digests far above them are dropped in the
+    scan: with the column's sketched distinct count, about SURVIVORS * n / 10
+    distinct values stay, and only those are shuffled.
+    """
+    fields = df.schema.fields
+    rough = df.agg(
+        *[F.approx_count_distinct(_text(f.name, f.dataType)).alias(f.name) for f in fields]
+    ).first()
+    keep = SURVIVORS * max(1.0, n / 10)
+    limit = F.lit(2.0**32)
+    for f in fields:
+        share = keep / max(rough[f.name], 1)
+        if share < 1:
+            limit = F.when(C("column_name") == f.name, F.lit(share * 2.0**32)).otherwise(limit)
+    head = F.conv(F.substring(C("digest"), 1, 8), 16, 10).cast("double")
     by_digest = Window.partitionBy("column_name").orderBy("digest")
     return (
-        distinct_values(df)
+        distinct_values(df, head <= limit)
         .withColumn("rank", F.row_number().over(by_digest))
         .where(C("rank") <= n)
         .select("column_name", "rank", "sample")

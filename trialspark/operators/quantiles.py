@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import num
+from ..session import small_side
 
 SKETCH_ERROR = 1e-4
 
@@ -26,7 +27,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per key: columns keys, `n`, `q` (array by probs).
 
-    Groups of fewer than 4/eps rows are bracketed by everything (they are small);
+    The brackets are stored between the passes (a job runs when this is called),
+    so the second pass broadcasts them by their real size and never shuffles the
+    rows themselves.  Groups of fewer than 4/eps rows are bracketed by everything (they are small);
     larger ones by the sketch's rank p -/+ 2*eps, whose error is at most eps.
     """
     probs = [float(p) for p in probs]
@@ -54,6 +57,7 @@ def exact_quantiles(
         below = F.greatest(below, F.when(hi < v, hi).otherwise(-inf))
     # Outside rows collapse onto the upper end of the last bracket below them;
     # `_o` sorts them after the rows of that bracket.
+    brackets = small_side(brackets, "brackets")
     marked = rows.join(brackets, keys, "inner") if keys else _attach_single(rows, brackets)
     counted = (
         marked.select(
@@ -108,4 +112,5 @@ def attach_quantiles(
     q = exact_quantiles(df, keys, value, probs)
     if not keys:
         return _attach_single(df, q.select(F.col("q").alias(name)))
-    return df.join(q.select(*keys, F.col("q").alias(name)), list(keys), "left")
+    small = small_side(q.select(*keys, F.col("q").alias(name)), "quantiles")
+    return df.join(small, list(keys), "left")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import div, num
+from ..session import small_side
 from .corrections import adjust_pvalues
 from .hypothesis import welch_from_moments
 from .moments import pair_arms
@@ -96,7 +97,7 @@ def late_ratio(
     pos = div(t - C("_t0"), C("_t1") - C("_t0"))
     third = F.when(pos < 1 / 3, 1).when(pos < 2 / 3, 2).otherwise(3)
     v = num(value)
-    marked = df.join(ends, list(keys)).withColumn("_third", third)
+    marked = df.join(small_side(ends, "window-ends"), list(keys)).withColumn("_third", third)
 
     def mean_of(arm_is_control: bool, which: int):
         side = C(arm) == control if arm_is_control else C(arm) != control

@@ -136,4 +136,4 @@ def exposed_events(spark: SparkSession, sf: str, horizon_days: float | None = No
         C("user_id").alias("unit_id"), C("ts").cast("timestamp").alias("event_at"),
         "event_id", "event_type", "value",
     )
-    return join_exposure(facts, event_assignment(spark, sf), horizon_days=horizon_days, salt_on=["event_id"])
+    return join_exposure(facts, event_assignment(spark, sf), horizon_days=horizon_days)

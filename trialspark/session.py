@@ -76,6 +76,17 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
     return size is not None and size <= limit
 
 
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """A reduced frame ready to be joined to a big one.
+
+    It is stored first, so its real size is known: below the limit it carries a
+    broadcast hint and the big side is not shuffled; above it the join stays a
+    shuffle join.
+    """
+    stored = materialize(df, name)
+    return stored.hint("broadcast") if fits_broadcast(stored) else stored
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a reduced frame to the shared folder and read it back.
 
