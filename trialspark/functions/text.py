@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..fixed_values import DATE_FORMATS, OTHER_DATE_DIGIT, OTHER_DATE_SEPARATOR, REDACTIONS
+from ..fixed_values import (
+    DATE_FORMATS, OTHER_DATE_DIGIT, OTHER_DATE_SEPARATOR, REDACTION_LITERALS, REDACTIONS,
+)
+from ..session import spread
+from .columns import let
 
 
 def _java(pattern: str, ignore_case: bool) -> str:
@@ -12,30 +16,67 @@ def _java(pattern: str, ignore_case: bool) -> str:
     return ("(?iuU)" if ignore_case else "(?U)") + pattern
 
 
+def _may_match(text: Column, name: str, ignore_case: bool) -> Column:
+    """A necessary condition of a pattern: all of one group of literals occur.
+
+    Most texts fail it, and a substring search costs far less than a pattern.
+    Letters whose other case is ASCII (long s, dotless and dotted i) fold too, as
+    in case-insensitive matching.
+    """
+    subject = F.lower(F.translate(text, "\u017f\u0131\u0130", "sii")) if ignore_case else text
+    out = F.lit(False)
+    for group in REDACTION_LITERALS[name]:
+        every = F.lit(True)
+        for literal in group:
+            every = every & F.contains(subject, F.lit(literal))
+        out = out | every
+    return out
+
+
 def redact_text(text: Column) -> Column:
     """Replace secrets and personal data by stable placeholders, in fixed order."""
+
+    def stage(name: str, pattern: str, new: str, fold: bool):
+        def apply(r: Column) -> Column:
+            replaced = F.regexp_replace(r["t"], F.lit(_java(pattern, fold)), F.lit(new))
+            return F.when(_may_match(r["t"], name, fold), replaced).otherwise(r["t"])
+
+        return apply
+
     out = text
-    for _, pattern, replacement, ignore_case in REDACTIONS:
-        out = F.regexp_replace(out, F.lit(_java(pattern, ignore_case)), F.lit(replacement))
+    for entry in REDACTIONS:
+        out = let({"t": out}, stage(*entry))
     return out
 
 
+def redact(df: DataFrame, column: str) -> DataFrame:
+    """The column redacted in place."""
+    return spread(df).withColumn(column, redact_text(F.col(column)))
+
+
 def redact_with_counts(df: DataFrame, column: str, out: str = "redacted") -> DataFrame:
     """Redacted text plus the number of hits of every pattern, as a struct `hits`.
 
     Each stage counts on the text that the previous stages left.
     """
-    step = df.withColumn(out, F.col(column))
-    for name, pattern, replacement, ignore_case in REDACTIONS:
-        rx = F.lit(_java(pattern, ignore_case))
-        step = step.select(
-            *[c for c in step.columns if c != out],
-            F.regexp_count(F.col(out), rx).alias(f"_hit_{name}"),
-            F.regexp_replace(F.col(out), rx, F.lit(replacement)).alias(out),
-        )
-    names = [n for n, *_ in REDACTIONS]
-    hits = F.struct(*[F.col(f"_hit_{n}").alias(n) for n in names])
-    return step.withColumn("hits", hits).drop(*[f"_hit_{n}" for n in names])
+    state = F.struct(F.col(column).alias("t"), F.array().cast("array<int>").alias("n"))
+
+    def stage(name: str, pattern: str, new: str, fold: bool):
+        def apply(r: Column) -> Column:
+            t, rx = r["s"]["t"], F.lit(_java(pattern, fold))
+            hit = _may_match(t, name, fold)
+            return F.struct(
+                F.when(hit, F.regexp_replace(t, rx, F.lit(new))).otherwise(t).alias("t"),
+                F.array_append(r["s"]["n"], F.when(hit, F.regexp_count(t, rx)).otherwise(0)).alias("n"),
+            )
+
+        return apply
+
+    for entry in REDACTIONS:
+        state = let({"s": state}, stage(*entry))
+    step = spread(df).withColumn("_s", state)
+    hits = F.struct(*[F.col("_s.n")[i].alias(n) for i, (n, *_) in enumerate(REDACTIONS)])
+    return step.withColumns({out: F.col("_s.t"), "hits": hits}).drop("_s")
 
 
 def date_format_of(value: Column) -> Column:

@@ -14,6 +14,7 @@ from ..fixed_values import (
 from ..fixed_values import DATE_FORMATS
 from ..functions.columns import div, join_messages, null_double, null_string, num
 from ..functions.text import date_format_of
+from ..session import spread
 from .quantiles import exact_quantiles
 
 C = F.col
@@ -92,6 +93,16 @@ def distinct_values(df: DataFrame, predicate: Column | None = None) -> DataFrame
     )
 
 
+LONG_TEXT = 32
+
+
+def distinct_keys(df: DataFrame) -> DataFrame:
+    """One row per column and distinct value; long texts stand by their digest."""
+    text = C("text")
+    key = F.when(F.length(text) <= LONG_TEXT, text).otherwise(F.concat(F.lit("#"), F.md5(text)))
+    return _long(df).where(text.isNotNull()).select("column_name", key.alias("key")).distinct()
+
+
 SURVIVORS = 200
 
 
@@ -132,6 +143,7 @@ def profile_columns(
     """
     if exact_distinct is None:
         exact_distinct = df.count() <= EXACT_DISTINCT_MAX_ROWS
+    df = spread(df)
     rows = []
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, f in enumerate(df.schema.fields):
@@ -168,7 +180,7 @@ def profile_columns(
     else:
         out = out.withColumns({q: null_double() for q in ("q25", "q50", "q75")})
     if exact_distinct:
-        ranked = distinct_values(df).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+        ranked = distinct_keys(df).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
         out = out.join(ranked, "column_name", "left").withColumn(
             "n_distinct", F.coalesce(C("n_distinct"), F.lit(0))
         )

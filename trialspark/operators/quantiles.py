@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import num
-from ..session import small_side
+from ..session import small_side, spread
 
 SKETCH_ERROR = 1e-4
 
@@ -34,7 +34,7 @@ def exact_quantiles(
     """
     probs = [float(p) for p in probs]
     keys = list(keys)
-    rows = df.select(*keys, num(value).alias("_v")).where(F.col("_v").isNotNull())
+    rows = spread(df.select(*keys, num(value).alias("_v"))).where(F.col("_v").isNotNull())
     bounds = []
     for p in probs:
         bounds += [max(0.0, p - 2 * eps), min(1.0, p + 2 * eps)]

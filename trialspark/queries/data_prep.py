@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DATE_FORMATS, PURPOSE_ROW_LIMITS, REDACTIONS
 from ..functions.columns import rnd
-from ..functions.text import date_format_of, redact_text, redact_with_counts
+from ..functions.text import date_format_of, redact, redact_with_counts
 from ..operators import joins, metrics as mx, prep, profile as pf
 from ..plans.experiments import (
     customer_assignment, customer_units, event_assignment, event_facts, exposed_events, order_facts,
@@ -514,7 +514,7 @@ RED, LAST = _redact_steps()
 
 @query("redact_text", f"WITH {SEEDED}, {RED} SELECT doc_id, md5(t) AS redacted_md5, length(t) AS redacted_chars FROM {LAST}")
 def q_redact(spark, sf):
-    d = _with_secrets(spark, sf).select("doc_id", redact_text(C("text")).alias("t"))
+    d = redact(_with_secrets(spark, sf), "text").select("doc_id", C("text").alias("t"))
     return d.select("doc_id", F.md5("t").alias("redacted_md5"), F.length("t").cast("long").alias("redacted_chars"))
 
 

@@ -76,6 +76,22 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
     return size is not None and size <= limit
 
 
+SCAN_SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-heavy work on an input of few splits.
+
+    Only when the whole input is smaller than one scan split per core; larger
+    inputs already arrive in enough splits and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = estimated_bytes(df)
+    if size is None or size > cores * SCAN_SPLIT_BYTES:
+        return df
+    return df.repartition(cores)
+
+
 def small_side(df: DataFrame, name: str) -> DataFrame:
     """A reduced frame ready to be joined to a big one.
 
