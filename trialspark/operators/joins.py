@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import BROADCAST_LIMIT_BYTES, fits_broadcast, materialize
+from ..session import BROADCAST_LIMIT_BYTES, attach_one_row, fits_broadcast, materialize
 
 # Units above this share of the facts are joined by broadcast instead of by
 # shuffle; there can be at most 1/share of them.
@@ -29,8 +29,7 @@ def hot_units(facts: DataFrame, unit: str, share: float = HOT_SHARE, fraction: f
     """
     sample = facts.select(unit).where(F.col(unit).isNotNull()).sample(fraction, seed=1)
     counts = sample.groupBy(unit).agg(F.count(F.lit(1)).alias("_c"))
-    total = sample.agg((F.count(F.lit(1)) * share).alias("_t")).withColumn("_k", F.lit(1))
-    heavy = counts.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
+    heavy = attach_one_row(counts, sample.agg((F.count(F.lit(1)) * share).alias("_t")))
     picked = heavy.where((F.col("_c") > F.col("_t")) & (F.col("_c") > 1)).orderBy(F.col("_c").desc())
     return materialize(picked.limit(int(1 / share)).select(unit), "hot-units")
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..fixed_values import ARM_REVEALING_COLUMNS, HIGH_DROP_RATE, PURPOSE_ROW_LIMITS
 from ..functions.columns import div, join_messages, num
-from .quantiles import _attach_single, exact_quantiles
+from ..session import attach_one_row
+from .quantiles import exact_quantiles
 
 
 class BlindedColumnError(ValueError):
@@ -66,7 +67,7 @@ def winsorize_spec(df: DataFrame, spec: Mapping[str, Sequence[float]]) -> DataFr
     bounds = exact_quantiles(rows, ["_metric"], "_value", probs).agg(
         F.map_from_entries(F.collect_list(F.struct("_metric", "q"))).alias("_q")
     )
-    out = _attach_single(coerce_numeric(df, list(known)), bounds)
+    out = attach_one_row(coerce_numeric(df, list(known)), bounds)
 
     def bound(name: str, p: float) -> Column:
         return F.try_element_at(F.col("_q"), F.lit(name))[probs.index(float(p))]

@@ -14,7 +14,7 @@ from ..fixed_values import (
 from ..fixed_values import DATE_FORMATS
 from ..functions.columns import div, join_messages, null_double, null_string, num
 from ..functions.text import date_format_of
-from ..session import spread
+from ..session import attach_one_row
 from .quantiles import exact_quantiles
 
 C = F.col
@@ -143,7 +143,6 @@ def profile_columns(
     """
     if exact_distinct is None:
         exact_distinct = df.count() <= EXACT_DISTINCT_MAX_ROWS
-    df = spread(df)
     rows = []
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, f in enumerate(df.schema.fields):
@@ -402,12 +401,11 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 
 def fingerprint_drift(now: DataFrame, recorded: DataFrame) -> DataFrame:
     """Compare a fingerprint with the recorded one (both one row)."""
-    a, b = now.withColumn("_k", F.lit(1)), recorded.withColumn("_k", F.lit(1))
-    joined = a.alias("a").join(b.alias("b"), "_k")
+    joined = attach_one_row(now, recorded.withColumnsRenamed({c: f"_{c}" for c in recorded.columns}))
     return joined.select(
-        (C("a.n_rows") != C("b.n_rows")).alias("rows_changed"),
-        (C("a.n_columns") != C("b.n_columns")).alias("columns_changed"),
-        (C("a.schema_hash") != C("b.schema_hash")).alias("schema_changed"),
+        (C("n_rows") != C("_n_rows")).alias("rows_changed"),
+        (C("n_columns") != C("_n_columns")).alias("columns_changed"),
+        (C("schema_hash") != C("_schema_hash")).alias("schema_changed"),
     )
 
 
@@ -434,9 +432,9 @@ def content_lock(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def verify_lock(df: DataFrame, recorded: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    a = content_lock(df, columns).withColumn("_k", F.lit(1)).alias("a")
-    b = recorded.withColumn("_k", F.lit(1)).alias("b")
+    now = content_lock(df, columns)
+    both = attach_one_row(now, recorded.withColumnsRenamed({c: f"_{c}" for c in recorded.columns}))
     same = F.lit(True)
-    for c in ("n_rows", "hash_sum", "hash_xor_1", "hash_xor_2"):
-        same = same & C(f"a.{c}").eqNullSafe(C(f"b.{c}"))
-    return a.join(b, "_k").select(same.alias("lock_holds"))
+    for c in now.columns:
+        same = same & C(c).eqNullSafe(C(f"_{c}"))
+    return both.select(same.alias("lock_holds"))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import num
-from ..session import small_side, spread
+from ..session import attach_one_row, materialize, small_side
 
 SKETCH_ERROR = 1e-4
 
@@ -34,7 +34,7 @@ def exact_quantiles(
     """
     probs = [float(p) for p in probs]
     keys = list(keys)
-    rows = spread(df.select(*keys, num(value).alias("_v"))).where(F.col("_v").isNotNull())
+    rows = df.select(*keys, num(value).alias("_v")).where(F.col("_v").isNotNull())
     bounds = []
     for p in probs:
         bounds += [max(0.0, p - 2 * eps), min(1.0, p + 2 * eps)]
@@ -57,8 +57,10 @@ def exact_quantiles(
         below = F.greatest(below, F.when(hi < v, hi).otherwise(-inf))
     # Outside rows collapse onto the upper end of the last bracket below them;
     # `_o` sorts them after the rows of that bracket.
-    brackets = small_side(brackets, "brackets")
-    marked = rows.join(brackets, keys, "inner") if keys else _attach_single(rows, brackets)
+    if keys:
+        marked = rows.join(small_side(brackets, "brackets"), keys, "inner")
+    else:
+        marked = attach_one_row(rows, materialize(brackets, "brackets"))
     counted = (
         marked.select(
             *keys,
@@ -96,21 +98,12 @@ def exact_quantiles(
     return picked.select(*keys, F.col("_n").alias("n"), F.array(*parts).alias("q"))
 
 
-def _attach_single(rows: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row through a constant key."""
-    return (
-        rows.withColumn("_k", F.lit(1))
-        .join(F.broadcast(one_row.withColumn("_k", F.lit(1))), "_k")
-        .drop("_k")
-    )
-
-
 def attach_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str
 ) -> DataFrame:
     """Every row with its group's quantile array."""
     q = exact_quantiles(df, keys, value, probs)
     if not keys:
-        return _attach_single(df, q.select(F.col("q").alias(name)))
+        return attach_one_row(df, q.select(F.col("q").alias(name)))
     small = small_side(q.select(*keys, F.col("q").alias(name)), "quantiles")
     return df.join(small, list(keys), "left")

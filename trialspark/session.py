@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Runtime settings the engine is designed around.  AQE sizes the shuffle from
 # the real map output; forcing the skew-join rule lets it split a hot unit even
@@ -61,7 +61,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate for a plan; no job runs."""
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        return int(str(stats.sizeInBytes()))
     except Exception:
         return None
 
@@ -103,6 +103,12 @@ def small_side(df: DataFrame, name: str) -> DataFrame:
     return stored.hint("broadcast") if fits_broadcast(stored) else stored
 
 
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Every row with the columns of a one-row aggregate, as a scalar subquery."""
+    value = one_row.select(F.struct(*one_row.columns).alias("_one")).scalar()
+    return df.withColumn("_one", value).select("*", "_one.*").drop("_one")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a reduced frame to the shared folder and read it back.
 

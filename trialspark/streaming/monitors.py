@@ -114,8 +114,8 @@ def stream_sequential_monitor(
 def latest_batch(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the newest finished batch."""
     data = spark.read.parquet(f"{path}/data")
-    newest = data.agg(F.max("batch_id").alias("batch_id"))
-    return data.join(F.broadcast(newest), "batch_id").drop("batch_id")
+    newest = data.agg(F.max("batch_id")).scalar()
+    return data.where(C("batch_id") == newest).drop("batch_id")
 
 
 def stream_sample_accumulation(
