@@ -41,8 +41,14 @@ def probability_to_beat(draws: DataFrame, keys: Sequence[str], c: str = "c", t:
 
 def expected_loss(draws: DataFrame, keys: Sequence[str], c: str = "c", t: str = "t") -> DataFrame:
     """Expected regret of either choice, absolute and relative to |mean c|."""
+    return draws_summary(draws, keys, c, t).drop("prob_treatment_better")
+
+
+def draws_summary(draws: DataFrame, keys: Sequence[str], c: str = "c", t: str = "t") -> DataFrame:
+    """Win probability and losses of every cell from one pass over its draws."""
     zero = F.lit(0.0)
     out = draws.groupBy(*keys).agg(
+        F.avg(F.when(C(t) > C(c), 1.0).otherwise(0.0)).alias("prob_treatment_better"),
         F.avg(F.greatest(C(c) - C(t), zero)).alias("loss_ship_treatment"),
         F.avg(F.greatest(C(t) - C(c), zero)).alias("loss_ship_control"),
         F.avg(c).alias("_m"),

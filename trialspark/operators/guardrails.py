@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..fixed_values import GUARDRAIL_MARGINAL_P
 from ..functions.columns import div
 from ..functions.distributions import norm_sf, t_quantile, t_sf, z_value
+from ..session import materialize
 from .hypothesis import proportion_from_counts, welch_from_moments
 from .moments import metric_moments, pair_arms
 
@@ -103,6 +104,9 @@ def guardrail_health(
     pairs = pair_arms(moments, [*keys, "metric"], arm, control)
     binary = [m for m in present if str(thresholds[m].get("type", "continuous")).lower() == "binary"]
     is_binary = C("metric").isin(binary) if binary else F.lit(False)
+    if binary and len(binary) < len(present):
+        # Two tests read the few paired rows; stored, they come from one scan.
+        pairs = materialize(pairs, "guardrail-moments")
     common = ["diff", "ci_lower", "ci_upper", "p_value", "error"]
     base = [*keys, "metric", arm]
     mean = welch_from_moments(pairs.where(~is_binary), alpha).select(

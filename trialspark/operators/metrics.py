@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.columns import div, num
 from .hypothesis import metric_dispatch, proportion_from_counts, ratio_from_moments, welch_from_moments
 from .joins import join_exposure, join_units_zero_filled
-from .moments import metric_moments, pair_arms, pair_moments
+from ..session import materialize
+from .moments import pair_arms
 from .quantiles import exact_quantiles
 
 C = F.col
@@ -219,6 +220,37 @@ def metric_compute(
 RESULT_COLUMNS = ["diff", "se", "ci_lower", "ci_upper", "p_value", "lift_pct", "error"]
 
 
+def catalog_moments(
+    units: DataFrame, metrics: Mapping[str, Metric], keys: Sequence[str], arm: str = "arm"
+) -> DataFrame:
+    """Moments of every metric from one scan of the unit frame, long by metric.
+
+    x is the metric; y is the denominator of a ratio metric (NULL otherwise).
+    """
+    rows = []
+    for m in metrics.values():
+        if m.type in PERCENTILES:
+            continue
+        x = num(m.name)
+        y = num(f"{m.name}__den") if m.type == "ratio" else F.lit(None).cast("double")
+        if m.type == "ratio":
+            both = x.isNotNull() & y.isNotNull()
+            x, y = F.when(both, x), F.when(both, y)
+        rows.append(
+            F.struct(
+                F.lit(m.name).alias("metric"),
+                F.lit(TEST_OF_TYPE.get(m.type, "mean")).alias("test"),
+                F.count(x).alias("n"),
+                F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"),
+                F.var_samp(x).alias("var_x"), F.var_samp(y).alias("var_y"),
+                F.covar_samp(x, y).alias("cov"),
+                F.sum(x).alias("sum_x"), F.sum(y).alias("sum_y"),
+            )
+        )
+    wide = units.where(C(arm).isNotNull()).groupBy(*keys, arm).agg(F.array(*rows).alias("m"))
+    return wide.select(*keys, arm, F.inline("m"))
+
+
 def metric_tests(
     units: DataFrame,
     metrics: Mapping[str, Metric],
@@ -227,29 +259,24 @@ def metric_tests(
     control: str = "control",
     alpha: float = 0.05,
 ) -> DataFrame:
-    """Dispatch every metric to the test of its type; one long result frame."""
-    means = {m.name: m.name for m in metrics.values() if m.type not in ("ratio", "proportion") and m.type not in PERCENTILES}
-    rates = {m.name: m.name for m in metrics.values() if m.type == "proportion"}
-    ratios = [m for m in metrics.values() if m.type == "ratio"]
-    cell = [*keys, "metric"]
+    """Dispatch every metric to the test of its type; one long result frame.
+
+    The paired moments are stored once (a few rows per cell), so several tests
+    do not scan the units several times.
+    """
+    cell = [*keys, "metric", "test"]
+    paired = pair_arms(catalog_moments(units, metrics, keys, arm), cell, arm, control)
+    pairs = materialize(paired, "paired-moments")
+    kinds = {TEST_OF_TYPE.get(m.type, "mean") for m in metrics.values() if m.type not in PERCENTILES}
+    plain = {
+        f"{old}_{side}": f"{new}_{side}"
+        for old, new in (("mean_x", "mean"), ("var_x", "var"), ("sum_x", "total"))
+        for side in ("control", "treatment")
+    }
+    tests = {"mean": welch_from_moments, "proportion": proportion_from_counts, "ratio": ratio_from_moments}
     frames = {}
-    if means:
-        frames["mean"] = welch_from_moments(
-            pair_arms(metric_moments(units, keys, means, arm), cell, arm, control), alpha
-        )
-    if rates:
-        frames["proportion"] = proportion_from_counts(
-            pair_arms(metric_moments(units, keys, rates, arm), cell, arm, control), alpha
-        )
-    if ratios:
-        long = units.select(
-            *keys, arm,
-            F.inline(F.array(*[
-                F.struct(F.lit(m.name).alias("metric"), num(m.name).alias("_x"), num(f"{m.name}__den").alias("_y"))
-                for m in ratios
-            ])),
-        )
-        frames["ratio"] = ratio_from_moments(
-            pair_arms(pair_moments(long, cell, "_x", "_y", arm), cell, arm, control), alpha
-        )
-    return metric_dispatch(frames, [*cell, arm, *RESULT_COLUMNS])
+    for kind in sorted(kinds):
+        part = pairs.where(C("test") == kind)
+        part = part if kind == "ratio" else part.withColumnsRenamed(plain)
+        frames[kind] = tests[kind](part, alpha)
+    return metric_dispatch(frames, [*keys, "metric", arm, *RESULT_COLUMNS])

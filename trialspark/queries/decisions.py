@@ -10,7 +10,7 @@ from ..operators.segments import segment_moments
 from ..operators.moments import pair_arms
 from ..plans import analyze, monitor as mon, verdict as vd
 from ..plans.experiments import customer_units, event_facts, thinned_events
-from ..sources.readers import read_tables
+from ..session import materialize
 from . import sql as S
 from .ratio_and_bayes import DAY, _trend_sql
 from .registry import query
@@ -135,8 +135,9 @@ def _effects(spark, sf):
     return analyze.metric_effects(customer_units(spark, sf), K, ["value", "orders", "pre_value", "early_value", "late_value"])
 
 
-def verdicts(spark, sf):
-    inputs = analyze.tree_inputs(_effects(spark, sf), K, "value", RAIL_SIDES, n_required=40, mde_pct=10.0,
+def verdicts(spark, sf, effects=None):
+    effects = _effects(spark, sf) if effects is None else effects
+    inputs = analyze.tree_inputs(effects, K, "value", RAIL_SIDES, n_required=40, mde_pct=10.0,
                                  early="early_value", late="late_value")
     return analyze.decide(inputs)
 
@@ -171,7 +172,7 @@ def q_verdicts(spark, sf):
 
 def _findings(spark, sf):
     u = customer_units(spark, sf)
-    eff = analyze.metric_effects(u, K, ["value", "orders", "converted", "early_value", "late_value"])
+    eff = materialize(analyze.metric_effects(u, K, ["value", "orders", "converted", "early_value", "late_value"]), "effects")
     inputs = analyze.tree_inputs(eff, K, "value", {"orders": "higher_is_better"}, 60, 10.0, early="early_value", late="late_value")
     signs = eff.groupBy(*K).agg(
         F.array(*[F.signum(F.max(F.when(C("metric") == m, C("diff")))) for m in ("orders", "converted")]).alias("effect_signs"))
@@ -204,9 +205,11 @@ def q_flags(spark, sf):
 SELECT al.experiment_id, name, 'higher_is_better' AS direction, format('{{:+.4g}} ({{:+.1f}}%)', diff, lift_pct) AS lift, format('[{{:+.4g}}, {{:+.4g}}]', ci_lower, ci_upper) AS ci_95,
   format('[{{:+.4g}}, {{:+.4g}}]', al.l90, al.u90) AS ci_90, CASE WHEN role = 'primary' THEN split_part(v, ':', 1) ELSE 'clear' END AS status FROM al JOIN e2 USING (experiment_id)""")
 def q_metric_table(spark, sf):
-    eff = _effects(spark, sf).where(C("metric").isin("value", "orders", "pre_value"))
+    # Verdicts and rows read the same few effects: stored, they come from one scan.
+    stored = materialize(_effects(spark, sf), "effects")
+    eff = stored.where(C("metric").isin("value", "orders", "pre_value"))
     role = F.when(C("metric") == "value", "primary").when(C("metric") == "orders", "guardrail").otherwise("control")
-    v = verdicts(spark, sf).select("experiment_id", "arm", "verdict")
+    v = verdicts(spark, sf, stored).select("experiment_id", "arm", "verdict")
     rows = eff.join(v, ["experiment_id", "arm"]).select(
         "experiment_id", role.alias("role"), C("metric").alias("name"), F.lit("higher_is_better").alias("direction"), "diff", "lift_pct",
         C("ci_lower").alias("ci_lower_95"), C("ci_upper").alias("ci_upper_95"), "ci_lower_90", "ci_upper_90", "verdict")

@@ -392,8 +392,7 @@ def q_cri(spark, sf):
 @query("bayes_decision", f"""WITH {DRAWS}, g AS (SELECT cell, avg(greatest(c - t, 0))/abs(avg(c)) AS lt, avg(greatest(t - c, 0))/abs(avg(c)) AS lc, avg(CASE WHEN t > c THEN 1.0 ELSE 0.0 END) AS pr FROM draws GROUP BY cell)
 SELECT cell, CASE WHEN lt < 0.02 AND pr >= 0.5 THEN 'SHIP' WHEN lc < 0.02 AND pr < 0.5 THEN 'ABORT' ELSE 'CONTINUE' END AS decision FROM g""")
 def q_decision(spark, sf):
-    d = _draws(spark, sf)
-    j = bayes.expected_loss(d, ["cell"]).join(bayes.probability_to_beat(d, ["cell"]), "cell")
+    j = bayes.draws_summary(_draws(spark, sf), ["cell"])
     return j.select("cell", bayes.bayes_decision(C("loss_ship_treatment_rel"), C("loss_ship_control_rel"),
                                                  C("prob_treatment_better"), 0.02, 0.02).alias("decision"))
 
