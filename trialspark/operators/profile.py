@@ -158,7 +158,9 @@ def profile_columns(
                 F.lit(f.name).alias("column_name"),
                 F.lit(kind).alias("dtype"),
                 F.count(col).alias("n_non_null"),
-                F.approx_count_distinct(text).alias("approx_distinct"),
+                # The sketch would keep the whole aggregate out of generated code.
+                (F.lit(0).cast("long") if exact_distinct else F.approx_count_distinct(text))
+                .alias("approx_distinct"),
                 low.alias("min_value"), high.alias("max_value"),
                 F.min(value).alias("min_number"), F.max(value).alias("max_number"),
                 F.avg(value).alias("mean"), F.stddev_samp(value).alias("stddev"),

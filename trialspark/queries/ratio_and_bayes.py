@@ -511,3 +511,18 @@ SELECT experiment_id, n_units, CAST(days AS INTEGER) AS days, {S.rnd('n_units*1.
 def q_surface(spark, sf):
     s = planning.assignment_surface(event_facts(spark, sf), K, "unit_id", "event_at")
     return s.select("experiment_id", "n_units", "days", rnd("units_per_day").alias("units_per_day"))
+
+
+# --- distribution functions -------------------------------------------------------------
+
+
+@query("distribution_functions", f"""WITH x AS (SELECT c_custkey, c_acctbal/2500 AS z, c_nationkey + 3.0 AS df, abs(c_acctbal)/1000 AS c FROM customer)
+SELECT c_custkey, {S.rnd(f"CASE WHEN z >= 0 THEN {S.normal_tail('abs(z)')} ELSE 1 - {S.normal_tail('abs(z)')} END")} AS normal_tail,
+  {S.rnd(f"CASE WHEN z >= 0 THEN {S.t_tail('abs(z)', 'df')} ELSE 1 - {S.t_tail('abs(z)', 'df')} END")} AS t_tail,
+  {S.rnd(S.chi_one('c'))} AS chi_1, {S.rnd('exp(-c/2)*(1 + c/2)')} AS chi_4 FROM x""")
+def q_distributions(spark, sf):
+    from ..functions import distributions as d
+    x = spark.read.parquet(f"{sf}/customer.parquet").select(
+        "c_custkey", (C("c_acctbal") / 2500).alias("z"), (C("c_nationkey") + 3.0).alias("df"), (F.abs("c_acctbal") / 1000).alias("c"))
+    return x.select("c_custkey", rnd(d.norm_sf(C("z"))).alias("normal_tail"), rnd(d.t_sf(C("z"), C("df"))).alias("t_tail"),
+                    rnd(d.chi2_sf(C("c"), F.lit(1))).alias("chi_1"), rnd(d.chi2_sf(C("c"), F.lit(4))).alias("chi_4"))
