@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-
 def null_double() -> Column:
     return F.lit(None).cast("double")
 

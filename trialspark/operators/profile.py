@@ -12,7 +12,7 @@ from ..fixed_values import (
     MIN_MIXED_FORMATS, NULL_IDENTIFIER_RATE, SAMPLE_VALUE_CHARS, SAMPLE_VALUES, TIME_TOKENS,
 )
 from ..fixed_values import DATE_FORMATS
-from ..functions.columns import div, join_messages, null_double, null_string, num
+from ..functions.columns import div, null_double, null_string, num
 from ..functions.text import date_format_of
 from ..session import attach_one_row
 from .quantiles import exact_quantiles

@@ -111,7 +111,7 @@ def event_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def thinned_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Mid-flight loss: a tenth of the treatment events of the second half is missing."""
+    """Mid-flight loss: a third of the treatment events of the second half is missing."""
     ev = event_facts(spark, sf)
     lost = (C("arm") == "treatment") & (C("event_id") % 3 == 0) & (
         C("event_at") >= F.lit("2024-01-16").cast("timestamp")

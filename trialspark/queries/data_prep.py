@@ -9,12 +9,12 @@ from ..functions.columns import rnd
 from ..functions.text import date_format_of, redact, redact_with_counts
 from ..operators import joins, metrics as mx, prep, profile as pf
 from ..plans.experiments import (
-    customer_assignment, customer_units, event_assignment, event_facts, exposed_events, order_facts,
+    customer_assignment, event_assignment, event_facts, exposed_events, order_facts,
 )
 from ..sources.readers import read_tables
 from . import sql as S
 from .registry import query
-from .tests_of_effect import K, _rounded
+from .tests_of_effect import K
 
 C = F.col
 

@@ -9,7 +9,7 @@ from ..operators import logs
 from ..operators.segments import segment_moments
 from ..operators.moments import pair_arms
 from ..plans import analyze, monitor as mon, verdict as vd
-from ..plans.experiments import customer_units, event_facts, thinned_events
+from ..plans.experiments import customer_units, thinned_events
 from ..session import materialize
 from . import sql as S
 from .ratio_and_bayes import DAY, _trend_sql
