@@ -5,8 +5,10 @@ import pytest
 from parity import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
+from trialspark.queries import ORACLE as CORE_ORACLE, QUERIES as CORE_QUERIES
 
-QUERIES, ORACLE = queries(), oracle_sql()
+QUERIES = {name: fn for name, fn in queries().items() if name in CORE_QUERIES}
+ORACLE = {name: sql for name, sql in oracle_sql().items() if name in CORE_ORACLE}
 # Posterior draws have no SQL form; they are tested against exact sums elsewhere.
 DRAWS = {"beta_binomial_test", "normal_normal_test"}
 
