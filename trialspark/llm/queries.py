@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_topk, mixing, permutation_index, simhash_index
+from . import (
+    byte_bpe,
+    exact_topk,
+    html_templates,
+    kernel_langid,
+    license_scan,
+    mixing,
+    permutation_index,
+    simhash_index,
+)
 from .common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +84,33 @@ def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(table(spark, sf_dir, "embeddings"))
 
 
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query("op3_byte_bpe")
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+@query("op5_html_main_text")
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return html_templates.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return kernel_langid.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op6_simhash_classes")
 def op6_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
