@@ -16,6 +16,7 @@ from . import (
     mixing,
     permutation_index,
     simhash_index,
+    suffix_dedup,
 )
 from .common import small_batches, table
 
@@ -105,6 +106,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    cut = suffix_dedup.cut(table(spark, sf_dir, "documents"))
+    return cut.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
