@@ -11,6 +11,7 @@ from . import (
     byte_bpe,
     exact_topk,
     html_templates,
+    katz,
     kernel_langid,
     license_scan,
     mixing,
@@ -94,6 +95,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+@query("op4_katz_scores")
+def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 @query("op5_html_main_text")
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
