@@ -214,13 +214,14 @@ def _all_of():
 def repeated_spans(docs: DataFrame, most: int | None = None) -> DataFrame:
     """``key, n, spans``: for each text with repeated strings, the bytes they cover.
 
-    ``key, n`` are hash and size of the text, ``spans`` its [start, end) ranges,
-    not merged.  Copies of a text are counted and collapse.
+    ``key, n`` are hash and size of the text, ``spans`` its [start, end) ranges.
+    Copies of a text are counted and collapse.
     """
     texts = _texts(docs)
     regions = store(texts.select("data").mapInArrow(_regions, REGIONS), "regions")
     # An anchor that occurs once holds no repeated string.
     again = regions.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    again = store(again, "again")  # a table of its own, so that the join can split hot anchors
     columns = ["key", "n", "anchor", "region", "start", "left", "count"]
     places = store(
         regions.join(again, "anchor", "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")), "places"
@@ -237,6 +238,7 @@ def repeated_spans(docs: DataFrame, most: int | None = None) -> DataFrame:
     )
     # Different regions with one anchor: their suffixes are sorted.
     mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
+    mixed = store(mixed, "mixed")
     wanted = kinds.join(mixed, "anchor", "left_semi").select("one.*", "anchor", "region").groupBy("key", "n").agg(
         F.collect_list(F.struct("start", "left", "count", "anchor", "region")).alias("wanted")
     )
@@ -258,7 +260,17 @@ def repeated_spans(docs: DataFrame, most: int | None = None) -> DataFrame:
     place = F.col("start") + F.col("left")
     span = F.struct((place - F.col("r.last")).alias("start"), (place - F.col("r.first") + LENGTH).alias("end"))
     spans = places.join(lookup(ranges), ["anchor", "region"]).select("key", "n", span.alias("span"))
-    return spans.groupBy("key", "n").agg(F.collect_set("span").alias("spans"))
+    spans = spans.groupBy("key", "n").agg(F.collect_set("span").alias("spans"))
+    return spans.mapInArrow(_merge, "key long, n long, spans array<struct<start long, end long>>")
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [[{"start": a, "end": b} for a, b in merged(x)] for x in batch.column("spans").to_pylist()]
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key"), batch.column("n"), pa.array(spans, kind)], ["key", "n", "spans"]
+        )
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -275,7 +287,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, runs, kept = [], [], []
         for data, spans in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist()):
-            gone = merged(spans or [])
+            gone = [(x["start"], x["end"]) for x in spans or []]
             edges = [0, *(x for s in gone for x in s), len(data)]
             kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
             removed.append(sum(b - a for a, b in gone))
