@@ -65,14 +65,6 @@ def test_blinding_ignores_case(spark):
     assert prep.blind_projection(df, ["id"]).columns == ["id"]
 
 
-def test_purpose_limit_keeps_smaller_requests(spark):
-    df = spark.range(5000)
-    assert prep.purpose_limit(df, "preview").count() == 1000
-    assert prep.purpose_limit(df, "preview", 7).count() == 7
-    with pytest.raises(ValueError):
-        prep.purpose_limit(df, "shape_probe")
-
-
 # --- joins ------------------------------------------------------------------------
 
 def test_exposure_join_routes_agree(spark):

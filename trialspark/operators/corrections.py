@@ -32,7 +32,7 @@ def adjust_pvalues(
     method: str = "holm",
     alpha: float = 0.05,
 ) -> DataFrame:
-    """Adds `p_adjusted` and `rejected`; rows without a p-value stay NULL."""
+    """Adds `p_adjusted` and `rejected`; rows whose p-value is NULL or NaN stay NULL and do not count."""
     out = adjust_all(df, family, p, [method])
     return out.withColumnRenamed(f"p_{method}", "p_adjusted").withColumn(
         "rejected", C("p_adjusted") <= alpha
@@ -58,7 +58,7 @@ def adjust_all(
     up_to_here = (Window.unboundedPreceding, Window.currentRow)
     earlier = (Window.unboundedPreceding, -1)
     distinct = (
-        df.where(C(p).isNotNull())
+        df.where(C(p).isNotNull() & ~F.isnan(p))
         .groupBy(*fam, C(p).alias("_p"))
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_b", _bucket(C("_p")))
@@ -74,7 +74,7 @@ def adjust_all(
             "_m": F.sum("_bc").over(Window.partitionBy(*fam)),
         }
     )
-    ranked = local.join(offsets.drop("_bc"), [*fam, "_b"]).withColumn(
+    ranked = _join_null_safe(local, offsets.drop("_bc"), [*fam, "_b"]).withColumn(
         "_upto", C("_upto") + C("_before")
     )
     # Step-down and step-up candidates of every distinct p.
@@ -96,7 +96,16 @@ def adjust_all(
         "fdr_bh": F.least(F.min("_up").over(falling.rowsBetween(*up_to_here)), C("_u")),
         "bonferroni": C("_m") * C("_p"),
     }
-    adjusted = ranked.join(edges, [*fam, "_b"]).select(
+    adjusted = _join_null_safe(ranked, edges, [*fam, "_b"]).select(
         *fam, C("_p").alias(p), *[F.least(F.lit(1.0), picks[m]).alias(f"p_{m}") for m in methods]
     )
-    return df.join(adjusted, [*fam, p], "left")
+    return _join_null_safe(df, adjusted, [*fam, p], "left")
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join in which a NULL key is a key like any other."""
+    right = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    match = F.lit(True)
+    for c in on:
+        match = match & C(c).eqNullSafe(C(f"_on_{c}"))
+    return left.join(right, match, how).drop(*[f"_on_{c}" for c in on])

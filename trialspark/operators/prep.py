@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..fixed_values import ARM_REVEALING_COLUMNS, HIGH_DROP_RATE, PURPOSE_ROW_LIMITS
+from ..fixed_values import ARM_REVEALING_COLUMNS, HIGH_DROP_RATE
 from ..functions.columns import div, join_messages, num
 from ..session import attach_one_row
 from .quantiles import exact_quantiles
@@ -162,13 +162,5 @@ def blind_projection(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     return df.select(*chosen)
 
 
-def purpose_limit(df: DataFrame, purpose: str, requested: int | None = None) -> DataFrame:
-    """Cap the returned rows by purpose; a smaller request is kept."""
-    if purpose not in PURPOSE_ROW_LIMITS:
-        raise ValueError(f"unknown purpose {purpose!r}")
-    cap = PURPOSE_ROW_LIMITS[purpose]
-    return df.limit(cap if requested is None else min(cap, requested))
-
-
 def peek(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)

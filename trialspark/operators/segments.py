@@ -95,7 +95,7 @@ def late_ratio(
     t = F.unix_micros(C(ts).cast("timestamp")).cast("double")
     ends = df.groupBy(*keys).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"))
     pos = div(t - C("_t0"), C("_t1") - C("_t0"))
-    third = F.when(pos < 1 / 3, 1).when(pos < 2 / 3, 2).otherwise(3)
+    third = F.when(pos < 1 / 3, 1).when(pos < 2 / 3, 2).when(t.isNotNull(), 3)
     v = num(value)
     marked = df.join(small_side(ends, "window-ends"), list(keys)).withColumn("_third", third)
 

@@ -185,10 +185,9 @@ def srm_windows(
         "_r", F.when(C(arm).isNotNull(), F.dense_rank().over(experiment.orderBy(C(arm).asc_nulls_last())))
     )
     ranked = ranked.withColumn("_arms", F.coalesce(F.max("_r").over(experiment), F.lit(0)))
-    # Rows without an arm keep their window alive with a count of 0.
-    ranked = ranked.withColumn("n", F.when(C(arm).isNotNull(), C("n")).otherwise(F.lit(0)))
+    # Rows without an arm belong to no arm: they are left out, as in every SRM count.
     return srm_from_counts(
-        ranked.drop("_r"), [*keys, "window_start"], arm, expected, threshold, n_arms="_arms"
+        ranked.where(C(arm).isNotNull()).drop("_r"), [*keys, "window_start"], arm, expected, threshold, n_arms="_arms"
     )
 
 

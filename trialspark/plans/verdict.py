@@ -27,6 +27,16 @@ def violated_guardrails(guardrails: str = "guardrails") -> Column:
     return F.transform(bad, lambda g: g["metric_name"])
 
 
+def unmeasured_guardrail(guardrails: str = "guardrails") -> Column:
+    """Whether a guardrail lacks the bound its direction needs, so that it can't be called clear."""
+    return F.exists(
+        C(guardrails),
+        lambda g: F.when(g["direction"] == "higher_is_better", g["ci_upper_90"].isNull()).otherwise(
+            g["ci_lower_90"].isNull()
+        ),
+    )
+
+
 def walk_tree(df: DataFrame) -> DataFrame:
     """Adds verdict, terminal_step, reason, mde_absolute and guardrails_violated.
 
@@ -60,15 +70,17 @@ def walk_tree(df: DataFrame) -> DataFrame:
     rungs: list[tuple[Column, str, int, str | None]] = [
         (C("mde_pct").isNull() | C("baseline").isNull(), "UNVERIFIABLE", 0, "missing_input"),
         (C("srm_pass").isNull(), "UNVERIFIABLE", 1, "missing_input"),
-        (~C("srm_pass") & ~C("srm_override_resolved"), "INVALID-SRM", 1, None),
+        (~C("srm_pass") & ~F.coalesce(C("srm_override_resolved"), F.lit(False)), "INVALID-SRM", 1, None),
         (C("guardrails").isNull(), "UNVERIFIABLE", 2, "missing_input"),
         (F.size("guardrails_violated") > 0, "NO-SHIP-GUARDRAIL", 2, None),
-        (C("n_observed").isNull() | null95, "UNVERIFIABLE", 3, "missing_input"),
+        (unmeasured_guardrail(), "UNVERIFIABLE", 2, "missing_input"),
+        (C("n_observed").isNull() | C("n_required").isNull() | null95, "UNVERIFIABLE", 3, "missing_input"),
         (~powered & flat, "INCONCLUSIVE", 3, None),
         (flat & powered & ((hi95 - lo95) / 2 > WIDE_NULL_MULTIPLE * mde), "NO-LIFT", 4, None),
         (null90, "UNVERIFIABLE", 5, "missing_input"),
         (flat & ~_straddles(lo90, hi90), "DIRECTIONAL-ONLY", 5, None),
         (C("primary_lift_magnitude").isNull(), "UNVERIFIABLE", 6, "missing_input"),
+        (~flat & side.isNull(), "UNVERIFIABLE", 6, "missing_input"),
         (benefit & small, "LIFT-WITH-CAVEAT", 6, "small_lift"),
         (benefit & F.coalesce(fresh, F.lit(False)), "LIFT-WITH-CAVEAT", 7, "novelty"),
         (benefit & C("late_ratio").isNull(), "SHIP", 7, "late_ratio_unavailable"),

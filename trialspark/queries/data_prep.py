@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixed_values import DATE_FORMATS, PURPOSE_ROW_LIMITS, REDACTIONS
+from ..fixed_values import DATE_FORMATS, REDACTIONS
 from ..functions.columns import rnd
 from ..functions.text import date_format_of, redact, redact_with_counts
 from ..operators import joins, metrics as mx, prep, profile as pf
@@ -113,17 +113,6 @@ def q_blind(spark, sf):
     return b.groupBy("experiment_id", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("purpose_limit", " UNION ALL ".join(
-    f"SELECT '{p}' AS purpose, least(count(*), {cap}) AS n FROM lineitem" for p, cap in PURPOSE_ROW_LIMITS.items()))
-def q_purpose(spark, sf):
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey")
-    out = None
-    for p in PURPOSE_ROW_LIMITS:
-        part = prep.purpose_limit(li, p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("purpose"), "n")
-        out = part if out is None else out.unionAll(part)
-    return out
-
-
 @query("peek", "SELECT least(count(*), 5) AS n FROM customer")
 def q_peek(spark, sf):
     return prep.peek(spark.read.parquet(f"{sf}/customer.parquet")).agg(F.count(F.lit(1)).alias("n"))

@@ -34,13 +34,17 @@ def save_analysis(df: DataFrame, path: str, analyzed_at: Column) -> None:
 
 
 def latest_analysis(df: DataFrame, keys: Sequence[str], at: str = "analyzed_at") -> DataFrame:
-    """The newest rows of every experiment.
+    """All rows of every experiment's newest analysis, one or more metrics.
 
-    max_by folds map-side; a window would sort an experiment's whole history.
+    The newest time folds map-side and comes back by a join; a window would sort
+    an experiment's whole history.
     """
-    rest = [c for c in df.columns if c not in keys]
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), C(at)).alias("_r"))
-    return newest.select(*keys, "_r.*")
+    newest = df.groupBy(*keys).agg(F.max(at).alias("_newest"))
+    newest = newest.select(*[C(k).alias(f"_on_{k}") for k in keys], "_newest")
+    match = C(at) == C("_newest")
+    for k in keys:
+        match = match & C(k).eqNullSafe(C(f"_on_{k}"))
+    return df.join(newest, match, "left_semi")
 
 
 def list_experiments(df: DataFrame, status: str | None = None) -> DataFrame:

@@ -81,8 +81,11 @@ def srm_of_closed_windows(
     """Verdicts over everything the stream has closed so far."""
     counts = spark.read.parquet(f"{path}/data").groupBy(*keys, "window_start", arm).agg(
         F.sum("n").alias("n")
-    )
-    return srm_from_counts(counts, [*keys, "window_start"], arm, expected, threshold)
+    ).where(C(arm).isNotNull())
+    # An arm that a window lacks counts 0 there: the number of arms is the experiment's.
+    arms = counts.groupBy(*keys).agg(F.count_distinct(arm).alias("_arms"))
+    counts = counts.join(arms, list(keys))
+    return srm_from_counts(counts, [*keys, "window_start"], arm, expected, threshold, n_arms="_arms")
 
 
 def stream_sequential_monitor(
