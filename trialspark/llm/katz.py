@@ -1,11 +1,11 @@
 """Scoring with a Katz backoff bigram model learned from the corpus.
 
-Documents are packed into blocks of some million tokens, each with its sorted
+Documents are packed into blocks of about a million tokens, each with its sorted
 vocabulary of word hashes.  A block asks for its distinct n-grams once, not for
 every token: it sends them, with its own training counts, to the bucket that
 owns them; the bucket sums the counts of all blocks and answers each block.
 Every n-gram of the corpus thus crosses the network once per block that has it.
-Words are 64-bit hashes.
+Words are 64-bit hashes until their buckets have numbered them.
 """
 
 from __future__ import annotations
@@ -27,18 +27,21 @@ from .common import id_text, store, utf8
 HELD_OUT, FOLDS = 2, 7
 # Counts up to this one are discounted.
 DISCOUNTED = 5
-BLOCK_TOKENS = 3 << 20
+BLOCK_TOKENS = 1 << 20
 BUCKET_TOKENS = 1 << 21
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 17
 END = np.uint64(xxhash.xxh64_intdigest(b"end", 1))
 
 
 def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    """An array's bytes, all first bytes before all second ones and so on: high zero bytes cost nothing."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 class _Hashes(dict):
@@ -176,11 +179,12 @@ def _sum_words(asked: pa.Table) -> pa.Table:
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)
     ends = np.cumsum([len(k) for k in keys])
-    rows = [
-        (block, pack(total[place[end - len(k) : end]]), b"")
-        for block, k, end in zip(asked.column("block").to_pylist(), keys, ends)
-    ]
-    return _answers(1, asked.column("bucket")[0].as_py(), rows, total)
+    bucket = asked.column("bucket")[0].as_py()
+    rows = []
+    for block, k, end in zip(asked.column("block").to_pylist(), keys, ends):
+        at = place[end - len(k) : end]  # ascending, as the block's keys are
+        rows.append((block, pack(total[at]), pack(np.diff(at, prepend=0))))
+    return _answers(1, bucket, rows, total)
 
 
 @dataclass
@@ -233,16 +237,21 @@ class Words:
         return np.where(counts > 0, seen, self.unseen)
 
 
-ASKED_2 = "bucket int, block long, histories binary, sizes binary, words binary, counts binary, shares binary"
+ASKED_2 = "bucket int, block long, histories binary, sizes binary, words binary, counts binary, word_counts binary"
+
 
+def _words_of(answers: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts and numbers of a block's vocabulary, from its buckets in order.
 
-def _word_counts(answers: pa.Table) -> np.ndarray:
-    """Training counts of a block's vocabulary, from its buckets in order."""
-    rows = sorted((r["bucket"], r["counts"]) for r in answers.to_pylist() if r["ngram"] == 1)
-    return np.concatenate([unpack(c, np.int64) for _, c in rows])
+    A word's number is its place in its bucket, then the bucket: far shorter
+    than its hash, and no two words share one.
+    """
+    rows = sorted((r["bucket"], r["counts"], r["histories"]) for r in answers.to_pylist() if r["ngram"] == 1)
+    numbers = [(np.cumsum(unpack(x, np.int64)) << bits) + bucket for bucket, _, x in rows]
+    return np.concatenate([unpack(c, np.int64) for _, c, _ in rows]), np.concatenate(numbers)
 
 
-def _ask_pairs(bits: int, words: Words):
+def _ask_pairs(bits: int):
     names = [c.split()[0] for c in ASKED_2.split(", ")]
 
     def run(left: pa.Table, answers: pa.Table) -> pa.Table:
@@ -250,16 +259,16 @@ def _ask_pairs(bits: int, words: Words):
         for row in left.to_pylist():
             b = Block.of(row)
             pairs, inverse = b.pairs()
-            counts = np.bincount(inverse[b.train], minlength=len(pairs)).astype(np.uint32)
-            share = words.p(_word_counts(answers))
+            counts = np.bincount(inverse[b.train], minlength=len(pairs))
+            word_counts, numbers = _words_of(answers, bits)
             history, word = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
             at = bounds(b.vocab[history], bits)
             for i in np.flatnonzero(np.diff(at)).tolist():
                 part = slice(at[i], at[i + 1])
                 own, sizes = np.unique(history[part], return_counts=True)
                 values = (
-                    i, row["block"], pack(b.vocab[own]), pack(sizes.astype(np.uint32)), pack(b.vocab[word[part]]),
-                    pack(counts[part]), pack(share[word[part]]),
+                    i, row["block"], pack(numbers[own]), pack(sizes), pack(numbers[word[part]]), pack(counts[part]),
+                    pack(word_counts[word[part]]),
                 )
                 for x, v in zip(out, values):
                     x.append(v)
@@ -272,9 +281,15 @@ def _ask_pairs(bits: int, words: Words):
 HISTORY = np.dtype([("total", "<i8"), ("small", "<i4", DISCOUNTED), ("shares", "<f8")])
 
 
-def _sum_pairs(asked: pa.Table) -> pa.Table:
-    get = lambda c, kind: [unpack(x, kind) for x in asked.column(c).to_pylist()]
-    own, sizes, words = get("histories", np.uint64), get("sizes", np.uint32), get("words", np.uint64)
+def _sum_pairs(order_1: Words):
+    return lambda asked: _pair_answers(asked, order_1)
+
+
+def _pair_answers(asked: pa.Table, order_1: Words) -> pa.Table:
+    own, sizes, words, counts, word_counts = (
+        [unpack(x, np.int64) for x in asked.column(c).to_pylist()]
+        for c in ("histories", "sizes", "words", "counts", "word_counts")
+    )
     lengths = [len(w) for w in words]
     histories = np.concatenate([np.repeat(o, s) for o, s in zip(own, sizes)])
     words = np.concatenate(words)
@@ -284,9 +299,9 @@ def _sum_pairs(asked: pa.Table) -> pa.Table:
     group = np.cumsum(new) - 1
     place = np.empty(len(h), np.int64)
     place[order] = group
-    total = np.bincount(place, np.concatenate(get("counts", np.uint32)), group[-1] + 1).astype(np.int64)
+    total = np.bincount(place, np.concatenate(counts), group[-1] + 1).astype(np.int64)
     share = np.zeros(len(total))
-    share[place] = np.concatenate(get("shares", np.float64))
+    share[place] = order_1.p(np.concatenate(word_counts))
     # What a history's backoff weight needs: its count, its continuations' counts
     # by small count, and the order-1 shares of its continuations.
     distinct, at = np.unique(h[new], return_inverse=True)
@@ -297,7 +312,7 @@ def _sum_pairs(asked: pa.Table) -> pa.Table:
         known["small"][:, c - 1] = np.bincount(at[total == c], minlength=len(distinct))
     ends = np.cumsum(lengths)
     rows = [
-        (block, pack(total[place[end - n : end]].astype(np.uint32)), pack(known[np.searchsorted(distinct, o)]))
+        (block, pack(total[place[end - n : end]]), pack(known[np.searchsorted(distinct, o)]))
         for block, n, end, o in zip(asked.column("block").to_pylist(), lengths, ends, own)
     ]
     return _answers(2, asked.column("bucket")[0].as_py(), rows, total)
@@ -338,7 +353,7 @@ SCORES = (
 )
 
 
-def _score(model: Model):
+def _score(model: Model, bits: int):
     names = [c.split()[0] for c in SCORES.split(", ")]
     d = model.words.discounts
 
@@ -348,8 +363,8 @@ def _score(model: Model):
         for row in left.to_pylist():
             b = Block.of(row)
             pairs, inverse = b.pairs()
-            word_counts = _word_counts(answers)
-            counts = np.concatenate([unpack(c, np.uint32) for _, c, _ in found]).astype(np.int64)
+            word_counts, _ = _words_of(answers, bits)
+            counts = np.concatenate([unpack(c, np.int64) for _, c, _ in found])
             own = np.concatenate([unpack(x, HISTORY) for _, _, x in found])
             _, at = np.unique(pairs >> np.uint64(32), return_inverse=True)
             word = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -406,10 +421,10 @@ def score(docs: DataFrame) -> DataFrame:
     _let_go(spark)
 
     by_block = blocks.groupBy("block")
-    asked = by_block.cogroup(one.groupBy("block")).applyInArrow(_ask_pairs(bits, words), ASKED_2)
-    two = store(asked.groupBy("bucket").applyInArrow(_sum_pairs, ANSWERS), "pairs")
+    asked = by_block.cogroup(one.groupBy("block")).applyInArrow(_ask_pairs(bits), ASKED_2)
+    two = store(asked.groupBy("bucket").applyInArrow(_sum_pairs(words), ANSWERS), "pairs")
     model = Model(words, Discounts.of(*_sums(two)))
     del asked
     _let_go(spark)
     answers = one.unionByName(two)
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_score(model), SCORES)
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_score(model, bits), SCORES)
