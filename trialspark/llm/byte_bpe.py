@@ -16,7 +16,7 @@ LEAF_CHARS = 4096
 LEAF_BYTES = 48
 LEAF_IDS = 4096
 CACHED_PIECES = 1 << 18
-CACHED_PAIRS = 1 << 17
+CACHED_PAIRS = 1 << 14
 
 
 class Bpe:

@@ -38,8 +38,9 @@ class Grams:
 
     def __init__(self, grams: np.ndarray):
         self.n = len(grams)
-        self.place = np.full(SPACE, self.n, np.int32)
-        self.place[grams] = np.arange(self.n)
+        kind = np.uint16 if self.n < 1 << 16 else np.int32
+        self.place = np.full(SPACE, self.n, kind)
+        self.place[grams] = np.arange(self.n, dtype=kind)
 
     def presence(self, data: bytes) -> Iterator[np.ndarray]:
         """Normed presence rows (blocks x n-grams), some blocks at a time."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import store, utf8
+from .common import lookup, store, utf8
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -109,20 +110,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
     known = store(classes(docs), "known")
     kept = known.where("doc_id = component_id").groupBy("doc_id").count()
     keep = store(kept, "kept")
-    stay = docs.join(keep.select(F.col("doc_id").alias("_kept")), F.col("doc_id") == F.col("_kept"), "left_semi")
-    twice = keep.where("count > 1").select(F.col("doc_id").alias("_kept"))
-    once = stay.join(twice, F.col("doc_id") == F.col("_kept"), "left_anti")
-    some = stay.join(twice, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    ids = lookup(store(keep.select(F.col("doc_id").alias("_kept")), "ids"))
+    stay = docs.join(ids, F.col("doc_id") == F.col("_kept"), "left_semi")
+    twice = lookup(store(keep.where("count > 1").select(F.col("doc_id").alias("_kept")), "twice"))
+    if twice.isEmpty():
+        parts = [stay]
+    else:
+        again = F.col("doc_id") == F.col("_kept")
+        parts = [stay.join(twice, again, "left_anti"), stay.join(twice, again, "left_semi").dropDuplicates(["doc_id"])]
     # Rows of classes in which no row has an id: one per text stands for them.
     nameless = known.where("component_id is null").select("fp").distinct()
     if nameless.isEmpty():
-        return once.unionByName(some)
+        return reduce(DataFrame.unionByName, parts)
     without = docs.where("doc_id is null").dropDuplicates(["text"])
     marked = without.select(F.struct("*").alias("_doc"), utf8().alias("text"), F.col("doc_id")).mapInArrow(
         _marked, without.select(F.struct("*").alias("_doc")).schema.add("_fp", "long")
     )
     alone = marked.join(nameless.withColumnRenamed("fp", "_fp"), "_fp", "left_semi").dropDuplicates(["_fp"])
-    return once.unionByName(some).unionByName(alone.select("_doc.*"))
+    return reduce(DataFrame.unionByName, [*parts, alone.select("_doc.*")])
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
