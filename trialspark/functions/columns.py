@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 
@@ -59,3 +61,13 @@ def let(bindings: dict[str, Column], body) -> Column:
     """
     row = F.struct(*[v.alias(k) for k, v in bindings.items()])
     return F.element_at(F.transform(F.array(row), body), 1)
+
+
+def canonical_text(texts: Sequence[Column]) -> Column:
+    """One text for a row of texts; different rows never share it.
+
+    Each text follows its length, and a missing one is a dash.
+    """
+    return F.concat(
+        *[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    )

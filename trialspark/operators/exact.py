@@ -118,7 +118,11 @@ def is_small_sample(n: Column, successes: Column) -> Column:
 
 
 def small_sample_switch(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Exact test for cells with n < 30 or fewer than 5 successes, else the z test."""
+    """Both tests of every cell; `test` names the one to report.
+
+    That is the exact test for n < 30 or fewer than 5 successes, else the z
+    test; `p_value` is its p, `p_fisher` and `p_proportion` are both.
+    """
     small = is_small_sample(C("n_control"), C("total_control")) | is_small_sample(
         C("n_treatment"), C("total_treatment")
     )
@@ -129,4 +133,6 @@ def small_sample_switch(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
         *base,
         F.when(C("_small"), "fisher").otherwise("proportion").alias("test"),
         F.when(C("_small"), C("p_value")).otherwise(C("_pz")).alias("p_value"),
+        C("p_value").alias("p_fisher"),
+        C("_pz").alias("p_proportion"),
     ).withColumn("significant", C("p_value") < alpha)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import GUARDRAIL_MARGINAL_P
-from ..functions.columns import div
+from ..functions.columns import div, null_double
 from ..functions.distributions import norm_sf, t_quantile, t_sf, z_value
 from ..session import materialize
 from .hypothesis import proportion_from_counts, welch_from_moments
@@ -96,15 +96,15 @@ def guardrail_health(
     """Every guardrail metric in one scan; a two-sided interval against its margin.
 
     `thresholds`: metric -> {nim, direction: decrease|increase, type: continuous|binary}.
-    A metric that is not a column is reported as WARNING.
+    A metric that is not a column is reported as WARNING, also when none is.
     """
-    present = {m: m for m in thresholds if m in df.columns}
     absent = [m for m in thresholds if m not in df.columns]
-    moments = metric_moments(df, keys, present, arm)
+    values = {m: null_double() if m in absent else m for m in thresholds}
+    moments = metric_moments(df, keys, values, arm)
     pairs = pair_arms(moments, [*keys, "metric"], arm, control)
-    binary = [m for m in present if str(thresholds[m].get("type", "continuous")).lower() == "binary"]
+    binary = [m for m in values if m not in absent and str(thresholds[m].get("type", "continuous")).lower() == "binary"]
     is_binary = C("metric").isin(binary) if binary else F.lit(False)
-    if binary and len(binary) < len(present):
+    if binary and len(binary) < len(values):
         # Two tests read the few paired rows; stored, they come from one scan.
         pairs = materialize(pairs, "guardrail-moments")
     common = ["diff", "ci_lower", "ci_upper", "p_value", "error"]
@@ -118,6 +118,9 @@ def guardrail_health(
     tested = mean.unionByName(rate) if binary else mean
     nim = F.abs(_spec("metric", thresholds, "nim", 0.0).cast("double"))
     direction = _spec("metric", thresholds, "direction", "decrease")
+    if absent:
+        missing = F.when(C("metric").isin(absent), "metric_missing").otherwise(C("error"))
+        tested = tested.withColumn("error", missing)
     step = tested.withColumns({"nim": nim, "direction": direction})
     step = step.withColumn(
         "nim_absolute", F.when(C("baseline") != 0, C("nim") * F.abs("baseline")).otherwise(C("nim"))
@@ -133,23 +136,13 @@ def guardrail_health(
         C("worst_case_effect") > C("margin")
     )
     wrong_way = F.when(down, C("diff") < 0).otherwise(C("diff") > 0)
-    out = step.withColumn(
+    return step.withColumn(
         "verdict",
         F.when(C("error").isNotNull(), "WARNING")
         .when(beyond, "BLOCK")
         .when(wrong_way & (C("p_value") < GUARDRAIL_MARGINAL_P), "WARNING")
         .otherwise("PASS"),
     )
-    if absent:
-        names = F.array(*[F.lit(m) for m in absent])
-        cells = out.select(*keys, arm).distinct().withColumn("metric", F.explode(names))
-        out = out.unionByName(
-            cells.withColumns(
-                {"verdict": F.lit("WARNING"), "error": F.lit("metric_missing")}
-            ),
-            allowMissingColumns=True,
-        )
-    return out
 
 
 def worst_verdict(df: DataFrame, keys: Sequence[str], verdict: str = "verdict") -> DataFrame:

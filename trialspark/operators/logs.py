@@ -7,10 +7,12 @@ of the log and still spreads over all tasks.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.columns import canonical_text
 from ..fixed_values import (
     ADMIN_HEADS, ADMIN_LEAVES, BACKWARD_TRANSITIONS, FORWARD_TRANSITIONS, GENESIS,
     LIFECYCLE_STATES, MATERIAL_HEADS, STATUS_RANK,
@@ -20,8 +22,10 @@ C = F.col
 
 
 def canonical(columns: Sequence[str]) -> Column:
-    """The text an entry's hash covers."""
-    return F.concat_ws("|", *[F.coalesce(C(c).cast("string"), F.lit("")) for c in columns])
+    """The text an entry's hash covers: a lone column as it stands, several with their lengths."""
+    if len(columns) == 1:
+        return F.coalesce(C(columns[0]).cast("string"), F.lit(""))
+    return canonical_text([C(c).cast("string") for c in columns])
 
 
 def with_previous(df: DataFrame, key: str, seq: str, carry: dict[str, Column]) -> DataFrame:
@@ -183,10 +187,36 @@ def config_diff(
 
 
 def flatten_config(df: DataFrame, keys: Sequence[str], config: str) -> DataFrame:
-    """A MAP<STRING,STRING> or one-level JSON configuration as (path, value) rows."""
-    dt = dict(df.dtypes)[config]
-    pairs = C(config) if dt.startswith("map") else F.from_json(C(config), "map<string,string>")
-    return df.select(*keys, F.explode(pairs).alias("path", "value"))
+    """A MAP<STRING,STRING> or JSON configuration as (path, value) rows.
+
+    JSON nests to any depth: `a.b` is a member, `a[0]` an item; an empty object
+    or list is a row of its own, and text that is not JSON gives no rows.
+    """
+    if dict(df.dtypes)[config].startswith("map"):
+        return df.select(*keys, F.explode(config).alias("path", "value"))
+    flat = F.udf(_leaves, "array<struct<path:string,value:string>>", useArrow=True)
+    return df.select(*keys, F.inline(flat(C(config))))
+
+
+def _leaves(text: str | None) -> list[dict] | None:
+    """Leaves of one configuration in order; numbers as they are written."""
+    if text is None:
+        return None
+    try:
+        todo = [("", json.loads(text, parse_float=str, parse_int=str, parse_constant=str))]
+    except ValueError:
+        return None
+    out = []
+    while todo:
+        path, x = todo.pop()
+        if isinstance(x, dict) and x:
+            todo += [(f"{path}.{k}" if path else k, v) for k, v in reversed(x.items())]
+        elif isinstance(x, list) and x:
+            todo += [(f"{path}[{i}]", x[i]) for i in reversed(range(len(x)))]
+        else:
+            value = x if x is None or isinstance(x, str) else json.dumps(x)
+            out.append({"path": path, "value": value})
+    return out
 
 
 def amendments(

@@ -153,13 +153,34 @@ def cohort_window(
 
 
 def blind_projection(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Refuse arm-revealing columns while results must not be seen."""
+    """Refuse arm-revealing columns while results must not be seen.
+
+    A column is also refused under another name, or where rows are filtered or
+    computed by it: the optimized plan, in which unused columns are gone, must
+    not refer to one.
+    """
     chosen = list(columns) if columns is not None else df.columns
     blinded = {c.lower() for c in ARM_REVEALING_COLUMNS}
     leaked = [c for c in chosen if c.lower() in blinded]
     if leaked:
         raise BlindedColumnError(f"blinded at design time: {leaked}")
-    return df.select(*chosen)
+    out = df.select(*chosen)
+    used = sorted(c for c in _referenced(out) if c.lower() in blinded)
+    if used:
+        raise BlindedColumnError(f"blinded at design time, also under other names: {used}")
+    return out
+
+
+def _referenced(df: DataFrame) -> set[str]:
+    """Names of the columns that the optimized plan's nodes compute with."""
+    todo, names = [df._jdf.queryExecution().optimizedPlan()], set()
+    while todo:
+        node = todo.pop()
+        refs = node.references().toSeq()
+        names |= {refs.apply(i).name() for i in range(refs.size())}
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return names
 
 
 def peek(df: DataFrame, n: int = 5) -> DataFrame:

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..fixed_values import (
-    ARM_NAME_HINTS, CONTROL_LABELS, EXACT_DISTINCT_MAX_ROWS, ID_TOKENS, IDENTIFIER_NAMES,
-    IDENTIFIER_NOUNS, IDENTIFIER_SUFFIXES, MAX_FORMAT_SAMPLES, MAX_SEGMENT_LEVELS,
-    MIN_MIXED_FORMATS, NULL_IDENTIFIER_RATE, SAMPLE_VALUE_CHARS, SAMPLE_VALUES, TIME_TOKENS,
+    ARM_NAME_HINTS, CONTROL_LABELS, ID_TOKENS, IDENTIFIER_NAMES, IDENTIFIER_NOUNS,
+    IDENTIFIER_SUFFIXES, MAX_SEGMENT_LEVELS, MIN_MIXED_FORMATS, NULL_IDENTIFIER_RATE,
+    SAMPLE_VALUES, TIME_TOKENS,
 )
 from ..fixed_values import DATE_FORMATS
-from ..functions.columns import div, null_double, null_string, num
+from ..functions.columns import canonical_text, div, null_double, null_string, num
 from ..functions.text import date_format_of
-from ..session import attach_one_row
+from ..session import attach_one_row, materialize
 from .quantiles import exact_quantiles
 
 C = F.col
@@ -79,12 +79,11 @@ def _long(df: DataFrame, numeric_only: bool = False) -> DataFrame:
 def distinct_values(df: DataFrame, predicate: Column | None = None) -> DataFrame:
     """Distinct values per column, keyed by digest so long texts do not travel.
 
-    Only a truncated sample text is kept beside the digest.
+    The value itself stays beside the digest; `predicate` keeps few of them.
     """
     long = _long(df).where(C("text").isNotNull())
     keyed = long.select(
-        "column_name", F.md5(C("text")).alias("digest"),
-        F.left(C("text"), F.lit(SAMPLE_VALUE_CHARS)).alias("sample"),
+        "column_name", F.md5(C("text")).alias("digest"), C("text").alias("sample")
     )
     return (
         (keyed if predicate is None else keyed.where(predicate))
@@ -111,38 +110,48 @@ def sample_values(df: DataFrame, n: int = SAMPLE_VALUES) -> DataFrame:
 
     The first n digests are wanted, so digests far above them are dropped in the
     scan: with the column's sketched distinct count, about SURVIVORS * n / 10
-    distinct values stay, and only those are shuffled.
+    distinct values stay, and only those are shuffled.  Should a sketch have
+    been so wrong that fewer than n stay, the share is widened and taken again.
+    Values are whole.
     """
     fields = df.schema.fields
     rough = df.agg(
         *[F.approx_count_distinct(_text(f.name, f.dataType)).alias(f.name) for f in fields]
     ).first()
     keep = SURVIVORS * max(1.0, n / 10)
-    limit = F.lit(2.0**32)
-    for f in fields:
-        share = keep / max(rough[f.name], 1)
-        if share < 1:
-            limit = F.when(C("column_name") == f.name, F.lit(share * 2.0**32)).otherwise(limit)
     head = F.conv(F.substring(C("digest"), 1, 8), 16, 10).cast("double")
     by_digest = Window.partitionBy("column_name").orderBy("digest")
-    return (
-        distinct_values(df, head <= limit)
-        .withColumn("rank", F.row_number().over(by_digest))
-        .where(C("rank") <= n)
-        .select("column_name", "rank", "sample")
-    )
+    while True:
+        limit, thinned = F.lit(2.0**32), []
+        for f in fields:
+            share = keep / max(rough[f.name], 1)
+            if share < 1:
+                thinned.append(f.name)
+                limit = F.when(C("column_name") == f.name, F.lit(share * 2.0**32)).otherwise(limit)
+        ranked = (
+            distinct_values(df, head <= limit)
+            .withColumn("rank", F.row_number().over(by_digest))
+            .where(C("rank") <= n)
+            .select("column_name", "rank", "sample")
+        )
+        if not thinned:
+            return ranked
+        found = materialize(ranked, "samples")
+        counts = {r[0]: r[1] for r in found.groupBy("column_name").count().collect()}
+        if all(counts.get(name, 0) >= n for name in thinned):
+            return found
+        keep *= 16
 
 
 def profile_columns(
-    df: DataFrame, n_samples: int = SAMPLE_VALUES, exact_distinct: bool | None = None
+    df: DataFrame, n_samples: int = SAMPLE_VALUES, exact_distinct: bool = False
 ) -> DataFrame:
     """One row per column from one wide aggregate.
 
-    Quartiles are exact (bracketed quantiles).  Distinct counts are exact up to
-    a million rows and sketched above; `exact_distinct` overrides.
+    Quartiles are exact (bracketed quantiles).  Distinct counts are sketched, or
+    exact at the price of a shuffle of all distinct values; `distinct_method`
+    names which, whatever the size.
     """
-    if exact_distinct is None:
-        exact_distinct = df.count() <= EXACT_DISTINCT_MAX_ROWS
     rows = []
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, f in enumerate(df.schema.fields):
@@ -195,8 +204,11 @@ def profile_columns(
             .select("column_name", C("_s.sample").alias("sample_values"))
         )
         out = out.join(samples, "column_name", "left")
-    return out.withColumn(
-        "null_rate", F.coalesce(1 - div(C("n_non_null"), C("n_rows")), F.lit(0.0))
+    return out.withColumns(
+        {
+            "null_rate": F.coalesce(1 - div(C("n_non_null"), C("n_rows")), F.lit(0.0)),
+            "distinct_method": F.lit("exact" if exact_distinct else "sketch"),
+        }
     ).drop("approx_distinct")
 
 
@@ -255,8 +267,8 @@ def detect_mixed_timestamps(df: DataFrame, columns: Sequence[str] | None = None)
         "n_dates",
         F.size("_f").alias("n_formats"),
         (F.size("_f") >= MIN_MIXED_FORMATS).alias("mixed_format_detected"),
-        F.slice(C("_f.format"), 1, MAX_FORMAT_SAMPLES).alias("formats"),
-        F.slice(C("_f.sample"), 1, MAX_FORMAT_SAMPLES).alias("format_samples"),
+        C("_f.format").alias("formats"),
+        C("_f.sample").alias("format_samples"),
     )
 
 
@@ -277,30 +289,37 @@ def _has_token(name: str, tokens: Sequence[str]) -> bool:
     return any(t in lowered for t in tokens)
 
 
-def low_cardinality(df: DataFrame, names: Sequence[str], limit: int) -> dict[str, int]:
-    """Exact distinct counts where they can be at most `limit`.
+def low_cardinality(
+    df: DataFrame, names: Sequence[str], limit: int
+) -> tuple[dict[str, int], dict[str, int]]:
+    """Exact distinct counts of the columns with at most `limit` values, and the wider columns' counts.
 
     A sketch pass rules out the wide columns, so the exact pass never shuffles
-    a high-cardinality column.  Only the counts come to the driver.
+    a high-cardinality column.  Only the counts come to the driver; those of
+    columns ruled out by the sketch are the sketch's.
     """
     if not names:
-        return {}
+        return {}, {}
     rough = df.agg(*[F.approx_count_distinct(C(c), 0.02).alias(c) for c in names]).first()
     near = [c for c in names if rough[c] <= 5 * limit]
-    if not near:
-        return {}
-    exact = df.agg(*[F.count_distinct(C(c)).alias(c) for c in near]).first()
-    return {c: exact[c] for c in near if exact[c] <= limit}
+    exact = df.agg(*[F.count_distinct(C(c)).alias(c) for c in near]).first().asDict() if near else {}
+    counts = {c: exact.get(c, rough[c]) for c in names}
+    few = {c: n for c, n in counts.items() if c in exact and n <= limit}
+    return few, {c: n for c, n in counts.items() if c not in few}
+
 
+def discover_roles(df: DataFrame, max_levels: int = MAX_SEGMENT_LEVELS) -> DataFrame:
+    """One row naming the arm, control, metric, segment, time and unit columns.
 
-def discover_roles(df: DataFrame) -> DataFrame:
-    """One row naming the arm, control, metric, segment, time and unit columns."""
+    A column with more than `max_levels` values is no segment; `wide_columns`
+    reports those with their number of values.
+    """
     spark = df.sparkSession
     fields = {f.name: f.dataType for f in df.schema.fields}
     plain = [n for n, d in fields.items() if coalesce_type(d) != "unknown"]
     numeric = [n for n in fields if _is_numeric(fields[n])]
     not_id = [n for n in plain if not _has_token(n, ID_TOKENS)]
-    counts = low_cardinality(df, not_id, MAX_SEGMENT_LEVELS)
+    counts, wide = low_cardinality(df, not_id, max_levels)
     lowered = {n.lower(): n for n in fields}
 
     arm, conf = None, "none"
@@ -312,24 +331,27 @@ def discover_roles(df: DataFrame) -> DataFrame:
         if few:
             arm, conf = min(few)[2], "medium" if len(few) == 1 else "low"
 
-    control, control_conf, arms = None, "none", []
+    control, control_conf, labels = None, "none", None
     if arm is not None:
-        # Arm labels are few by definition; a wide column is cut off and flagged.
-        labels = [
-            r[0]
-            for r in df.where(C(arm).isNotNull()).select(C(arm).cast("string")).distinct()
-            .orderBy(C(arm).cast("string")).limit(1000).collect()
-        ]
-        by_label = {v.lower(): v for v in labels}
-        known = [by_label[h] for h in CONTROL_LABELS if h in by_label]
-        zero = [v for v in labels if _as_float(v) == 0.0] if len(labels) == 2 else []
+        labels = df.where(C(arm).isNotNull()).select(C(arm).cast("string").alias("label")).distinct()
+        hints = F.map_from_entries(
+            F.collect_list(F.when(C("_hint"), F.struct(C("_low"), C("_most"))))
+        )
+        seen = (
+            labels.groupBy(F.lower("label").alias("_low"))
+            .agg(F.max("label").alias("_most"), F.count(F.lit(1)).alias("_k"))
+            .withColumn("_hint", C("_low").isin(CONTROL_LABELS))
+            .agg(hints.alias("hints"), F.sum("_k").alias("n"), F.min("_most").alias("a"), F.max("_most").alias("b"))
+            .first()
+        )
+        known = [seen.hints[h] for h in CONTROL_LABELS if h in seen.hints]
+        zero = [v for v in (seen.a, seen.b) if _as_float(v) == 0.0] if seen.n == 2 else []
         if known:
             control, control_conf = known[0], "high"
         elif zero:
             control, control_conf = zero[0], "medium"
-        elif labels:
+        elif seen.n:
             control_conf = "low"
-        arms = [v for v in labels if v != control]
 
     metrics = [n for n in numeric if n != arm and not _has_token(n, ID_TOKENS)]
     segments = []
@@ -367,10 +389,11 @@ def discover_roles(df: DataFrame) -> DataFrame:
     if not metrics:
         questions.append("Which columns are outcomes?")
     schema = (
-        "arm_column string, control_value string, treatment_values array<string>, "
+        "arm_column string, control_value string, "
         "metric_columns array<string>, segment_columns array<string>, "
         "timestamp_columns array<string>, unit_columns array<string>, "
-        "confidence map<string,string>, questions array<string>, n_columns int"
+        "confidence map<string,string>, questions array<string>, n_columns int, "
+        "wide_columns map<string,long>"
     )
     confidence = {
         "arm_column": conf, "control_value": control_conf,
@@ -378,8 +401,14 @@ def discover_roles(df: DataFrame) -> DataFrame:
         "segment_columns": "high" if segments else "none",
         "timestamp_columns": "high" if times else "none",
     }
-    row = (arm, control, arms, metrics, segments, times, units, confidence, questions, len(fields))
-    return spark.createDataFrame([row], schema)
+    row = (arm, control, metrics, segments, times, units, confidence, questions, len(fields), wide)
+    out = spark.createDataFrame([row], schema)
+    if labels is None:
+        return out.withColumn("treatment_values", F.array().cast("array<string>"))
+    # However many labels there are, they go from the aggregate into the result, not through the driver.
+    others = labels if control is None else labels.where(C("label") != control)
+    listed = others.agg(F.sort_array(F.collect_list("label")).alias("treatment_values"))
+    return attach_one_row(out, listed)
 
 
 def _as_float(text: str) -> float | None:
@@ -415,12 +444,11 @@ def content_lock(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """Order-free digest of all rows: count, sum and xor of row hashes.
 
     A partial aggregate per task and one merge; no global sort.  Rows hash by
-    MD5 so that other engines can repeat the lock.
+    MD5 of their canonical text, so that other engines can repeat the lock.
     """
     names = list(columns or df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
-    row = F.concat_ws("\x1f", *[F.coalesce(_text(n, types[n]), F.lit("\x00")) for n in names])
-    digest = F.md5(row)
+    digest = F.md5(canonical_text([_text(n, types[n]) for n in names]))
 
     def word(start: int) -> Column:
         return F.conv(F.substring(digest, start, 8), 16, 10).cast("long")

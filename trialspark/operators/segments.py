@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import div, num
 from ..session import small_side
@@ -18,48 +18,25 @@ C = F.col
 def segment_moments(
     df: DataFrame, keys: Sequence[str], segments: Sequence[str], value: str, arm: str = "arm"
 ) -> DataFrame:
-    """Moments per pre-registered segment level, in one scan.
+    """Moments per pre-registered segment level, in one scan and one shuffle.
 
-    The finest cells (all segments together) are aggregated first; their
-    (n, mean, M2) then merge into each single-segment cell, so rows are not
-    repeated once per segment.
+    A row meets one cell per segment inside its task, where cells combine before
+    the shuffle: what is shuffled is one row per cell and task, also for a level
+    that owns a third of all rows.
     """
-    v = num(value)
-    fine = (
-        df.where(C(arm).isNotNull())
-        .groupBy(*keys, arm, *segments)
-        .agg(
-            F.count(v).alias("_n"),
-            F.avg(v).alias("_m"),
-            (F.var_pop(v) * F.count(v)).alias("_m2"),
-        )
-        .where(C("_n") > 0)
-    )
     levels = F.array(
         *[
             F.struct(F.lit(s).alias("segment"), C(s).cast("string").alias("segment_value"))
             for s in segments
         ]
     )
-    long = fine.select(*keys, arm, "_n", "_m", "_m2", F.inline(levels)).where(
-        C("segment_value").isNotNull()
-    )
-    cell = [*keys, "segment", "segment_value", arm]
-    whole = Window.partitionBy(*cell)
-    mean = div(F.sum(C("_n") * C("_m")).over(whole), F.sum("_n").over(whole))
-    d = C("_m") - C("_mean")
+    rows = df.where(C(arm).isNotNull()).select(*keys, arm, num(value).alias("_v"), F.inline(levels))
     return (
-        long.withColumn("_mean", mean)
-        .groupBy(*cell)
+        rows.where(C("segment_value").isNotNull() & C("_v").isNotNull())
+        .groupBy(*keys, "segment", "segment_value", arm)
         .agg(
-            F.sum("_n").alias("n"),
-            F.max("_mean").alias("mean"),
-            F.sum(C("_m2") + C("_n") * d * d).alias("_ss"),
-        )
-        .select(
-            *cell, "n", "mean",
-            F.when(C("n") > 1, div(C("_ss"), C("n") - 1)).alias("var"),
-            (C("n") * C("mean")).alias("total"),
+            F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.var_samp("_v").alias("var"),
+            F.sum("_v").alias("total"),
         )
     )
 
@@ -90,7 +67,8 @@ def late_ratio(
 ) -> DataFrame:
     """Effect in the last third of the exposure window over that in the first third.
 
-    The window's ends are one row per experiment; rows then fall into a third.
+    One row per treatment arm.  The window's ends are one row per experiment;
+    rows then fall into a third, rows without a time into none.
     """
     t = F.unix_micros(C(ts).cast("timestamp")).cast("double")
     ends = df.groupBy(*keys).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"))
@@ -99,12 +77,12 @@ def late_ratio(
     v = num(value)
     marked = df.join(small_side(ends, "window-ends"), list(keys)).withColumn("_third", third)
 
-    def mean_of(arm_is_control: bool, which: int):
-        side = C(arm) == control if arm_is_control else C(arm) != control
-        return F.avg(F.when(side & (C("_third") == which), v))
-
-    out = marked.where(C(arm).isNotNull()).groupBy(*keys).agg(
-        (mean_of(False, 1) - mean_of(True, 1)).alias("early_effect"),
-        (mean_of(False, 3) - mean_of(True, 3)).alias("late_effect"),
+    means = marked.where(C(arm).isNotNull()).groupBy(*keys, arm).agg(
+        F.avg(F.when(C("_third") == 1, v)).alias("early"), F.avg(F.when(C("_third") == 3, v)).alias("late")
+    )
+    out = pair_arms(means, keys, arm, control).select(
+        *keys, arm,
+        (C("early_treatment") - C("early_control")).alias("early_effect"),
+        (C("late_treatment") - C("late_control")).alias("late_effect"),
     )
     return out.withColumn("late_ratio", div(C("late_effect"), C("early_effect")))

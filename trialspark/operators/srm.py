@@ -14,6 +14,7 @@ from ..fixed_values import (
 from ..functions.columns import div
 from ..functions.distributions import chi2_sf
 from .moments import variant_counts
+from .profile import low_cardinality
 
 C = F.col
 
@@ -85,17 +86,12 @@ def srm_check(
     return srm_from_counts(variant_counts(df, keys, arm), keys, arm, expected, threshold)
 
 
-def segment_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
-    """Columns with fewer than 20 distinct values (sketch first, exact where it matters)."""
-    names = [c for c in df.columns if c not in exclude]
-    if not names:
-        return []
-    rough = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in names]).first()
-    near = [c for c in names if rough[c] <= 5 * MAX_SEGMENT_LEVELS]
-    if not near:
-        return []
-    exact = df.agg(*[F.count_distinct(C(c)).alias(c) for c in near]).first()
-    return [c for c in near if 0 < exact[c] < MAX_SEGMENT_LEVELS]
+def segment_columns(
+    df: DataFrame, exclude: Sequence[str], max_levels: int = MAX_SEGMENT_LEVELS
+) -> tuple[list[str], dict[str, int]]:
+    """Columns with fewer than `max_levels` distinct values, and the counts of those with more."""
+    few, wide = low_cardinality(df, [c for c in df.columns if c not in exclude], max_levels - 1)
+    return [c for c, n in few.items() if n > 0], wide
 
 
 def srm_diagnose(
@@ -104,31 +100,38 @@ def srm_diagnose(
     arm: str = "arm",
     segments: Sequence[str] | None = None,
     threshold: float = SRM_THRESHOLD,
+    max_levels: int = MAX_SEGMENT_LEVELS,
 ) -> DataFrame:
-    """SRM overall and inside each value of each segment, in one scan.
+    """SRM overall and inside each value of each segment, in one scan and one shuffle.
 
-    Rows are first counted by all segments at once; only those counts are
-    unpivoted, so segments do not multiply the data.
+    A row meets one cell per segment inside its task, where counts combine
+    before the shuffle.  Without `segments`, columns with fewer than
+    `max_levels` values are taken; each other column is reported in a row
+    without keys and verdict, with reason `too_many_levels` and its number of
+    values as `segment_value`.
     """
-    segments = list(segments) if segments is not None else segment_columns(df, [*keys, arm])
-    base = (
-        df.where(C(arm).isNotNull())
-        .groupBy(*keys, arm, *segments)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    wide: dict[str, int] = {}
+    if segments is None:
+        segments, wide = segment_columns(df, [*keys, arm], max_levels)
     levels = [F.struct(F.lit("overall").alias("segment"), F.lit("all").alias("segment_value"))]
     for s in segments:
         levels.append(
             F.struct(F.lit(s).alias("segment"), C(s).cast("string").alias("segment_value"))
         )
     cells = (
-        base.select(*keys, arm, "n", F.inline(F.array(*levels)))
+        df.where(C(arm).isNotNull())
+        .select(*keys, arm, F.inline(F.array(*levels)))
         .where(C("segment_value").isNotNull())
         .groupBy(*keys, "segment", "segment_value", arm)
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     out = srm_from_counts(cells, [*keys, "segment", "segment_value"], arm, None, threshold)
-    return out.withColumn("flagged", C("verdict") != "PASS")
+    out = out.withColumn("flagged", C("verdict") != "PASS")
+    if wide:
+        rows = [(c, str(n), "too_many_levels") for c, n in wide.items()]
+        skipped = df.sparkSession.createDataFrame(rows, "segment string, segment_value string, reason string")
+        out = out.unionByName(skipped, allowMissingColumns=True)
+    return out
 
 
 _UNITS = {"h": 3600, "d": 86400, "w": 7 * 86400}

@@ -323,7 +323,7 @@ def q_profile(spark, sf):
 
 
 def _samples_sql(table, col):
-    return f"""SELECT '{table}' AS table_name, '{col}' AS column_name, CAST(row_number() OVER (ORDER BY md5(v)) AS INTEGER) AS rank, left(v, 80) AS sample FROM (SELECT DISTINCT CAST({col} AS VARCHAR) AS v FROM {table}) WHERE v IS NOT NULL QUALIFY rank <= 10"""
+    return f"""SELECT '{table}' AS table_name, '{col}' AS column_name, CAST(row_number() OVER (ORDER BY md5(v)) AS INTEGER) AS rank, v AS sample FROM (SELECT DISTINCT CAST({col} AS VARCHAR) AS v FROM {table}) WHERE v IS NOT NULL QUALIFY rank <= 10"""
 
 
 @query("sample_values", " UNION ALL ".join(_samples_sql(t, c) for t, c in (("customer", "c_name"), ("customer", "c_mktsegment"), ("customer", "c_custkey"), ("documents", "lang"), ("documents", "text"))))
@@ -385,7 +385,7 @@ ORDER = "list_position(['" + "','".join([n for n, _ in DATE_FORMATS] + ["other"]
 f AS (SELECT column_name, {_fmt_case('v')} AS format, count(*) AS n, min(v) AS sample FROM l GROUP BY ALL), g AS (SELECT *, {ORDER} AS r FROM f WHERE format <> 'not_a_date'),
 k AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY r) AS i FROM g)
 SELECT column_name, CAST(sum(n) AS BIGINT) AS n_dates, CAST(count(*) AS INTEGER) AS n_formats, count(*) >= 2 AS mixed_format_detected,
-  string_agg(format, '|' ORDER BY r) FILTER (WHERE i <= 5) AS formats, string_agg(sample, '|' ORDER BY r) FILTER (WHERE i <= 5) AS samples FROM k GROUP BY column_name""")
+  string_agg(format, '|' ORDER BY r) AS formats, string_agg(sample, '|' ORDER BY r) AS samples FROM k GROUP BY column_name""")
 def q_mixed(spark, sf):
     m = pf.detect_mixed_timestamps(_mixed(spark, sf))
     return m.select("column_name", "n_dates", "n_formats", "mixed_format_detected", F.concat_ws("|", "formats").alias("formats"),
@@ -418,14 +418,15 @@ def q_drift(spark, sf):
     return pf.fingerprint_drift(after, before)
 
 
-LOCK = """WITH h AS (SELECT md5(concat_ws(chr(31), CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority)) AS m FROM orders),
+LOCKED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+ROW_TEXT = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in LOCKED)
+LOCK = f"""WITH h AS (SELECT md5({ROW_TEXT}) AS m FROM orders),
 w AS (SELECT CAST('0x' || m[1:8] AS BIGINT) AS h1, CAST('0x' || m[9:16] AS BIGINT) AS h2 FROM h)"""
 
 
 @query("content_lock", f"{LOCK} SELECT count(*) AS n_rows, CAST(sum(h1) AS VARCHAR) AS hash_sum, CAST(bit_xor(h1) AS BIGINT) AS hash_xor_1, CAST(bit_xor(h2) AS BIGINT) AS hash_xor_2 FROM w")
 def q_lock(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet")
-    lock = pf.content_lock(o, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    lock = pf.content_lock(spark.read.parquet(f"{sf}/orders.parquet"), LOCKED)
     return lock.select("n_rows", C("hash_sum").cast("string").alias("hash_sum"), "hash_xor_1", "hash_xor_2")
 
 

@@ -280,7 +280,7 @@ def conversation_log(spark, sf):
                          F.when(C("experiment_id") % 3 == 0, "scope change").alias("reason"))
 
 
-LOG = """lg AS (SELECT conv_id AS experiment_id, turn AS seq, role, text, sha256(concat_ws('|', role, text)) AS h,
+LOG = """lg AS (SELECT conv_id AS experiment_id, turn AS seq, role, text, sha256(coalesce(length(role) || ':' || role, '-') || coalesce(length(text) || ':' || text, '-')) AS h,
   ['DESIGNING', 'POWERED', 'COLLECTING', 'ANALYZING', 'INTERPRETED', 'REPORTED', 'SHIPPED', 'COMPLETED', 'ABANDONED', 'INVALID', 'BLOCKED'][1 + (conv_id*3 + turn*(turn + conv_id % 2)) % 11] AS status FROM conversations),
 lh AS (SELECT *, lag(h) OVER (PARTITION BY experiment_id ORDER BY seq) AS ph, lag(status) OVER (PARTITION BY experiment_id ORDER BY seq) AS ps FROM lg),
 lc AS (SELECT *, CASE WHEN experiment_id % 7 = 3 AND seq = 2 THEN sha256('other') ELSE coalesce(ph, 'genesis') END AS prev_hash FROM lh)"""
@@ -304,12 +304,12 @@ def q_lifecycle(spark, sf):
     return c.select("experiment_id", "seq", "previous_status", "status", "transition", "allowed", "problem")
 
 
-@query("log_diff", """WITH a AS (SELECT conv_id // 2 AS pair, turn AS seq, role AS m FROM conversations WHERE conv_id % 2 = 0), b AS (SELECT conv_id // 2 AS pair, turn AS seq, role AS m FROM conversations WHERE conv_id % 2 = 1)
+@query("log_diff", """WITH a AS (SELECT conv_id // 2 AS pair, turn AS seq, text AS m FROM conversations WHERE conv_id % 2 = 0), b AS (SELECT conv_id // 2 AS pair, turn AS seq, text AS m FROM conversations WHERE conv_id % 2 = 1)
 SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.seq, b.seq) AS seq, CASE WHEN a.pair IS NULL THEN 'only_in_b' WHEN b.pair IS NULL THEN 'only_in_a' ELSE 'changed' END AS kind, a.m AS message_a, b.m AS message_b
 FROM a FULL JOIN b ON a.pair = b.pair AND a.seq = b.seq WHERE a.m IS NULL OR b.m IS NULL OR a.m <> b.m""")
 def q_log_diff(spark, sf):
-    c = spark.read.parquet(f"{sf}/conversations.parquet").select(F.expr("conv_id div 2").alias("pair"), C("turn").alias("seq"), "role", "conv_id")
-    d = logs.log_diff(c.where("conv_id % 2 = 0"), c.where("conv_id % 2 = 1"), ["pair"], "seq", "role")
+    c = spark.read.parquet(f"{sf}/conversations.parquet").select(F.expr("conv_id div 2").alias("pair"), C("turn").alias("seq"), "text", "conv_id")
+    d = logs.log_diff(c.where("conv_id % 2 = 0"), c.where("conv_id % 2 = 1"), ["pair"], "seq", "text")
     return d.select("pair", "seq", "kind", "message_a", "message_b")
 
 
