@@ -47,3 +47,12 @@ def test_digests(spark, sf, make_docs, reference):
         want.append((str(i), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
     assert byte_bpe.digests(make_docs(rows).limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_round_trip_is_decode_of_encode(spark):
+    texts = ["", None, "plain words", "naïve 日本語 👩‍💻", "x" * 9000, " \t\n a1b2  "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    apart = byte_bpe.decode(byte_bpe.encode(docs, PATH, P.PATTERN), PATH, P.PATTERN)
+    once = byte_bpe.round_trip(docs, PATH, P.PATTERN)
+    key = lambda r: r.doc_id
+    assert sorted(once.collect(), key=key) == sorted(apart.collect(), key=key)

@@ -153,6 +153,11 @@ def load(path: str, pattern: str) -> Bpe:
     return Bpe(ranks, pattern)
 
 
+def _id_lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int32), *found]))
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, ids (array<int>)`` for every row; null and empty texts have no ids.
 
@@ -163,9 +168,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for batch in batches:
-            found = [bpe.encode(t or "") for t in batch.column("text").to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int32), *found]))
+            ids = _id_lists([bpe.encode(t or "") for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -173,26 +176,46 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Adds ``decoded`` (binary) to ``doc_id, ids``."""
+    """Adds ``decoded`` (binary) to ``doc_id, ids``; null ids stay null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for batch in batches:
-            data = pa.array([bpe.decode(x) for x in batch.column("ids").to_pylist()], pa.binary())
+            data = [None if x is None else bpe.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("ids"), data], ["doc_id", "ids", "decoded"]
+                [batch.column("doc_id"), batch.column("ids"), pa.array(data, pa.binary())],
+                ["doc_id", "ids", "decoded"],
             )
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id, ids, decoded`` as ``decode`` of ``encode``, in one worker a task.
+
+    Chained maps would keep two workers a task, each with its own coder.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path, pattern)
+        for batch in batches:
+            found = [bpe.encode(t or "") for t in batch.column("text").to_pylist()]
+            data = pa.array([bpe.decode(x.tolist()) for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), _id_lists(found), data], ["doc_id", "ids", "decoded"]
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def ids_digest(ids: str | Column = "ids") -> Column:
     """SHA-256 of the decimal ids joined by commas."""
     return F.sha2(F.array_join(F.col(ids) if isinstance(ids, str) else ids, ","), 256)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    both = decode(encode(docs, path, pattern), path, pattern)
+    both = round_trip(docs, path, pattern)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest().alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
