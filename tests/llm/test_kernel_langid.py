@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 from trialspark.llm import kernel_langid
 
 
@@ -32,6 +34,18 @@ def test_only_text_counts(spark, make_docs, sf):
     assert kept.columns == docs.columns and kept.count() == len(got) - 3
 
 
+def test_stage_keeps_what_is_identified(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 400")
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    gone = sorted(set(filter(None, lang.values())))[0]
+    docs = docs.withColumn("lang", F.when(F.col("lang") != gone, F.col("lang")).otherwise("und"))
+    model = kernel_langid.fit(docs)
+    want = {r.doc_id for r in kernel_langid.identify(docs, model).collect() if r.lang_pred != "und"}
+    got = {r.doc_id for r in kernel_langid.keep_identified(docs, model).collect()}
+    assert got == want and 0 < len(got) < len(lang)
+    assert sum(lang[i] != gone for i in got) >= 0.98 * len(got)
+
+
 def test_nothing_to_learn_from(make_docs):
     docs = make_docs([(1, "words", None, None), (2, None, "en", None)])
     assert {(r.lang_pred, r.score) for r in kernel_langid.identify(docs).collect()} == {("und", 0.0)}

@@ -136,6 +136,15 @@ def fit(docs: DataFrame) -> Model:
     return Model(langs, found, (landmarks.T @ alpha).astype(np.float32))
 
 
+def predict(text: str | None, model: Model, grams: Grams | None) -> tuple[str, float]:
+    """Language and score of a whole text; ``grams`` are the model's, None if it learned nothing."""
+    if grams is None or not has_letter(text):
+        return UNKNOWN, 0.0
+    f = grams.mean(normal(text), model.weights)
+    best = int(np.argmax(f))
+    return model.langs[best], min(1.0, max(0.0, (float(f[best]) + 1) / 2))
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs``.
 
@@ -152,14 +161,9 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in batches:
             langs, scores = [], []
             for text in batch.column("text").to_pylist():
-                if grams is None or not has_letter(text):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                f = grams.mean(normal(text), model.weights)
-                best = int(np.argmax(f))
-                langs.append(model.langs[best])
-                scores.append(min(1.0, max(0.0, (float(f[best]) + 1) / 2)))
+                lang, score = predict(text, model, grams)
+                langs.append(lang)
+                scores.append(score)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 ["doc", "held_out", "lang_pred", "score"],
@@ -173,13 +177,19 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return out.select("doc.doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents with an identified language, with all their columns as they were."""
-    model = fit(docs)
+def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The documents whose predicted language is not ``und``, with all their columns as they were.
+
+    The fitted model scores every whole text, as in ``identify``.  Rejected are
+    texts without letters, all texts if there is nothing to learn from, and
+    texts that are scored nearest to a class ``und`` that the labels hold.
+    """
+    model = fit(docs) if model is None else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams(model.grams) if model.langs else None
         for batch in batches:
-            known = [bool(model.langs) and has_letter(t) for t in batch.column("text").to_pylist()]
+            known = [predict(t, model, grams)[0] != UNKNOWN for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
