@@ -44,6 +44,21 @@ def test_recurring_subtrees_go(spark):
     assert html_templates.extract(pages.limit(0)).count() == 0
 
 
+def test_layouts_of_a_third_each(spark):
+    rows = []
+    for i in range(36):
+        side = f"<div class=box{'abc'[i % 3]}><p>Layout {i % 3} side text that recurs on a third of the pages</p></div>"
+        copied = f"<article><h2>Copy {i}</h2><div><p>A long passage that a few pages share word by word</p></div></article>"
+        body = copied if i < 7 else f"<article><p>Body {i}</p>{side}<p>of many words, more than the side text next to it has</p></article>"
+        url = f"http://big.host/{i}" if i % 2 else None
+        rows += [(i, "http://big.host/", f"<body>{side}{body}</body>", "x"), (100 + i, url, f"<body>{side}<p>Own {i}</p></body>", "x")]
+    got = {r.page_id: r.text for r in html_templates.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    for i in range(36):
+        copied = f"Copy {i} A long passage that a few pages share word by word"
+        assert got[i] == (copied if i < 7 else f"Body {i} of many words, more than the side text next to it has")
+        assert got[100 + i] == f"Own {i}"
+
+
 def test_copies_of_a_page_keep_their_text(spark):
     page = "<body><nav>menu</nav><article><h1>T</h1><p>same words</p></article><footer>f</footer></body>"
     pages = spark.createDataFrame([(i, "http://h/", page, "x") for i in range(50)], PAGE)

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import lookup, store
 
 # A subtree is template when at least this many different pages of a host have
-# it, and at least this share of them.
+# it, however many pages the host has.  Only a container with half the text of an
+# article or main element must also be on this share of the host's pages: it is
+# rather that element's content, copied.
 TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.5
 
@@ -57,10 +59,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "hidden", "kids", "digest")
+    __slots__ = ("tag", "marks", "hidden", "kids", "digest", "size")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.kids, self.digest = tag, [], 0
+        self.tag, self.kids, self.digest, self.size = tag, [], 0, 0
         named = ATTR.findall(attrs) if attrs else ()
         self.marks = frozenset(w for _, *v in named for w in WORD.findall("".join(v).lower()))
         self.hidden = bool(attrs) and bool(HIDDEN.search(re.sub(r"\"[^\"]*\"(?<!none\")", "", attrs)))
@@ -110,13 +112,20 @@ def parse(page: str) -> Node:
 
 
 def digest(node: Node) -> int:
-    """Hash of a subtree: its tag, marks and content, white space folded.  Signed 64 bits."""
+    """Hash of a subtree: its tag, marks and content, white space folded.  Signed 64 bits.
+
+    Also sets each node's ``size``, the length of its text.
+    """
+    node.size = 0
     h = xxhash.xxh64(f"{node.tag} {' '.join(sorted(node.marks))}\x00")
     for kid in node.kids:
         if isinstance(kid, str):
-            h.update(b"\x01" + SPACE.sub(" ", kid).strip().encode("utf-8", "surrogatepass"))
+            text = SPACE.sub(" ", kid).strip()
+            node.size += len(text)
+            h.update(b"\x01" + text.encode("utf-8", "surrogatepass"))
         else:
             h.update(b"\x02%d" % digest(kid))
+            node.size += kid.size
     node.digest = h.intdigest() - (1 << 63)
     return node.digest
 
@@ -142,21 +151,21 @@ def mains(node: Node) -> list[Node]:
     return found or [node]
 
 
-def subtrees(root: Node) -> set[int]:
-    """Hashes of a page's subtrees that may be template.
+def subtrees(root: Node) -> dict[int, bool]:
+    """Hashes of a page's subtrees that may be template, and whether each has half of its main element's text.
 
     Text blocks inside the main element are content however often they recur
     (copies and shared passages), so only its containers are counted.
     """
-    out: set[int] = set()
-    todo = [(root, False)]
+    out: dict[int, bool] = {}
+    todo: list[tuple[Node, Node | None]] = [(root, None)]
     while todo:
-        n, inside = todo.pop()
-        inside = inside or n.tag in ("article", "main")
+        n, main = todo.pop()
+        main = n if n.tag in ("article", "main") else main
         if n.tag not in ("#root", "html", "head", "body", "article", "main"):
-            if not inside or n.tag in ("div", "section", "ul", "ol", "form", "figure", "header", "table"):
-                out.add(n.digest)
-        todo += [(k, inside) for k in n.kids if isinstance(k, Node) and k.tag not in INLINE]
+            if main is None or n.tag in ("div", "section", "ul", "ol", "form", "figure", "header", "table"):
+                out[n.digest] = out.get(n.digest, False) or main is not None and 2 * n.size >= main.size
+        todo += [(k, main) for k in n.kids if isinstance(k, Node) and k.tag not in INLINE]
     return out
 
 
@@ -199,34 +208,46 @@ def host(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _key():
+    """Equal for equal pages; found without parsing."""
+    return F.md5(F.coalesce("html", F.lit("")).cast("binary"))
+
+
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each subtree of a page, and one with the page's key and no subtree."""
     for batch in batches:
-        hosts, pages, found = [], [], []
-        for name, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+        rows = []
+        for name, key, text in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html"))):
             root = parse(text or "")
             page = digest(root)
-            for h in subtrees(root):
-                hosts.append(name)
-                pages.append(page)
-                found.append(h)
+            rows.append((name, page, key, None, None))
+            rows += [(name, page, None, h, body) for h, body in subtrees(root).items()]
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+        columns = list(zip(*rows)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(found, pa.int64())],
-            ["host", "page", "subtree"],
+            [pa.array(c, kind) for c, kind in zip(columns, kinds)], ["host", "page", "key", "subtree", "body"]
         )
 
 
 def templates(pages: DataFrame, least: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
-    """``host, templates``: hashes of the subtrees that recur on a host.
+    """``host, key, templates``: for each page with any, hashes of its subtrees that recur on its host.
 
-    Equal pages count once.  A host's list is short by nature: only subtrees
-    that half its pages have get in.
+    Equal pages count once.  A host of many layouts has many templates; a page's
+    list holds only its own, so it is never longer than the page.
     """
-    rows = pages.select(host().alias("host"), "html")
-    seen = store(rows.mapInArrow(_hashes, "host string, page long, subtree long").distinct(), "subtrees")
-    counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    totals = seen.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    many = counts.join(totals, "host").where(F.col("n") >= share * F.col("pages"))
-    return many.groupBy("host").agg(F.collect_set("subtree").alias("templates"))
+    rows = pages.select(host().alias("host"), _key().alias("key"), "html")
+    kind = "host string, page long, key string, subtree long, body boolean"
+    seen = store(rows.mapInArrow(_hashes, kind).distinct(), "subtrees")
+    keys = seen.where("key is not null").select("host", "page", "key")
+    blocks = seen.where("key is null").select("host", "page", "subtree", "body")
+    counts = blocks.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"), F.max("body").alias("body"))
+    totals = keys.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    many = counts.where(F.col("n") >= least).join(totals, "host")
+    many = many.where(~F.col("body") | (F.col("n") >= share * F.col("pages"))).select("host", "subtree")
+    many = lookup(store(many, "recurring"))
+    own = blocks.select("host", "page", "subtree").join(many, ["host", "subtree"])
+    own = own.groupBy("host", "page").agg(F.collect_set("subtree").alias("templates"))
+    return keys.join(own, ["host", "page"]).select("host", "key", "templates")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +271,8 @@ def extract(pages: DataFrame) -> DataFrame:
     empty table gives no rows.
     """
     known = lookup(store(templates(pages), "templates"), ["templates"])
-    rows = pages.select(F.struct("page_id", "url").alias("page"), host().alias("host"), "html")
-    rows = rows.join(known, "host", "left").select("page", "html", "templates")
+    rows = pages.select(F.struct("page_id", "url").alias("page"), host().alias("host"), _key().alias("key"), "html")
+    rows = rows.join(known, ["host", "key"], "left").select("page", "html", "templates")
     kind = rows.schema["page"].dataType.simpleString()
     out = rows.mapInArrow(_extract, f"page {kind}, text string, n_chars long")
     return out.select("page.page_id", "page.url", "text", "n_chars")
