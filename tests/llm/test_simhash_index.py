@@ -75,6 +75,13 @@ def test_classes_with_edge_rows(make_docs):
     assert simhash_index.classes(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_in_several_classes(make_docs):
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "red green blue white black")
+    docs = make_docs([(1, a), (1, b), (1, b), (2, b), (2, c), (3, c), (4, "only this text here")])
+    kept = sorted((r.doc_id, r.text) for r in simhash_index.keep_one(docs).collect())
+    assert kept == [(1, a), (1, b), (2, c), (4, "only this text here")]
+
+
 def test_given_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()

@@ -85,49 +85,58 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs``.
+    """``doc_id, fp, component_id, root`` for every row of ``docs``.
 
     Exact copies collapse to one fingerprint before any search, so a group of
     copies costs one entry.  ``component_id`` is the smallest doc_id of the
     class; rows without an id never name a class, and a class of such rows only
-    has a null one.  Repeated rows give repeated rows; an empty table gives none.
+    has a null one.  ``root`` is a fingerprint that tells apart classes of one
+    component_id, as rows of one id may lie in several.  Repeated rows give repeated rows; an empty table gives none.
     """
     rows = store(fingerprints(docs), "fingerprints")
     groups = store(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "groups")
     roots = components(links(groups))
     linked = roots.join(groups, roots.node == groups.fp).select("fp", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    linked = linked.join(least, "root").select("fp", "least_id")
-    named = groups.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return rows.join(store(named, "classes"), "fp").select("doc_id", "fp", "component_id")
+    linked = linked.join(least, "root").select("fp", "root", "least_id")
+    named = groups.join(linked, "fp", "left").select(
+        "fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root")
+    )
+    return rows.join(store(named, "classes"), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, with all its columns: the one with the smallest doc_id.
+    """One document of each class, with all its columns: one with the smallest doc_id.
 
-    Repeated rows of that id count once.  Of a class without ids one row stays.
+    Rows of one id but other texts count each in its own class, so an id that
+    stands in several rows is told apart by fingerprint.  Of a class without ids
+    one row stays.
     """
     known = store(classes(docs), "known")
-    kept = known.where("doc_id = component_id").groupBy("doc_id").count()
-    keep = store(kept, "kept")
-    ids = lookup(store(keep.select(F.col("doc_id").alias("_kept")), "ids"))
-    stay = docs.join(ids, F.col("doc_id") == F.col("_kept"), "left_semi")
-    twice = lookup(store(keep.where("count > 1").select(F.col("doc_id").alias("_kept")), "twice"))
-    if twice.isEmpty():
-        parts = [stay]
-    else:
-        again = F.col("doc_id") == F.col("_kept")
-        parts = [stay.join(twice, again, "left_anti"), stay.join(twice, again, "left_semi").dropDuplicates(["doc_id"])]
-    # Rows of classes in which no row has an id: one per text stands for them.
-    nameless = known.where("component_id is null").select("fp").distinct()
-    if nameless.isEmpty():
-        return reduce(DataFrame.unionByName, parts)
-    without = docs.where("doc_id is null").dropDuplicates(["text"])
-    marked = without.select(F.struct("*").alias("_doc"), utf8().alias("text"), F.col("doc_id")).mapInArrow(
-        _marked, without.select(F.struct("*").alias("_doc")).schema.add("_fp", "long")
-    )
-    alone = marked.join(nameless.withColumnRenamed("fp", "_fp"), "_fp", "left_semi").dropDuplicates(["_fp"])
-    return reduce(DataFrame.unionByName, [*parts, alone.select("_doc.*")])
+    first = known.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("first"))
+    kept = store(first.select(F.col("first.doc_id").alias("_kept"), F.col("first.fp").alias("_fp")), "kept")
+    again = known.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    again = lookup(store(again.select(F.col("doc_id").alias("_kept")), "again"))
+    once = lookup(store(kept.join(again, "_kept", "left_anti").select("_kept"), "once"))
+    parts = [docs.join(once, F.col("doc_id") == F.col("_kept"), "left_semi")]
+    several = store(kept.join(again, "_kept", "left_semi"), "several")
+    if not several.isEmpty():
+        ids = lookup(store(several.select("_kept").distinct(), "several-ids"))
+        rows = _with_prints(docs.join(ids, F.col("doc_id") == F.col("_kept"), "left_semi"))
+        rows = rows.withColumn("_kept", F.col("_doc.doc_id").cast("long")).join(lookup(several), ["_kept", "_fp"], "left_semi")
+        parts.append(rows.dropDuplicates(["_kept", "_fp"]).select("_doc.*"))
+    # Rows of classes in which no row has an id: one per class stands for them.
+    nameless = known.where("component_id is null").groupBy("root").agg(F.min("fp").alias("_fp")).select("_fp")
+    if not nameless.isEmpty():
+        alone = _with_prints(docs.where("doc_id is null").dropDuplicates(["text"])).join(nameless, "_fp", "left_semi")
+        parts.append(alone.dropDuplicates(["_fp"]).select("_doc.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _with_prints(docs: DataFrame) -> DataFrame:
+    """``_doc, _fp``: every row and its fingerprint."""
+    marked = docs.select(F.struct("*").alias("_doc"), utf8().alias("text"))
+    return marked.mapInArrow(_marked, marked.select("_doc").schema.add("_fp", "long"))
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
