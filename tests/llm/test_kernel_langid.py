@@ -46,6 +46,16 @@ def test_stage_keeps_what_is_identified(spark, sf):
     assert sum(lang[i] != gone for i in got) >= 0.98 * len(got)
 
 
+def test_landmark_blocks_lie_all_over_the_texts(spark):
+    # Of many documents only those with a small draw are picked.
+    ids = spark.range(200000).select(F.col("id").cast("string").alias("name"))
+    draw = F.pmod(F.xxhash64(F.lit("languages"), F.col("name")), F.lit(1 << 32)) / float(1 << 32)
+    start = kernel_langid._block_start(F.col("name"), F.lit(12048))
+    got = [r.start for r in ids.where(draw < 5e-4).select(start.alias("start")).collect()]
+    assert len(got) > 50 and min(got) >= 1 and max(got) <= 10001
+    assert sum(x > 5000 for x in got) > len(got) / 4 and sum(x <= 5000 for x in got) > len(got) / 4
+
+
 def test_nothing_to_learn_from(make_docs):
     docs = make_docs([(1, "words", None, None), (2, None, "en", None)])
     assert {(r.lang_pred, r.score) for r in kernel_langid.identify(docs).collect()} == {("und", 0.0)}

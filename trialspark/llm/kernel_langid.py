@@ -83,6 +83,12 @@ def _held_out(doc_id: Column) -> Column:
     return F.crc32(id_text(doc_id)) % 3 == 1
 
 
+def _block_start(name: Column, length: Column) -> Column:
+    """Where a landmark's block starts in its text, by a hash apart from the one that picks documents."""
+    free = F.greatest(length - BLOCK, F.lit(0)) + 1
+    return (F.pmod(F.xxhash64(F.lit("block"), name), free) + 1).cast("int")
+
+
 def fit(docs: DataFrame) -> Model:
     """One-versus-rest kernel ridge regression on the landmarks' kernel rows.
 
@@ -98,10 +104,10 @@ def fit(docs: DataFrame) -> Model:
         return Model([], np.empty(0, np.int64), np.empty((0, 0), np.float32))
     draw = F.pmod(F.xxhash64(F.lit("languages"), id_text("doc_id")), F.lit(1 << 32)) / float(1 << 32)
     rates = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, 2 * TRAIN_PER_LANG / counts[lang]))])
-    picked = rows.withColumn("draw", draw).where(F.col("draw") < rates[F.col("lang")]).select("lang", "draw", "text")
-    start = F.floor(F.col("draw") * 7919) % F.greatest(F.length("text") - BLOCK, F.lit(1)) + 1
+    start = _block_start(id_text("doc_id"), F.length("text")).alias("start")
+    picked = rows.withColumn("draw", draw).where(F.col("draw") < rates[F.col("lang")]).select("lang", "draw", "text", start)
     heads: dict[str, list] = {}
-    for r in picked.select("lang", "draw", F.substring("text", start.cast("int"), F.lit(BLOCK)).alias("text")).toLocalIterator():
+    for r in picked.select("lang", "draw", F.substring("text", F.col("start"), F.lit(BLOCK)).alias("text")).toLocalIterator():
         if has_letter(r.text):
             heads.setdefault(r.lang, []).append((r.draw, r.text))
     chosen = [x for lang in sorted(heads) for x in sorted(heads[lang])[:LANDMARKS_PER_LANG]]
