@@ -66,7 +66,7 @@ def _search(k: int):
         starts = range(0, dim, BLOCK_DIMS)
         columns = [np.ascontiguousarray(x[:, at : at + BLOCK_DIMS].T) for at in starts]
         # Sums below 2^53 are exact in doubles; beyond, the few survivors are summed as whole numbers.
-        squares = np.array([(c**2).sum(0) for c in columns]).reshape(len(columns), -1)
+        squares = np.array([(c**2).sum(0) for c in columns]).reshape(len(columns), len(x))
         tails = np.zeros((len(columns) + 1, len(x)))
         if len(columns):
             tails[:-1] = np.sqrt(np.cumsum(squares[::-1], 0)[::-1])
