@@ -54,6 +54,11 @@ def best_rows(columns: list[np.ndarray], tails: np.ndarray, query: np.ndarray, k
     return alive, score
 
 
+def beyond_long(total: int) -> bytes | None:
+    """A key that orders exact scores at the ends of long; null where the score itself does."""
+    return None if -LONG < total < LONG - 1 else (total + (1 << 2100)).to_bytes(264, "big")
+
+
 def _search(k: int):
     def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows or not queries.num_rows:
@@ -71,7 +76,7 @@ def _search(k: int):
         if len(columns):
             tails[:-1] = np.sqrt(np.cumsum(squares[::-1], 0)[::-1])
         most = float(np.abs(x).max(initial=0))
-        out = ([], [], [])
+        out, beyond = ([], [], []), []
         qids, qs = queries.column("vec_id").to_numpy(), matrix(queries.column("embedding"), dim)
         for qid, q in zip(qids, qs):
             at = np.searchsorted(ids, qid)
@@ -79,15 +84,18 @@ def _search(k: int):
             alive, score = best_rows(columns, tails, q, k, own)
             if dim * most * float(np.abs(q).max(initial=0)) < 2**53:
                 score = score.astype(np.int64)
+                best = np.lexsort((ids[alive], -score))[:k]
+                beyond.append([None] * len(best))
             else:
                 whole = [int(v) for v in q.tolist()]
                 sums = [sum(a * int(b) for a, b in zip(whole, x[i].tolist())) for i in alive.tolist()]
+                best = sorted(range(len(sums)), key=lambda i: (-sums[i], ids[alive[i]]))[:k]
+                beyond.append([beyond_long(sums[i]) for i in best])
                 score = np.array([min(max(s, -LONG), LONG - 1) for s in sums], np.int64)
-            best = np.lexsort((ids[alive], -score.astype(object) if score.min(initial=0) == -LONG else -score))[:k]
             out[0].append(np.full(len(best), qid))
             out[1].append(ids[alive][best])
             out[2].append(score[best])
-        return answer(*out, pa.int64())
+        return answer(*out, pa.int64(), [key for part in beyond for key in part])
 
     return search
 
@@ -98,7 +106,7 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     Queries are the ids divisible by ``every``, candidates all other rows of the
     same length; ties go to the smaller id.  See ``clean_vectors`` for rows that
     take no part and for repeated ids.  A score beyond the range of long stays
-    at its end.  Empty vectors meet each other with score 0; an empty table
+    at its end, in the order of the exact scores.  Empty vectors meet each other with score 0; an empty table
     gives no rows.
     """
     return search_tiles(store(quantized(df), "quantized"), every, k, _search(k), "long")

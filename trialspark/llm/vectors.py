@@ -42,8 +42,9 @@ def search_tiles(
 
     Rows are dealt to shards and queries to blocks, and ``search(rows, queries)``
     runs on each (block, shard) pair of one dimension, giving ``query_id, vec_id,
-    score``: at most ``k`` a query.  A window merges the shards' answers.  Only
-    vectors of the same length meet.
+    score, beyond``: at most ``k`` a query.  A window merges the shards' answers;
+    ``beyond`` orders equal scores where the kind of number ends (null sorts
+    last).  Only vectors of the same length meet.
     """
     asked = rows.where(F.col("vec_id") % every == 0)
     shards = max(1, math.ceil(rows.count() / TILE_ROWS))
@@ -57,15 +58,17 @@ def search_tiles(
     )
     keys = ["dim", "block", "shard"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        search, f"query_id long, vec_id long, score {score}"
+        search, f"query_id long, vec_id long, score {score}, beyond binary"
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("beyond"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def answer(query_ids: list, vec_ids: list, scores: list, kind: pa.DataType) -> pa.Table:
+def answer(query_ids: list, vec_ids: list, scores: list, kind: pa.DataType, beyond: list | None = None) -> pa.Table:
     """The parts a tile found, as one table."""
     names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), kind]
     flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (query_ids, vec_ids, scores)]
-    return pa.table([pa.array(x, type=t) for x, t in zip(flat, kinds)], names=names)
+    columns = [pa.array(x, type=t) for x, t in zip(flat, kinds)]
+    columns.append(pa.array(beyond or [None] * len(flat[0]), pa.binary()))
+    return pa.table(columns, names=[*names, "beyond"])
