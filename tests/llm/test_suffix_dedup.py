@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -51,7 +52,6 @@ def test_cut_equals_brute_force(make_docs):
     found = got(suffix_dedup.cut(docs))
     assert [found[i] for i in [*range(len(texts)), 1000]] == want
     assert sum(w[1] for w in want) > 20000
-    assert suffix_dedup.cut_texts(docs).columns == docs.columns
     assert suffix_dedup.cut(docs.limit(0)).count() == 0
 
 
@@ -95,3 +95,57 @@ def test_queue_and_induction(limit, monkeypatch):
     want = {(i, k[1]) for k, v in strings.items() if len(v) > 1 for i in v}
     found = {(i, o) for i, r in induced_sort.repeats(records, limit) for a, b in r for o in range(a, b + 1)}
     assert found == want and want
+
+
+def plain_passages(texts, size=51):
+    """Words inside runs of ``size`` words that start twice, and the texts without them."""
+    seen, out = {}, []
+    for t in texts:
+        own = t.encode().split()
+        for i in range(len(own) - size + 1):
+            run = tuple(own[i : i + size])
+            seen[run] = seen.get(run, 0) + 1
+    for t in texts:
+        own = t.encode().split()
+        hit = set()
+        for i in range(len(own) - size + 1):
+            if seen[tuple(own[i : i + size])] > 1:
+                hit |= set(range(i, i + size))
+        # Each word with the white space after it; what stands before the first word stays.
+        parts = re.findall(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t.encode())
+        lead = t.encode()[: len(t.encode()) - len(b"".join(parts))]
+        out.append((lead + b"".join(p for i, p in enumerate(parts) if i not in hit)).decode())
+    return out
+
+
+def word_corpus():
+    rnd = random.Random(3)
+    text = lambda n, gap=" ": gap.join(rnd.choice(["a", "é", "of", "日本", "x1", "the"]) + str(rnd.randint(0, 30)) for _ in range(n))
+    shared = [text(n) for n in (50, 51, 52, 70, 200)]
+    texts = [text(150) for _ in range(12)]
+    texts += [" ".join([text(rnd.randint(0, 40)), rnd.choice(shared), text(rnd.randint(0, 40))]) for _ in range(50)]
+    texts += [shared[3].replace(" ", "\n\t "), "  " + shared[2], texts[0], texts[0] + " end", "", "one", "w " * 60, shared[1] + " " + shared[1]]
+    return texts
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_passages_equal_plain_search(make_docs, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "GROUP_REGIONS", most)
+    texts = word_corpus()
+    docs = make_docs([*enumerate(texts), (1000, None)], extra="kept")
+    rows = {r.doc_id: (r.text, r.n_chars) for r in suffix_dedup.cut_passages(docs).collect()}
+    want = plain_passages(texts)
+    assert [rows[i] for i in range(len(texts))] == [(t, len(t)) for t in want]
+    assert rows[1000] == (None, None) and sum(a != b for a, b in zip(want, texts)) > 30
+    assert suffix_dedup.cut_passages(docs).columns == docs.columns
+    assert suffix_dedup.cut_passages(docs.limit(0)).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    schema = "doc_id long, text string, `odd name` int, key string, _kept string, doc string, passages int"
+    rows = [(1, " ".join(f"w{i}" for i in range(80)), 3, "k", "u", "d", 4), (2, " ".join(f"w{i}" for i in range(10, 70)), None, None, "v", "e", 5)]
+    docs = spark.createDataFrame(rows, schema)
+    cut = suffix_dedup.cut_passages(docs).orderBy("doc_id").collect()
+    assert [r.text for r in cut] == [" ".join(f"w{i}" for i in [*range(10), *range(70, 80)]), ""]
+    assert cut[0]["odd name"] == 3 and cut[0]["_kept"] == "u" and cut[0]["passages"] == 4
+    assert suffix_dedup.cut(docs).select("doc.`odd name`").count() == 2

@@ -214,9 +214,14 @@ def ids_digest(ids: str | Column = "ids") -> Column:
     return F.sha2(F.array_join(F.col(ids) if isinstance(ids, str) else ids, ","), 256)
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row, and ``ids`` where asked for.
+
+    Null and empty texts have no tokens and the digests of empty text; repeated
+    rows give repeated results; an empty table gives none.
+    """
     both = round_trip(docs, path, pattern)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest().alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if with_ids else []),
     )

@@ -1,7 +1,8 @@
-"""Exact removal of long repeated strings by sorted suffixes."""
+"""Exact removal of long repeated strings, of bytes or of words, by sorted suffixes."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -18,6 +19,11 @@ LENGTH = 400
 # Every string of LENGTH bytes is filed under the ANCHOR bytes in it that have
 # the least hash: copies of a string are filed alike.
 ANCHOR = 200
+# Passages: every word is one code of CODE bytes (of its hash), so that a string
+# of codes is a string of words, whatever white space parts them.
+PASSAGE_WORDS = 51
+ANCHOR_WORDS = 25
+CODE = 6
 CHUNK = 1 << 20
 SEED = 42
 # Larger groups are split by the position of the anchor before they are sorted.
@@ -27,9 +33,8 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    n = CHUNK + LENGTH
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return (
         np.cumprod(np.concatenate([[U64(1)], np.full(n, U64(BASE))])),
         np.cumprod(np.concatenate([[U64(1)], np.full(n, U64(pow(BASE, -1, 2**64)))])),
@@ -46,7 +51,7 @@ def anchor_regions(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> I
     Of equal hashes in a string the leftmost counts, so the choice depends on
     the string alone.  Long texts go chunk by chunk.
     """
-    powers, inverse = _powers()
+    powers, inverse = _powers(CHUNK + length)
     window = length - anchor + 1
     for base in range(0, len(data) - length + 1, CHUNK):
         b = np.frombuffer(data, np.uint8)[base : base + CHUNK + length - 1]
@@ -73,27 +78,30 @@ def anchor_regions(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> I
 REGIONS = "key long, n long, anchor long, region long, start long, left int, count int"
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _regions(length: int, anchor: int):
     names = [c.split()[0] for c in REGIONS.split(", ")]
-    for batch in batches:
-        parts: list[list[np.ndarray]] = [[] for _ in names]
-        for data in batch.column("data").to_pylist():
-            if len(data) < LENGTH:
-                continue
-            key = _signed(xxhash.xxh64_intdigest(data, SEED))
-            for start, place, end in anchor_regions(data):
-                s, p, e = start.tolist(), place.tolist(), end.tolist()
-                n = len(s)
-                digest = xxhash.xxh64_intdigest
-                anchors = np.fromiter(map(digest, [data[x : x + ANCHOR] for x in p], repeat(SEED)), U64, n)
-                whole = np.fromiter(map(digest, [data[x : y + LENGTH - 1] for x, y in zip(s, e)], repeat(SEED)), U64, n)
-                for out, x in zip(parts, (
-                    np.full(n, key, np.int64), np.full(n, len(data), np.int64), anchors.view(np.int64),
-                    whole.view(np.int64), start, (place - start).astype(np.int32), (end - start).astype(np.int32),
-                )):
-                    out.append(x)
-        if parts[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[list[np.ndarray]] = [[] for _ in names]
+            for key, size, data in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "data"))):
+                if len(data) < length:
+                    continue
+                for start, place, end in anchor_regions(data, length, anchor):
+                    s, p, e = start.tolist(), place.tolist(), end.tolist()
+                    n = len(s)
+                    digest = xxhash.xxh64_intdigest
+                    anchors = np.fromiter(map(digest, [data[x : x + anchor] for x in p], repeat(SEED)), U64, n)
+                    whole = np.fromiter(map(digest, [data[x : y + length - 1] for x, y in zip(s, e)], repeat(SEED)), U64, n)
+                    for out, x in zip(parts, (
+                        np.full(n, key, np.int64), np.full(n, size, np.int64), anchors.view(np.int64),
+                        whole.view(np.int64), start, (place - start).astype(np.int32), (end - start).astype(np.int32),
+                    )):
+                        out.append(x)
+            if parts[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], names)
+
+    return run
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -102,25 +110,50 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.xxhash64("data")).withColumn("n", F.length("data").cast("long"))
 
 
-SUFFIXES = "anchor long, region long, left binary, right binary"
+def coded(text: bytes, known: dict[bytes, bytes]) -> bytes:
+    """A text's words (split at ASCII white space) as codes of equal size."""
+    out = []
+    for word in text.split():
+        code = known.get(word)
+        if code is None:
+            if len(known) > 1 << 17:
+                known.clear()
+            code = known[word] = xxhash.xxh64_digest(word, SEED)[:CODE]
+        out.append(code)
+    return b"".join(out)
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[bytes, bytes] = {}
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for data, wanted in zip(batch.column("data").to_pylist(), batch.column("wanted").to_pylist()):
-            for w in wanted:
-                place = w["start"] + w["left"]
-                out[0].append(w["anchor"])
-                out[1].append(w["region"])
-                out[2].append(data[w["start"] : place])
-                out[3].append(data[place + ANCHOR : w["start"] + w["count"] - 1 + LENGTH])
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        data = [coded(x, known) for x in batch.column("data").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x, k) for x, k in zip(out, kinds)], ["anchor", "region", "left", "right"]
+            [batch.column("key"), batch.column("n"), pa.array(data, pa.binary())], ["key", "n", "data"]
         )
 
 
+SUFFIXES = "anchor long, region long, left binary, right binary"
+
+
+def _suffixes(length: int, anchor: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for data, wanted in zip(batch.column("data").to_pylist(), batch.column("wanted").to_pylist()):
+                for w in wanted:
+                    place = w["start"] + w["left"]
+                    out[0].append(w["anchor"])
+                    out[1].append(w["region"])
+                    out[2].append(data[w["start"] : place])
+                    out[3].append(data[place + anchor : w["start"] + w["count"] - 1 + length])
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, k) for x, k in zip(out, kinds)], ["anchor", "region", "left", "right"]
+            )
+
+    return run
+
+
 RANGES = "anchor long, region long, ranges array<struct<first int, last int>>"
 RANGE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
@@ -211,14 +244,14 @@ def _all_of():
     return F.array(F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))).alias("ranges")
 
 
-def repeated_spans(docs: DataFrame, most: int | None = None) -> DataFrame:
-    """``key, n, spans``: for each text with repeated strings, the bytes they cover.
+def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most: int | None = None) -> DataFrame:
+    """``key, n, spans``: for each text with repeated strings of ``length`` bytes, the bytes they cover.
 
-    ``key, n`` are hash and size of the text, ``spans`` its [start, end) ranges.
-    Copies of a text are counted and collapse.
+    ``texts`` has ``key, n`` (hash and size of the text) and ``data``; ``spans``
+    are [start, end) ranges.  Copies of a text are counted and collapse.
+    ``anchor`` bytes file the strings; it is a matter of cost, not of results.
     """
-    texts = _texts(docs)
-    regions = store(texts.select("data").mapInArrow(_regions, REGIONS), "regions")
+    regions = store(texts.select("key", "n", "data").mapInArrow(_regions(length, anchor), REGIONS), "regions")
     # An anchor that occurs once holds no repeated string.
     again = regions.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
     again = store(again, "again")  # a table of its own, so that the join can split hot anchors
@@ -244,21 +277,21 @@ def repeated_spans(docs: DataFrame, most: int | None = None) -> DataFrame:
     )
     wanted = lookup(store(wanted, "wanted"), ["wanted", "wanted", "wanted", "wanted", "wanted"])
     found = texts.select("key", "n", "data").join(wanted, ["key", "n"]).select("data", "wanted")
-    found = found.mapInArrow(_suffixes, SUFFIXES).groupBy("anchor", "region").agg(
+    found = found.mapInArrow(_suffixes(length, anchor), SUFFIXES).groupBy("anchor", "region").agg(
         F.first("left").alias("left"), F.first("right").alias("right")
     )
     found = store(found, "suffixes").select(
-        F.col("anchor").alias("group"), F.lit(LENGTH - ANCHOR).alias("span"), F.lit(0).alias("base"),
+        F.col("anchor").alias("group"), F.lit(length - anchor).alias("span"), F.lit(0).alias("base"),
         "anchor", "region", "left", "right",
     )
     small, settled = split_groups(found, GROUP_REGIONS if most is None else most)
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = store(small.repartition(shards, "group").mapInArrow(_sorted, RANGES), "ranges")
     for more in [*settled, equal]:
         ranges = ranges.unionByName(more)
     ranges = store(ranges.select("anchor", "region", F.explode("ranges").alias("r")).distinct(), "found")
     place = F.col("start") + F.col("left")
-    span = F.struct((place - F.col("r.last")).alias("start"), (place - F.col("r.first") + LENGTH).alias("end"))
+    span = F.struct((place - F.col("r.last")).alias("start"), (place - F.col("r.first") + length).alias("end"))
     spans = places.join(lookup(ranges), ["anchor", "region"]).select("key", "n", span.alias("span"))
     spans = spans.groupBy("key", "n").agg(F.collect_set("span").alias("spans"))
     return spans.mapInArrow(_merge, "key long, n long, spans array<struct<start long, end long>>")
@@ -301,30 +334,73 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def cut(docs: DataFrame) -> DataFrame:
+def cut(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """``doc`` (the input's columns), ``n_bytes, n_removed, n_spans, kept`` for every row.
 
-    Removed is each byte covered by a string of ``LENGTH`` bytes that also
+    Removed is each byte covered by a string of ``length`` bytes that also
     starts anywhere else, in this text or another; strings are judged on the
-    input.  Null and empty texts, and texts shorter than ``LENGTH``, lose
+    input.  Null and empty texts, and texts shorter than ``length``, lose
     nothing.  Repeated rows are copies of each other.  An empty table gives no
     rows; columns of any name stay in ``doc``.
     """
-    spans = lookup(store(repeated_spans(docs), "spans"), ["spans", "spans"])
+    spans = lookup(store(repeated_spans(_texts(docs), length, anchor), "spans"), ["spans", "spans"])
     rows = _texts(docs).join(spans, ["key", "n"], "left").select("doc", "n", "data", "spans")
-    kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(_cut, f"doc {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    kind = rows.select("doc").schema
+    for name, of in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
+        kind = kind.add(name, of)
+    return rows.mapInArrow(_cut, kind)
+
+
+def passages(docs: DataFrame, words: int = PASSAGE_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
+    """``key, n, passages``: for each text, the [start, end) ranges of words inside repeated passages.
+
+    A passage is a run of ``words`` words that also starts anywhere else, in this
+    text or another, whatever white space parts its words.  Words are compared
+    by ``CODE`` bytes of their hashes: runs that differ in one word are taken for
+    equal once in 2^48 cases.
+    """
+    codes = _texts(docs).select("key", "n", "data").mapInArrow(_coded, "key long, n long, data binary")
+    spans = repeated_spans(codes, words * CODE, anchor * CODE)
+    whole = F.transform("spans", lambda s: F.struct(
+        F.ceil(s["start"] / F.lit(CODE)).alias("start"), F.floor(s["end"] / F.lit(CODE)).alias("end")
+    ))
+    # Codes do not match half-way between words but by chance; such a range is shorter.
+    kept = spans.select("key", "n", F.filter(whole, lambda s: s["end"] - s["start"] >= words).alias("passages"))
+    return kept.where(F.size("passages") > 0)
+
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def without_words(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
+    """A text without the words in ``ranges``, and without the white space after each of them."""
+    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    edges = [0, *(starts[w] for r in ranges for w in r), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for data, ranges in zip(batch.column("data").to_pylist(), batch.column("passages").to_pylist()):
+            ranges = [(r["start"], r["end"]) for r in ranges or []]
+            texts.append((without_words(data, ranges) if ranges else data).decode())
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], ["doc", "kept"])
 
 
-def cut_texts(docs: DataFrame) -> DataFrame:
-    """The documents without their repeated strings, same columns.
+def cut_passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
+    """The documents without their repeated passages of ``words`` words and more, same columns.
 
-    ``n_chars`` follows the text.  What is left of a character cut in two becomes
-    U+FFFD; null texts stay null.
+    Every occurrence goes, as in ``cut``; cuts lie between words, so no character
+    is split.  ``n_chars`` follows the text; null texts stay null; texts of
+    fewer words stay as they are.  Repeated rows are copies of each other and
+    lose what is long enough in them.  An empty table gives no rows.
     """
-    rows = cut(docs).select("doc.*", F.make_valid_utf8(F.col("kept").cast("string")).alias("_kept"))
-    text = F.when(F.col("text").isNotNull(), F.col("_kept"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    known = lookup(store(passages(docs, words), "passages"), ["passages", "passages"])
+    rows = _texts(docs).join(known, ["key", "n"], "left").select("doc", "data", "passages")
+    rows = rows.mapInArrow(_cut_words, rows.select("doc").schema.add("kept", "string"))
+    text = F.when(F.col("doc.text").isNotNull(), F.col("kept"))
+    new = {"text": text, "n_chars": F.length(text)}
+    return rows.select(*[
+        (new[c].cast(docs.schema[c].dataType) if c in new else F.col("doc").getField(c)).alias(c) for c in docs.columns
+    ])
