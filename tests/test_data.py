@@ -239,3 +239,48 @@ def test_json_sink_has_no_infinity(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", float("inf"))], "k string, v double")
     sinks.sink_json(df, path)
     assert {r.k: r.v for r in spark.read.schema("k string, v double").json(path).collect()} == {"a": 1.0, "b": None}
+
+
+def test_definitions_from_a_directory(spark, tmp_path):
+    (tmp_path / "b.yaml").write_text("name: late\ntype: mean\nnumerator: v\ndescription: d\ninvert: true\n---\nname: rate\ntype: ratio\nnumerator: v\ndenominator: w\ndescription: d\n")
+    (tmp_path / "a.json").write_text('{"name": "early", "type": "sum", "numerator": "v", "description": "d", "winsorize": true}')
+    (tmp_path / "c.jsonl").write_text('{"name": "x", "type": "sum", "numerator": "v", "description": "d"}\n\n{"name": "y", "type": "sum", "numerator": "v", "description": "d"}\n')
+    found = mx.load_metric_catalog(spark, str(tmp_path))
+    assert list(found) == ["early", "late", "rate", "x", "y"] and found["late"].invert and found["early"].winsorize
+    (tmp_path / "d.json").write_text("[1]")
+    with pytest.raises(mx.MetricError):
+        mx.load_metric_catalog(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("change", [{"winsorize": "yes"}, {"invert": 1}, {"type": "p50", "winsorize": True}, {"type": "proportion", "winsorize": True}])
+def test_fields_that_cannot_act_are_refused(change):
+    with pytest.raises(mx.MetricError):
+        mx.metric_validate({**GOOD, **change})
+
+
+def test_winsorized_and_inverted_metrics_act(spark):
+    rows = [("e", "control" if i % 2 else "treatment", i, float(i % 7) + (i % 2), float(i)) for i in range(200)]
+    rows += [("e", "treatment", 1000, 1e6, None), (None, "control", 1, 1.0, 1.0), (None, "treatment", 2, 3.0, 1.0), ("e", None, 2000, 1e9, 1.0)]
+    units = spark.createDataFrame(rows, "k string, arm string, unit_id long, value double, other double")
+    plain = {**GOOD, "name": "value"}
+    clip = {**plain, "winsorize": True, "winsorize_bounds": [0.0, 0.9], "invert": True, "baseline_range": [0, 100]}
+    one, two = (
+        {(r.k, r.metric): r for r in mx.metric_tests(units, mx.metric_catalog([s]), ["k"]).collect()}[("e", "value")] for s in (plain, clip)
+    )
+    top = np.quantile([r[3] for r in rows if r[0] == "e" and r[1]], 0.9)
+    control = [min(r[3], top) for r in rows if r[0] == "e" and r[1] == "control"]
+    treated = [min(r[3], top) for r in rows if r[0] == "e" and r[1] == "treatment"]
+    assert one.diff > 1000 and one.benefit == one.diff and one.baseline_in_range is None
+    assert two.diff == pytest.approx(np.mean(treated) - np.mean(control)) and two.benefit == -two.diff
+    assert two.baseline == pytest.approx(np.mean(control)) and two.baseline_in_range
+    assert (two.benefit_lower, two.benefit_upper) == (-two.ci_upper, -two.ci_lower)
+    values = {(r.k, r.arm): r.value for r in mx.metric_compute(units, mx.metric_catalog([clip]), ["k"]).collect()}
+    assert values[("e", "treatment")] == pytest.approx(np.mean(treated)) and values[(None, "control")] == 1.0
+
+
+def test_srm_counts_units_not_values(spark):
+    from trialspark.plans import analyze
+
+    rows = [("e", "control", 1.0 + i % 3) for i in range(1000)] + [("e", "treatment", 1.0 + i % 3 if i % 2 else None) for i in range(1000)]
+    (r,) = analyze.metric_effects(spark.createDataFrame(rows, "k string, arm string, value double"), ["k"], ["value"]).collect()
+    assert r.n_treatment == 500 and r.units_treatment == 1000 and r.srm_p_control == 1.0

@@ -13,7 +13,7 @@ from .hypothesis import metric_dispatch, proportion_from_counts, ratio_from_mome
 from .joins import join_exposure, join_units_zero_filled
 from ..session import materialize
 from .moments import pair_arms
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, with_group
 
 C = F.col
 
@@ -32,6 +32,9 @@ class Metric:
 
     `numerator`/`denominator` are SQL expressions over a fact row; `aggregate`
     folds a unit's rows.  A proportion is 1 when any row passes `filter`.
+    `winsorize` clips unit values to quantiles of the experiment, arms pooled;
+    `invert` says that less is better; `baseline_range` is where the control
+    value is expected.
     """
 
     name: str
@@ -44,7 +47,7 @@ class Metric:
     filter: str | None = None
     unit: str = "unit_id"
     source: str = ""
-    baseline_range: tuple[float, float] = (0.0, 1.0)
+    baseline_range: tuple[float, float] | None = None
     winsorize: bool = False
     winsorize_bounds: tuple[float, float] = (0.01, 0.99)
     invert: bool = False
@@ -71,9 +74,16 @@ def metric_validate(spec: Mapping) -> Metric:
         raise MetricError(f"unknown metric type {kind!r}")
     if kind == "ratio" and not spec.get("denominator"):
         raise MetricError("a ratio metric needs a denominator")
-    base = _bounds("baseline_range", spec.get("baseline_range", (0.0, 1.0)))
-    if base[0] > base[1]:
-        raise MetricError("baseline_range must be ordered")
+    base = spec.get("baseline_range")
+    if base is not None:
+        base = _bounds("baseline_range", base)
+        if base[0] > base[1]:
+            raise MetricError("baseline_range must be ordered")
+    for flag in ("winsorize", "invert"):
+        if not isinstance(spec.get(flag, False), bool):
+            raise MetricError(f"{flag} must be true or false")
+    if spec.get("winsorize") and (kind == "proportion" or kind in PERCENTILES):
+        raise MetricError(f"a {kind} metric cannot be winsorized")
     clip = _bounds("winsorize_bounds", spec.get("winsorize_bounds", (0.01, 0.99)))
     if not 0 <= clip[0] < clip[1] <= 1:
         raise MetricError("winsorize_bounds must satisfy 0 <= low < high <= 1")
@@ -102,9 +112,36 @@ def metric_catalog(specs: Iterable[Mapping]) -> dict[str, Metric]:
 
 
 def load_metric_catalog(spark, path: str) -> dict[str, Metric]:
-    """Definitions from a directory of JSON documents (one object per file or line)."""
-    text = spark.read.text(path, wholetext=False).where(F.length(F.trim("value")) > 0)
-    return metric_catalog(json.loads(r[0]) for r in text.toLocalIterator())
+    """Definitions from a directory, in order of their names.
+
+    `.yaml` and `.yml` files hold one definition or several documents, all
+    others JSON: one object or array a file, or one object a line.  Definitions
+    are written by people, so they are few; they are parsed on the driver.
+    """
+    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
+    specs: list[Mapping] = []
+    for row in files.orderBy("file").toLocalIterator():
+        specs += _parsed(row.value, row.file)
+    return metric_catalog(specs)
+
+
+def _parsed(text: str, file: str) -> list[Mapping]:
+    try:
+        if file.lower().endswith((".yaml", ".yml")):
+            import yaml
+
+            found = list(yaml.safe_load_all(text))
+        else:
+            try:
+                found = [json.loads(text)] if text.strip() else []
+            except json.JSONDecodeError:
+                found = [json.loads(line) for line in text.splitlines() if line.strip()]
+    except ValueError as exc:
+        raise MetricError(f"{file}: {exc}") from exc
+    flat = [spec for part in found if part is not None for spec in (part if isinstance(part, list) else [part])]
+    if not all(isinstance(spec, Mapping) for spec in flat):
+        raise MetricError(f"{file}: a definition must be an object")
+    return flat
 
 
 def catalog_coverage(facts: DataFrame, metrics: Mapping[str, Metric]) -> DataFrame:
@@ -196,10 +233,44 @@ def percentile_metrics(
     return q.select(*keys, arm, "metric", "n", value.alias("value"))
 
 
+def clipped_units(units: DataFrame, metrics: Mapping[str, Metric], keys: Sequence[str], arm: str = "arm") -> DataFrame:
+    """The unit frame with winsorized metrics clipped.
+
+    Bounds are quantiles over all arms of an experiment, so that clipping does
+    not depend on the arm; units without an arm take no part in them.  The
+    bounds of all metrics come from the same passes, and none is made when no
+    metric asks for it.  A ratio's two sides have bounds of their own.
+    """
+    wanted = {}
+    for m in metrics.values():
+        if m.winsorize:
+            for column in [m.name, f"{m.name}__den"] if m.type == "ratio" else [m.name]:
+                wanted[column] = m.winsorize_bounds
+    if not wanted:
+        return units
+    probs = sorted({p for pair in wanted.values() for p in pair})
+    long = units.where(C(arm).isNotNull()).select(
+        *keys, F.inline(F.array(*[F.struct(F.lit(c).alias("_m"), num(c).alias("_x")) for c in wanted]))
+    )
+    bounds = exact_quantiles(long, [*keys, "_m"], "_x", probs).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("_m", "q"))).alias("_q")
+    )
+    beside = with_group(units, bounds, keys, ["_q"])
+
+    def at(column: str, p: float):
+        return F.try_element_at("_q", F.lit(column))[probs.index(p)]
+
+    clipped = {
+        c: F.when(num(c).isNotNull(), F.least(F.greatest(num(c), at(c, lo)), at(c, hi))) for c, (lo, hi) in wanted.items()
+    }
+    return beside.withColumns(clipped).drop("_q")
+
+
 def metric_compute(
     units: DataFrame, metrics: Mapping[str, Metric], keys: Sequence[str], arm: str = "arm"
 ) -> DataFrame:
     """Metric value per arm from the unit frame: mean over units, or sum over sum."""
+    units = clipped_units(units, metrics, keys, arm)
     aggs = []
     for m in metrics.values():
         if m.type in PERCENTILES:
@@ -217,7 +288,7 @@ def metric_compute(
     return wide.select(*keys, arm, F.inline("m"))
 
 
-RESULT_COLUMNS = ["diff", "se", "ci_lower", "ci_upper", "p_value", "lift_pct", "error"]
+RESULT_COLUMNS = ["baseline", "diff", "se", "ci_lower", "ci_upper", "p_value", "lift_pct", "error"]
 
 
 def catalog_moments(
@@ -261,12 +332,19 @@ def metric_tests(
 ) -> DataFrame:
     """Dispatch every metric to the test of its type; one long result frame.
 
-    The paired moments are stored once (a few rows per cell), so several tests
+    `benefit` and its interval are the effect in the metric's good direction: of
+    an inverted metric the negated one.  `baseline` is the control value,
+    `baseline_in_range` whether it is where the definition expects it (NULL if
+    it expects nothing).  The paired moments are stored once (a few rows per cell), so several tests
     do not scan the units several times.
     """
     cell = [*keys, "metric", "test"]
-    paired = pair_arms(catalog_moments(units, metrics, keys, arm), cell, arm, control)
-    pairs = materialize(paired, "paired-moments")
+    clipped = clipped_units(units, metrics, keys, arm)
+    paired = pair_arms(catalog_moments(clipped, metrics, keys, arm), cell, arm, control)
+    pairs = materialize(paired, "paired-moments").withColumn(
+        "baseline",
+        F.when(C("test") == "ratio", div(C("sum_x_control"), C("sum_y_control"))).otherwise(C("mean_x_control")),
+    )
     kinds = {TEST_OF_TYPE.get(m.type, "mean") for m in metrics.values() if m.type not in PERCENTILES}
     plain = {
         f"{old}_{side}": f"{new}_{side}"
@@ -279,4 +357,15 @@ def metric_tests(
         part = pairs.where(C("test") == kind)
         part = part if kind == "ratio" else part.withColumnsRenamed(plain)
         frames[kind] = tests[kind](part, alpha)
-    return metric_dispatch(frames, [*keys, "metric", arm, *RESULT_COLUMNS])
+    out = metric_dispatch(frames, [*keys, "metric", arm, *RESULT_COLUMNS])
+    inverted = C("metric").isin([m.name for m in metrics.values() if m.invert])
+    in_range = F.lit(None).cast("boolean")
+    for m in metrics.values():
+        if m.baseline_range:
+            in_range = F.when(C("metric") == m.name, C("baseline").between(*m.baseline_range)).otherwise(in_range)
+    return out.withColumns({
+        "benefit": F.when(inverted, -C("diff")).otherwise(C("diff")),
+        "benefit_lower": F.when(inverted, -C("ci_upper")).otherwise(C("ci_lower")),
+        "benefit_upper": F.when(inverted, -C("ci_lower")).otherwise(C("ci_upper")),
+        "baseline_in_range": in_range,
+    })

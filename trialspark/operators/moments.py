@@ -55,6 +55,9 @@ def metric_moments(
 ) -> DataFrame:
     """`arm_moments` for many metrics in one scan; long form with a `metric` column.
 
+    `units` counts the rows of the arm, whether or not they have a value of the
+    metric; `n` counts those that do.
+
     The aggregate is wide (one row per cell and arm); only its result is turned
     into rows, so the cost per extra metric is a few more aggregate buffers.
     """
@@ -73,9 +76,9 @@ def metric_moments(
     wide = (
         df.where(F.col(arm).isNotNull())
         .groupBy(*keys, arm)
-        .agg(F.array(*aggs).alias("m"))
+        .agg(F.array(*aggs).alias("m"), F.count(F.lit(1)).alias("units"))
     )
-    return wide.select(*keys, arm, F.inline("m"))
+    return wide.select(*keys, arm, "units", F.inline("m"))
 
 
 def pair_moments(

@@ -103,7 +103,7 @@ def exact_quantiles(
     return _picked(rows, state, keys, probs)
 
 
-def _joined(
+def with_group(
     rows: DataFrame, side: DataFrame, keys: Sequence[str], columns: Sequence[str], how: str = "inner", reduced: bool = True
 ) -> DataFrame:
     """Each row with columns of its group; NULL is a group like any other."""
@@ -132,7 +132,7 @@ def _counted(rows: DataFrame, todo: DataFrame, keys: Sequence[str], probs: Seque
                 F.when(inside & b["wide"], v), [j / PIECES for j in range(PIECES + 1)], SPLIT_ACCURACY
             ).alias(f"_cuts{i}"),
         ]
-    counts = _joined(rows, todo, keys, ["_n", "_b"]).groupBy(*keys).agg(
+    counts = with_group(rows, todo, keys, ["_n", "_b"]).groupBy(*keys).agg(
         F.any_value("_n").alias("_n"), F.any_value("_b").alias("_b"), *aggs
     )
     after = []
@@ -176,7 +176,7 @@ def _picked(rows: DataFrame, state: DataFrame, keys: Sequence[str], probs: Seque
         low, high = _ranks(n, p)
         first = b["below"] + b["at_lo"]
         wanted.append(F.when(_inside(v, b) & (high >= first) & (low < first + b["inside"]), F.lit(i)))
-    near = _joined(rows, state, keys, ["_n", "_b"]).select(
+    near = with_group(rows, state, keys, ["_n", "_b"]).select(
         *keys, "_n", "_b", "_v", F.explode(F.array_compact(F.array(*wanted))).alias("_i")
     )
     counted = near.groupBy(*keys, "_i", "_v").agg(
@@ -192,7 +192,7 @@ def _picked(rows: DataFrame, state: DataFrame, keys: Sequence[str], probs: Seque
             picks.append(F.max(F.when(here, v)).alias(f"_{name}{i}"))
     inner = ranked.groupBy(*keys).agg(*picks)
     names = [f"_{x}{i}" for i in range(len(probs)) for x in "az"]
-    whole = _joined(state, inner, keys, names, "left", reduced=False)
+    whole = with_group(state, inner, keys, names, "left", reduced=False)
     parts = []
     for i, p in enumerate(probs):
         b = F.col("_b")[i]
@@ -212,4 +212,4 @@ def attach_quantiles(
 ) -> DataFrame:
     """Every row with its group's quantile array."""
     q = exact_quantiles(df, keys, value, probs)
-    return _joined(df, q.withColumnRenamed("q", name), keys, [name], "left")
+    return with_group(df, q.withColumnRenamed("q", name), keys, [name], "left")

@@ -19,14 +19,15 @@ C = F.col
 def with_srm(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the equal-split sample-ratio p-value of every cell to its moment rows.
 
-    Windows over the reduced frame, partitioned like the arm pairing that
+    Assigned units are compared, not values: a metric that is missing for many
+    units of one arm says nothing about the split.  Windows over the reduced frame, partitioned like the arm pairing that
     follows, so the check costs no further exchange.
     """
     cell = Window.partitionBy(*keys)
     step = moments.withColumns(
-        {"_total": F.sum("n").over(cell), "_k": F.count(F.lit(1)).over(cell)}
+        {"_total": F.sum("units").over(cell), "_k": F.count(F.lit(1)).over(cell)}
     ).withColumn("_e", div(C("_total"), C("_k")))
-    gap = C("n") - C("_e")
+    gap = C("units") - C("_e")
     chi = F.sum(div(gap * gap, C("_e"))).over(cell)
     return step.withColumn("srm_p", chi2_sf(chi, C("_k") - 1)).drop("_total", "_k", "_e")
 
@@ -45,7 +46,11 @@ def with_ci90(tests: DataFrame) -> DataFrame:
 def metric_effects(
     units: DataFrame, keys: Sequence[str], metrics: Sequence[str], arm: str = "arm", control: str = "control"
 ) -> DataFrame:
-    """Welch effects with 90% and 95% intervals and the SRM p-value, long by metric."""
+    """Welch effects with 90% and 95% intervals and the SRM p-value, long by metric.
+
+    `units` has a row per assigned unit; a NULL value takes its unit out of that
+    metric's test only.
+    """
     moments = metric_moments(units, keys, {m: m for m in metrics}, arm)
     cell = [*keys, "metric"]
     pairs = pair_arms(with_srm(moments, cell), cell, arm, control)

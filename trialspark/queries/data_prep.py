@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..fixed_values import DATE_FORMATS, REDACTIONS
@@ -11,6 +13,7 @@ from ..operators import joins, metrics as mx, prep, profile as pf
 from ..plans.experiments import (
     customer_assignment, event_assignment, event_facts, exposed_events, order_facts,
 )
+from ..session import scratch_dir
 from ..sources.readers import read_tables
 from . import sql as S
 from .registry import query
@@ -283,6 +286,40 @@ def q_dispatch(spark, sf):
     return t.select("experiment_id", "metric", "metric_type", rnd("diff", 5).alias("diff"), rnd("p_value").alias("p_value"))
 
 
+# The same catalog from a directory of definitions that clip, invert and expect a baseline.
+DEFINED = [
+    {"name": "revenue", "type": "mean", "numerator": "value", "aggregate": "sum", "filter": "event_type = 'purchase'", "description": "purchase value",
+     "winsorize": True, "winsorize_bounds": [0.05, 0.9], "baseline_range": [0, 1000000]},
+    {"name": "error_count", "type": "mean", "numerator": "event_id", "aggregate": "count", "filter": "event_type = 'error'", "description": "errors",
+     "winsorize": True, "invert": True, "baseline_range": [-2, -1]},
+    {"name": "active_days", "type": "count_distinct", "numerator": "to_date(event_at)", "description": "days with an event", "invert": True},
+]
+
+
+def _clipped(m):
+    x = f"CAST({m} AS DOUBLE)"  # quantiles of decimals would be rounded to their scale
+    return f"least(greatest({x}, quantile_cont({x}, {{lo}}) OVER w), quantile_cont({x}, {{hi}}) OVER w) AS {m}"
+
+
+@query("defined_metric_tests", f"""WITH {UNITS_SQL}, cm AS (SELECT experiment_id, arm, {_clipped('revenue').format(lo=0.05, hi=0.9)},
+  {_clipped('error_count').format(lo=0.01, hi=0.99)}, active_days FROM um WINDOW w AS (PARTITION BY experiment_id)),
+{', '.join(f"{S.moments(f'm_{m}', 'cm', 'experiment_id', m)}, {S.pairs(f'p_{m}', f'm_{m}', 'experiment_id')}, {S.welch(f'w_{m}', f'p_{m}')}" for m in ('revenue', 'error_count', 'active_days'))}
+SELECT experiment_id, 'revenue' AS metric, {S.rnd('mean_control', 4)} AS baseline, mean_control BETWEEN 0 AND 1000000 AS baseline_in_range, {S.rnd('diff', 5)} AS diff,
+  {S.rnd('diff', 5)} AS benefit, {S.rnd('ci_lower', 4)} AS benefit_lower, {S.rnd('ci_upper', 4)} AS benefit_upper, {S.rnd('p_value')} AS p_value FROM w_revenue
+UNION ALL SELECT experiment_id, 'error_count', {S.rnd('mean_control', 4)}, mean_control BETWEEN -2 AND -1, {S.rnd('diff', 5)}, {S.rnd('-diff', 5)}, {S.rnd('-ci_upper', 4)}, {S.rnd('-ci_lower', 4)}, {S.rnd('p_value')} FROM w_error_count
+UNION ALL SELECT experiment_id, 'active_days', {S.rnd('mean_control', 4)}, NULL, {S.rnd('diff', 5)}, {S.rnd('-diff', 5)}, {S.rnd('-ci_upper', 4)}, {S.rnd('-ci_lower', 4)}, {S.rnd('p_value')} FROM w_active_days""")
+def q_defined(spark, sf):
+    """Definitions written to a directory, read back as a catalog, and tested."""
+    folder = scratch_dir(spark, "metric-definitions")
+    lines = spark.createDataFrame([(json.dumps(m),) for m in DEFINED], "value string")
+    lines.repartition(len(DEFINED)).write.text(folder)
+    catalog = mx.load_metric_catalog(spark, folder)
+    units = mx.unit_metrics(event_assignment(spark, sf), _event_facts(spark, sf), catalog, K)
+    t = mx.metric_tests(units, catalog, K)
+    return t.select("experiment_id", "metric", rnd("baseline", 4).alias("baseline"), "baseline_in_range", rnd("diff", 5).alias("diff"), rnd("benefit", 5).alias("benefit"),
+                    rnd("benefit_lower", 4).alias("benefit_lower"), rnd("benefit_upper", 4).alias("benefit_upper"), rnd("p_value").alias("p_value"))
+
+
 # --- profile and discovery -----------------------------------------------------------
 
 PROFILED = {

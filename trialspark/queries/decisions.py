@@ -170,6 +170,26 @@ def q_verdicts(spark, sf):
                     rnd("late_ratio", 4).alias("late_ratio"), "verdict", "terminal_step", "reason", "confidence")
 
 
+E2E_MISSING = E2E.replace(
+    "FROM cust_assign a LEFT JOIN order_fold f ON a.unit_id = f.o_custkey)",
+    "FROM cust_assign a LEFT JOIN order_fold f ON a.unit_id = f.o_custkey), all_units AS (SELECT * FROM units_), "
+    "units AS (SELECT * REPLACE (CASE WHEN unit_id % 4 <> 1 THEN value END AS value) FROM all_units)",
+).replace("units AS (\n  SELECT a.*", "units_ AS (\n  SELECT a.*").replace(
+    S.chi_one("power(v.n_control - v.n_treatment, 2)*1.0/(v.n_control + v.n_treatment)"),
+    S.chi_one("power(o.n_control - o.n_treatment, 2)*1.0/(o.n_control + o.n_treatment)"),
+)
+
+
+@query("verdicts_with_missing_values", f"""{E2E_MISSING} SELECT experiment_id, arm, n_obs AS n_observed, {S.rnd('srm_p')} AS srm_p, {S.rnd('lift', 2)} AS lift,
+  split_part(v, ':', 1) AS verdict, CAST(split_part(v, ':', 2) AS INTEGER) AS terminal_step FROM e2""")
+def q_verdicts_missing(spark, sf):
+    """Half of the treated units have no value; the split of the units is what it was."""
+    units = customer_units(spark, sf).withColumn("value", F.when(C("unit_id") % 4 != 1, C("value")))
+    effects = analyze.metric_effects(units, K, ["value", "orders", "pre_value", "early_value", "late_value"])
+    v = verdicts(spark, sf, effects)
+    return v.select("experiment_id", "arm", "n_observed", rnd("srm_p").alias("srm_p"), rnd("primary_lift_magnitude", 2).alias("lift"), "verdict", "terminal_step")
+
+
 def _findings(spark, sf):
     u = customer_units(spark, sf)
     eff = materialize(analyze.metric_effects(u, K, ["value", "orders", "converted", "early_value", "late_value"]), "effects")
