@@ -270,14 +270,46 @@ def exact_beta_win(a1, b1, a2, b2):
     return sum(math.exp(lb(a1 + i, b1 + b2) - math.log(b2 + i) - lb(1 + i, b2) - lb(a1, b1)) for i in range(a2))
 
 
-def test_beta_draws_agree_with_the_finite_sum(spark):
-    r = bayes.beta_binomial_test(counts(spark, [(100, 1000, 120, 1000)])).first()
-    assert r.prob_treatment_better == pytest.approx(exact_beta_win(101, 901, 121, 881), abs=0.01)
-    assert r.lift_ci_lower < r.relative_lift < r.lift_ci_upper
+BETA_CELLS = [(100, 1000, 120, 1000), (0, 50, 3, 40), (5, 20, 900, 5000), (1, 2, 1, 2), (700, 900, 10, 15)]
+
+
+def test_beta_posteriors_equal_finite_sums_and_samples(spark):
+    rows = bayes.beta_binomial_test(counts(spark, BETA_CELLS)).orderBy("experiment_id").collect()
+    rng = np.random.default_rng(0)
+    for r, (a, n, c, m) in zip(rows, BETA_CELLS):
+        assert r.prob_treatment_better == pytest.approx(exact_beta_win(1 + a, 1 + n - a, 1 + c, 1 + m - c), rel=1e-9)
+        mc, mt = (1 + a) / (2 + n), (1 + c) / (2 + m)
+        ahead = 1 - exact_beta_win(2 + a, 1 + n - a, 1 + c, 1 + m - c), 1 - exact_beta_win(1 + a, 1 + n - a, 2 + c, 1 + m - c)
+        loss = mc * ahead[0] - mt * ahead[1]
+        assert r.expected_loss_ship_treatment == pytest.approx(loss, rel=1e-6)
+        assert r.expected_loss_ship_control == pytest.approx(loss + mt - mc, rel=1e-6)
+        lift = rng.beta(1 + c, 1 + m - c, 400000) / rng.beta(1 + a, 1 + n - a, 400000) - 1
+        assert np.mean(lift < r.lift_ci_lower) == pytest.approx(0.025, abs=0.0015)
+        assert np.mean(lift < r.lift_ci_upper) == pytest.approx(0.975, abs=0.0015)
+
+
+def test_normal_posteriors_equal_samples(spark):
+    cells = [(100, 10.0, 4.0, 100, 11.0, 4.0), (2, 5.0, 1.0, 3, 6.0, 2.0), (1000, 10.0, 100.0, 500, 9.0, 50.0), (30, 0.5, 9.0, 30, 1.0, 9.0)]
+    names = "id int, n_control long, mean_control double, var_control double, n_treatment long, mean_treatment double, var_treatment double"
+    rows = bayes.normal_normal_test(spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], names)).orderBy("id").collect()
+    rng = np.random.default_rng(1)
+
+    def sample(n, m, v):
+        scale = 0.5 + 0.5 * (n - 1) * v
+        return m + np.sqrt(1 / rng.gamma(0.5 + n / 2, 1 / scale, 400000) / n) * rng.standard_normal(400000)
+
+    for r, c in zip(rows, cells):
+        x, y = sample(*c[:3]), sample(*c[3:])
+        lift = (y - x) / abs(x)
+        assert r.prob_treatment_better == pytest.approx(np.mean(y > x), abs=0.004)
+        assert r.expected_loss_ship_treatment == pytest.approx(np.maximum(x - y, 0).mean(), rel=0.03, abs=1e-4)
+        assert r.expected_loss_ship_control - r.expected_loss_ship_treatment == pytest.approx(c[4] - c[1], abs=1e-6)
+        assert np.mean(lift < r.lift_ci_lower) == pytest.approx(0.025, abs=0.0015)
+        assert np.mean(lift < r.lift_ci_upper) == pytest.approx(0.975, abs=0.0015)
 
 
-def test_draws_do_not_depend_on_partitions(spark):
-    df = counts(spark, [(i, 100, i + 3, 100) for i in range(10, 30)])
+def test_posteriors_do_not_depend_on_partitions(spark):
+    df = counts(spark, [(i, 100, i + 3, 100) for i in range(10, 16)])
     a, b = ({r.experiment_id: r.prob_treatment_better for r in bayes.beta_binomial_test(df.repartition(n)).collect()} for n in (1, 7))
     assert a == b
 
@@ -292,7 +324,7 @@ def test_normal_posterior_is_close_to_the_sample(spark):
     c, t = rng.normal(10, 2, 500), rng.normal(11, 2, 500)
     pairs = mom.pair_arms(mom.arm_moments(frame(spark, c, t), K), K)
     r = bayes.normal_normal_test(pairs).first()
-    assert r.draw_mean_control == pytest.approx(c.mean(), abs=0.02)
+    assert r.posterior_mean_control == pytest.approx(c.mean(), abs=1e-6)
     assert r.prob_treatment_better > 0.99 and r.decision == "SHIP"
 
 

@@ -9,7 +9,7 @@ from trialspark.queries import ORACLE as CORE_ORACLE, QUERIES as CORE_QUERIES
 
 QUERIES = {name: fn for name, fn in queries().items() if name in CORE_QUERIES}
 ORACLE = {name: sql for name, sql in oracle_sql().items() if name in CORE_ORACLE}
-# Posterior draws have no SQL form; they are tested against exact sums elsewhere.
+# Credible intervals have no plain SQL form; tests hold them against exact sums and large samples.
 DRAWS = {"beta_binomial_test", "normal_normal_test"}
 
 

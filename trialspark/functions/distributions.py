@@ -171,7 +171,7 @@ def _t_scale(df: Column) -> Column:
     return let({"a": df / 2}, lambda r: gamma_half_ratio(r["a"])) / F.lit(math.sqrt(math.pi))
 
 
-def _t_tail(t: Column, df: Column, scale: Column) -> Column:
+def _t_tail(t: Column, df: Column, scale: Column, panels: int = 5, order: int = 20) -> Column:
     start = F.atan(F.abs(t) / F.sqrt(df))
     stop = F.least(F.lit(math.pi / 2), start + F.lit(14.0) / F.sqrt(df))
 
@@ -187,7 +187,7 @@ def _t_tail(t: Column, df: Column, scale: Column) -> Column:
             gap = r["width"] * rest * rest * rest
             return let({"rest": rest, "gap": gap, "sine": F.sin(r["stop"] - gap)}, at)
 
-        return r["scale"] * r["width"] * quadrature(integrand)
+        return r["scale"] * r["width"] * quadrature(integrand, panels, order)
 
     tail = let({"stop": stop, "width": stop - start, "df": df, "scale": scale}, body)
     return F.when(t >= 0, tail).otherwise(F.lit(1.0) - tail)
@@ -227,3 +227,255 @@ def t_quantile(p: float, df: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(1), rounds), start, newton)
 
     return F.when(df.isNotNull(), let({"df": df, "c": _t_scale(df)}, solve))
+
+
+# --- posteriors: Beta and Student t, for integrals over one arm ------------------
+
+def stirling_rest(x: Column) -> Column:
+    """What Stirling's formula leaves out of ln Gamma(x): ten exact steps up, then the series."""
+
+    def body(r: Column) -> Column:
+        x = r["x"]
+        steps = F.lit(0.0)
+        for k in range(10):
+            steps = steps + ((x + (k + 0.5)) * F.log1p(F.lit(1.0) / (x + k)) - 1)
+        inv = F.lit(1.0) / (x + 10)
+        inv2 = inv * inv
+        return steps + inv * (F.lit(1 / 12) + inv2 * (F.lit(-1 / 360) + inv2 * F.lit(1 / 1260)))
+
+    return let({"x": x}, body)
+
+
+def beta_arm(a: Column, b: Column) -> Column:
+    """A Beta(a, b) variable as a struct, in logits around its peak.
+
+    The log odds have a log-concave density at any a, b > 0, without the poles
+    that Beta densities have at 0 and 1.
+    """
+    total = a + b
+    rest = stirling_rest(total) - stirling_rest(a) - stirling_rest(b)
+    sd = F.sqrt(total / (a * b))
+    return F.struct(
+        a.alias("a"), b.alias("b"), (a / total).alias("mean"), sd.alias("sd"),
+        (F.exp(rest) / (sd * F.lit(math.sqrt(2 * math.pi)))).alias("peak"), F.log(a / b).alias("centre"),
+        # Beyond these distances from the peak the density is below 1e-15 of it.
+        (9 * sd + F.lit(36.0) / a).alias("reach_down"), (9 * sd + F.lit(36.0) / b).alias("reach_up"),
+    )
+
+
+def _beta_density(arm: Column, d: Column) -> Column:
+    """Density of the log odds ``d`` away from the peak."""
+    return arm["peak"] * F.exp(arm["a"] * d - (arm["a"] + arm["b"]) * F.log1p(arm["mean"] * F.expm1(d)))
+
+
+def _beta_value(arm: Column, d: Column) -> Column:
+    """The probability at ``d``."""
+    return arm["mean"] * F.exp(d) / (F.lit(1.0) + arm["mean"] * F.expm1(d))
+
+
+def _beta_cdf(arm: Column, d: Column) -> Column:
+    """P(log odds < peak + d): the tail beyond d, where the density falls at least at its slope in d."""
+
+    def body(r: Column) -> Column:
+        arm, d = r["arm"], r["d"]
+        down = d < 0
+        slope = F.abs(arm["a"] - (arm["a"] + arm["b"]) * _beta_value(arm, d))
+        width = F.least(
+            F.when(down, arm["reach_down"]).otherwise(arm["reach_up"]), F.lit(36.0) / F.greatest(slope, F.lit(1e-300))
+        )
+
+        def tail(q: Column) -> Column:
+            def at(u: Column) -> Column:
+                gap = q["width"] * u * u * u
+                return _beta_density(q["arm"], q["d"] + F.when(q["d"] < 0, -gap).otherwise(gap)) * 3 * u * u
+
+            return q["width"] * quadrature(at, 2, 20)
+
+        part = let({"arm": arm, "d": d, "width": width}, tail)
+        return let({"part": part, "down": down}, lambda p: F.when(p["down"], p["part"]).otherwise(F.lit(1.0) - p["part"]))
+
+    # The logit of 0 and 1 is infinite.
+    inside = let({"arm": arm, "d": F.greatest(F.least(d, F.lit(600.0)), F.lit(-600.0))}, body)
+    return F.when(d > 600, F.lit(1.0)).when(d < -600, F.lit(0.0)).otherwise(inside)
+
+
+def _over_beta(arm: Column, fn, panels: int = 4, order: int = 20) -> Column:
+    """E[fn(d)] over the log odds of ``arm``, both sides of the peak."""
+
+    def body(r: Column) -> Column:
+        arm = r["arm"]
+
+        def at(u: Column) -> Column:
+            def inner(v: Column) -> Column:
+                # Nodes crowd at the peak; the two sides reach to different ends.
+                reach = F.when(v["s"] < 0, -arm["reach_down"]).otherwise(arm["reach_up"])
+                d = reach * v["s"] * v["s"]
+                jacobian = 4 * F.abs(reach * v["s"])
+                return jacobian * let({"d": d}, lambda w: _beta_density(arm, w["d"]) * fn(arm, w["d"]))
+
+            return let({"s": 2 * u - 1}, inner)
+
+        return quadrature(at, panels, order)
+
+    return let({"arm": arm}, body)
+
+
+def beta_compare(one: Column, other: Column) -> Column:
+    """Struct of P(one > other) and E[(one - other)+]; best with the narrower arm first."""
+
+    def body(r: Column) -> Column:
+        wide = r["other"]
+
+        def pieces(narrow: Column, d: Column):
+            there = narrow["centre"] + d - wide["centre"]
+
+            def values(v: Column) -> Column:
+                cdf, x = v["cdf"], v["x"]
+                # E[(x - W)+] from the same integral: P(W' < x) of Beta(a + 1, b) is P(W < x) less a density.
+                lower = cdf - _beta_density(wide, F.least(F.greatest(v["e"], F.lit(-600.0)), F.lit(600.0))) / wide["a"]
+                return F.struct(cdf.alias("p"), (x * cdf - wide["mean"] * lower).alias("g"))
+
+            return let({"cdf": _beta_cdf(wide, there), "x": _beta_value(narrow, d), "e": there}, values)
+
+        return F.struct(
+            _over_beta(r["one"], lambda n, d: pieces(n, d)["p"]).alias("p"),
+            _over_beta(r["one"], lambda n, d: pieces(n, d)["g"]).alias("gain"),
+        )
+
+    return let({"one": one, "other": other}, body)
+
+
+def beta_ratio_cdf(top: Column, bottom: Column, ratio: Column) -> Column:
+    """P(top / bottom < ratio), integrated over the narrower arm."""
+    under = bottom["sd"] <= top["sd"]
+    arms = F.when(under, F.struct(bottom.alias("n"), top.alias("w"))).otherwise(F.struct(top.alias("n"), bottom.alias("w")))
+
+    def body(r: Column) -> Column:
+        def at(narrow: Column, d: Column) -> Column:
+            value = _beta_value(narrow, d)
+            x = F.when(r["under"], value * r["ratio"]).otherwise(value / r["ratio"])
+
+            def below(v: Column) -> Column:
+                x = v["x"]
+                place = F.when(x >= 1, F.lit(1e9)).when(x <= 0, F.lit(-1e9)).otherwise(F.log(x) - F.log1p(-x) - r["w"]["centre"])
+                return let({"p": place}, lambda q: let({"c": _beta_cdf(r["w"], q["p"])}, lambda c: c["c"]))
+
+            return let({"c": let({"x": x}, below)}, lambda c: F.when(r["under"], c["c"]).otherwise(F.lit(1.0) - c["c"]))
+
+        return _over_beta(r["n"], at)
+
+    return let({"arms": arms, "ratio": ratio, "under": under}, lambda r: let(
+        {"n": r["arms"]["n"], "w": r["arms"]["w"], "ratio": r["ratio"], "under": r["under"]}, body
+    ))
+
+
+def t_arm(centre: Column, scale: Column, df: Column) -> Column:
+    """A Student t variable with location and scale as a struct."""
+    return F.struct(
+        centre.alias("mean"), scale.alias("sd"), df.alias("df"), _t_scale(df).alias("norm"),
+        F.least(F.lit(math.pi / 2), F.lit(14.0) / F.sqrt(df)).alias("reach"),
+    )
+
+
+def _over_t(arm: Column, fn, panels: int, order: int) -> Column:
+    """E[fn(x)] over ``arm``; with x = mean + sd sqrt(df) tan(angle) the density is a power of the cosine."""
+
+    def body(r: Column) -> Column:
+        arm = r["arm"]
+
+        def at(u: Column) -> Column:
+            def inner(v: Column) -> Column:
+                x = arm["mean"] + arm["sd"] * F.sqrt(arm["df"]) * F.tan(v["angle"])
+                weight = F.exp((arm["df"] - 1) * F.log(F.greatest(F.cos(v["angle"]), F.lit(1e-300))))
+                return weight * let({"x": x}, lambda w: fn(w["x"]))
+
+            return let({"angle": (2 * u - 1) * arm["reach"]}, inner)
+
+        return arm["norm"] * 2 * arm["reach"] * quadrature(at, panels, order)
+
+    return let({"arm": arm}, body)
+
+
+def _t_cdf(arm: Column, x: Column) -> Column:
+    z = (x - arm["mean"]) / arm["sd"]
+    tail = let({"t": F.abs(z), "df": arm["df"], "c": arm["norm"]}, lambda r: _t_tail(r["t"], r["df"], r["c"], 2, 20))
+    return let({"tail": tail, "z": z}, lambda r: F.when(r["z"] > 0, F.lit(1.0) - r["tail"]).otherwise(r["tail"]))
+
+
+def t_compare(one: Column, other: Column) -> Column:
+    """Struct of P(one > other) and E[(one - other)+]; df of both above 1."""
+
+    def body(r: Column) -> Column:
+        wide = r["other"]
+
+        def gain(x: Column) -> Column:
+            def values(v: Column) -> Column:
+                z, df = v["z"], wide["df"]
+                density = wide["norm"] / F.sqrt(df) * F.exp(-(df + 1) / 2 * F.log1p(z * z / df))
+                return wide["sd"] * (z * v["cdf"] + density * (df + z * z) / (df - 1))
+
+            return let({"z": (x - wide["mean"]) / wide["sd"], "cdf": _t_cdf(wide, x)}, values)
+
+        return F.struct(
+            _over_t(r["one"], lambda x: _t_cdf(wide, x), 4, 20).alias("p"), _over_t(r["one"], gain, 4, 20).alias("gain")
+        )
+
+    return let({"one": one, "other": other}, body)
+
+
+def t_lift_cdf(treatment: Column, control: Column, lift: Column) -> Column:
+    """P((treatment - control) / |control| < lift), integrated over control.
+
+    Nodes crowd where control is zero, as a large lift needs a control near it.
+    """
+
+    def body(r: Column) -> Column:
+        arm = r["c"]
+        zero = F.atan(-arm["mean"] / (arm["sd"] * F.sqrt(arm["df"])))
+        zero = F.greatest(F.least(zero, arm["reach"]), -arm["reach"])
+
+        def sides(q: Column) -> Column:
+            def at(u: Column) -> Column:
+                def node(v: Column) -> Column:
+                    width = F.when(v["s"] < 0, -(q["zero"] + arm["reach"])).otherwise(arm["reach"] - q["zero"])
+
+                    def value(w: Column) -> Column:
+                        weight = F.exp((arm["df"] - 1) * F.log(F.greatest(F.cos(w["angle"]), F.lit(1e-300))))
+                        x = arm["mean"] + arm["sd"] * F.sqrt(arm["df"]) * F.tan(w["angle"])
+                        return weight * let({"x": x}, lambda k: _t_cdf(r["t"], k["x"] + r["r"] * F.abs(k["x"])))
+
+                    return 4 * F.abs(width * v["s"]) * let({"angle": q["zero"] + width * v["s"] * v["s"]}, value)
+
+                return let({"s": 2 * u - 1}, node)
+
+            return arm["norm"] * quadrature(at, 8, 20)
+
+        return let({"zero": zero}, sides)
+
+    return let({"t": treatment, "c": control, "r": lift}, body)
+
+
+def solve_cdf(cdf, p: float, start: Column, step: Column, rounds: int = 12) -> Column:
+    """x with cdf(x) = p: secant steps on the normal scale, where the curve is nearly straight."""
+    target = z_value(p)
+
+    def height(x: Column) -> Column:
+        inside = F.least(F.greatest(cdf(x), F.lit(1e-14)), F.lit(1 - 1e-14))
+        return let({"p": inside}, lambda r: norm_ppf(r["p"])) - F.lit(target)
+
+    def secant(r: Column) -> Column:
+        def one(state: Column, _: Column) -> Column:
+            def moved(n: Column) -> Column:
+                slope = F.try_divide(n["h"] - n["s"]["h0"], n["s"]["x1"] - n["s"]["x0"])
+                move = F.when(n["s"]["h0"].isNull(), r["step"] / 8).otherwise(F.coalesce(F.try_divide(-n["h"], slope), F.lit(0.0)))
+                move = F.greatest(F.least(move, 4 * r["step"]), -4 * r["step"])
+                return F.struct(n["s"]["x1"].alias("x0"), n["h"].alias("h0"), (n["s"]["x1"] + move).alias("x1"))
+
+            step = let({"s": state, "h": height(state["x1"])}, moved)
+            return F.when(F.abs(state["h0"]) < 1e-11, state).otherwise(step)
+
+        nothing = F.lit(None).cast("double")
+        first = F.struct(r["start"].alias("x0"), nothing.alias("h0"), r["start"].alias("x1"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, one, lambda s: s["x1"])
+
+    return let({"start": start, "step": step}, secant)

@@ -1,14 +1,14 @@
-"""Bayesian tests: conjugate posteriors as columns, draws in one Arrow map."""
+"""Bayesian tests: conjugate posteriors and integrals over them, as columns."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..fixed_values import LOSS_THRESHOLD, POSTERIOR_DRAWS, POSTERIOR_SEED
+from ..fixed_values import LOSS_THRESHOLD
+from ..functions import distributions as D
 from ..functions.columns import div
 from .quantiles import exact_quantiles
 
@@ -110,109 +110,94 @@ def normal_posterior(pairs: DataFrame, prior_mean: float = 0.0, prior_sd: float
     return step
 
 
-_DRAW_SCHEMA = (
-    "prob_treatment_better double, draw_mean_control double, draw_mean_treatment double, "
-    "lift_ci_lower double, lift_ci_upper double, "
-    "expected_loss_ship_treatment double, expected_loss_ship_control double"
-)
+def _decided(df: DataFrame, compare) -> DataFrame:
+    """Win probability, losses and decision from a comparison of the arms `_c` and `_t`.
 
-
-def summarize_draws(c: np.ndarray, t: np.ndarray) -> tuple:
-    """The draw-based summaries of one cell."""
-    usable = np.abs(c) >= NEAR_ZERO
-    lift = (t[usable] - c[usable]) / np.abs(c[usable])
-    lo, hi = np.quantile(lift, [0.025, 0.975]) if lift.size else (np.nan, np.nan)
-    return (
-        float(np.mean(t > c)), float(np.mean(c)), float(np.mean(t)), float(lo), float(hi),
-        float(np.mean(np.maximum(c - t, 0.0))), float(np.mean(np.maximum(t - c, 0.0))),
-    )
-
-
-def _draw_udf(family: str, n_draws: int, seed: int):
-    """Per cell: a fresh generator with the same seed, control drawn first."""
-
-    def sample(rng, a, b, mu, precision):
-        if family == "beta":
-            return rng.beta(a, b, size=n_draws)
-        sigma2 = 1.0 / rng.gamma(shape=a, scale=1.0 / b, size=n_draws)
-        return mu + np.sqrt(sigma2 / precision) * rng.standard_normal(size=n_draws)
-
-    @F.pandas_udf(_DRAW_SCHEMA)
-    def draw(params: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for p in params.itertuples(index=False):
-            if np.isnan(np.array(p, dtype=float)).any():
-                rows.append((None,) * 7)
-                continue
-            rng = np.random.default_rng(seed)
-            c = sample(rng, p.a_c, p.b_c, p.mu_c, p.k_c)
-            t = sample(rng, p.a_t, p.b_t, p.mu_t, p.k_t)
-            rows.append(summarize_draws(c, t))
-        names = [part.split()[0] for part in _DRAW_SCHEMA.split(", ")]
-        return pd.DataFrame(rows, columns=names, dtype=float)
-
-    return draw
-
-
-def _finish(df: DataFrame, relative_lift: Column) -> DataFrame:
-    out = df.select("*", "_d.*").drop("_d")
-    scale = F.when(C("draw_mean_control") == 0, 1.0).otherwise(F.abs("draw_mean_control"))
-    out = out.withColumns(
-        {
-            "relative_lift": relative_lift,
-            "expected_loss_ship_treatment_rel": div(C("expected_loss_ship_treatment"), scale),
-            "expected_loss_ship_control_rel": div(C("expected_loss_ship_control"), scale),
-        }
+    The narrower arm carries the integral.  Both losses follow from one of them:
+    their difference is the difference of the means.
+    """
+    mc, mt = C("_c.mean"), C("_t.mean")
+    narrow_t = C("_t.sd") <= C("_c.sd")
+    ordered = F.when(narrow_t, F.struct(C("_t").alias("a"), C("_c").alias("b"))).otherwise(
+        F.struct(C("_c").alias("a"), C("_t").alias("b"))
     )
+    out = df.withColumn("_o", ordered).withColumn("_w", compare(C("_o.a"), C("_o.b")))
+    gain = C("_w.gain")
+    scale = F.when(mc == 0, 1.0).otherwise(F.abs(mc))
+    zero = F.lit(0.0)
+    out = out.withColumns({
+        "prob_treatment_better": F.when(narrow_t, C("_w.p")).otherwise(1 - C("_w.p")),
+        "expected_loss_ship_control": F.greatest(F.when(narrow_t, gain).otherwise(gain + mt - mc), zero),
+        "expected_loss_ship_treatment": F.greatest(F.when(narrow_t, gain + mc - mt).otherwise(gain), zero),
+        "posterior_mean_control": mc, "posterior_mean_treatment": mt, "relative_lift": div(mt - mc, F.abs(mc)),
+    }).withColumns({
+        "expected_loss_ship_treatment_rel": div(C("expected_loss_ship_treatment"), scale),
+        "expected_loss_ship_control_rel": div(C("expected_loss_ship_control"), scale),
+    })
     return out.withColumn(
         "decision",
         bayes_decision(
-            C("expected_loss_ship_treatment_rel"),
-            C("expected_loss_ship_control_rel"),
-            C("prob_treatment_better"),
+            C("expected_loss_ship_treatment_rel"), C("expected_loss_ship_control_rel"), C("prob_treatment_better")
         ),
-    )
+    ).drop("_o", "_w", "_c", "_t")
 
 
-def beta_binomial_test(
-    pairs: DataFrame,
-    prior_alpha: float = 1.0,
-    prior_beta: float = 1.0,
-    n_draws: int = POSTERIOR_DRAWS,
-    seed: int = POSTERIOR_SEED,
-) -> DataFrame:
-    """Posterior P(T > C), lift interval, expected losses and decision per cell."""
+TAIL = 0.025
+
+
+def beta_binomial_test(pairs: DataFrame, prior_alpha: float = 1.0, prior_beta: float = 1.0) -> DataFrame:
+    """Posterior P(T > C), 95% interval of the relative lift, expected losses and decision per cell.
+
+    Everything is an integral over Beta posteriors, as columns: no draws, no
+    seed.  Cells with a missing count give NULL statistics.
+    """
     post = beta_binomial_posterior(pairs, prior_alpha, prior_beta)
-    zero = F.lit(0.0)
-    params = F.struct(
-        C("post_alpha_control").alias("a_c"), C("post_beta_control").alias("b_c"),
-        zero.alias("mu_c"), zero.alias("k_c"),
-        C("post_alpha_treatment").alias("a_t"), C("post_beta_treatment").alias("b_t"),
-        zero.alias("mu_t"), zero.alias("k_t"),
-    )
-    drawn = post.withColumn("_d", _draw_udf("beta", n_draws, seed)(params))
-    return _finish(drawn, C("relative_lift"))
+    arms = {
+        f"_{side[0]}": D.beta_arm(C(f"post_alpha_{side}").cast("double"), C(f"post_beta_{side}").cast("double")) for side in SIDES
+    }
+    known = C("post_alpha_control").isNotNull() & C("post_alpha_treatment").isNotNull()
+    step = post.withColumns({name: F.when(known, arm) for name, arm in arms.items()})
+    # ln(t / c) is nearly normal; sd of ln p is (1 - p) sd of the log odds.
+    spread = F.sqrt(sum(((1 - C(f"_{x}.mean")) * C(f"_{x}.sd")) ** 2 for x in "ct"))
+    centre = F.log(C("_t.mean") / C("_c.mean"))
+    z = D.z_value(1 - TAIL)
+
+    def bound(p: float, side: int) -> Column:
+        root = D.solve_cdf(
+            lambda x: D.beta_ratio_cdf(C("_t"), C("_c"), F.exp(x)), p, centre + F.lit(side * z) * spread, spread
+        )
+        return F.when(known, F.expm1(root))
 
+    step = step.withColumns({"lift_ci_lower": bound(TAIL, -1), "lift_ci_upper": bound(1 - TAIL, 1)})
+    return _decided(step, D.beta_compare)
 
-def normal_normal_test(
-    pairs: DataFrame,
-    prior_mean: float = 0.0,
-    prior_sd: float = 1e6,
-    n_draws: int = POSTERIOR_DRAWS,
-    seed: int = POSTERIOR_SEED,
-) -> DataFrame:
-    """The same for means; arms need two observations each."""
+
+def normal_normal_test(pairs: DataFrame, prior_mean: float = 0.0, prior_sd: float = 1e6) -> DataFrame:
+    """The same for means, whose posteriors are Student t; arms need two observations each."""
     post = normal_posterior(pairs, prior_mean, prior_sd)
-    params = F.struct(
-        *[
-            C(f"{name}_{side}").alias(f"{short}_{side[0]}")
-            for side in SIDES
-            for name, short in (
-                ("post_shape", "a"), ("post_scale", "b"), ("post_mu", "mu"), ("post_precision", "k"),
-            )
-        ]
-    )
-    enough = (C("n_control") >= 2) & (C("n_treatment") >= 2)
-    drawn = post.where(enough).withColumn("_d", _draw_udf("normal", n_draws, seed)(params))
-    mc, mt = C("draw_mean_control"), C("draw_mean_treatment")
-    return _finish(drawn, div(mt - mc, F.abs(mc)))
+    step = post.where((C("n_control") >= 2) & (C("n_treatment") >= 2))
+    step = step.withColumns({
+        f"_{side[0]}": D.t_arm(
+            C(f"post_mu_{side}"),
+            F.sqrt(C(f"post_scale_{side}") / (C(f"post_shape_{side}") * C(f"post_precision_{side}"))),
+            2 * C(f"post_shape_{side}"),
+        )
+        for side in SIDES
+    })
+    mc, mt = C("_c.mean"), C("_t.mean")
+    size = F.greatest(F.abs(mc), F.lit(NEAR_ZERO))
+    spread = F.sqrt(C("_t.sd") ** 2 + (mt / size * C("_c.sd")) ** 2) / size
+    z = D.z_value(1 - TAIL)
+    centre = (mt - mc) / size
+
+    def lift(y: Column) -> Column:
+        # With a control mean near zero the lift's tails are very long.
+        return centre + spread * F.sinh(y)
+
+    bounds = {
+        name: lift(D.solve_cdf(
+            lambda y: D.t_lift_cdf(C("_t"), C("_c"), lift(y)), p, F.lit(side * math.asinh(z)), F.lit(0.5)
+        ))
+        for name, p, side in (("lift_ci_lower", TAIL, -1), ("lift_ci_upper", 1 - TAIL, 1))
+    }
+    return _decided(step.withColumns(bounds), D.t_compare)

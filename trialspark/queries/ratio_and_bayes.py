@@ -357,6 +357,24 @@ def q_beta(spark, sf):
     return _rounded(bayes.beta_binomial_test(_pairs(spark, sf, "converted")), ["experiment_id", "arm", "decision"], BAYES_OUT)
 
 
+def _wins(a1, b1, a2, b2):
+    """P(Beta(a2, b2) > Beta(a1, b1)) as a finite sum; a2 is a whole number."""
+    lb = lambda a, b: f"(lgamma({a}) + lgamma({b}) - lgamma({a} + {b}))"
+    return (f"list_sum(list_transform(range(0, CAST({a2} AS BIGINT)), lambda i: exp({lb(f'({a1} + i)', f'({b1} + {b2})')} - ln({b2} + i) "
+            f"- {lb('(1.0 + i)', b2)} - {lb(a1, b1)})))")
+
+
+@query("beta_binomial_wins", f"""{CONV_PAIRS}, b AS (SELECT *, total_control + 1.0 AS ac, n_control - total_control + 1.0 AS bc, total_treatment + 1.0 AS a_t, n_treatment - total_treatment + 1.0 AS bt FROM p),
+w AS (SELECT experiment_id, arm, ac/(ac+bc) AS mc, a_t/(a_t+bt) AS mt, {_wins('ac', 'bc', 'a_t', 'bt')} AS pw, {_wins('(ac + 1)', 'bc', 'a_t', 'bt')} AS pw_c, {_wins('ac', 'bc', '(a_t + 1)', 'bt')} AS pw_t FROM b),
+l AS (SELECT *, mc*(1 - pw_c) - mt*(1 - pw_t) AS lt FROM w), r AS (SELECT *, (lt + mt - mc)/mc AS rc, lt/mc AS rt FROM l)
+SELECT experiment_id, arm, {S.rnd('pw')} AS prob_treatment_better, {S.rnd('rt')} AS expected_loss_ship_treatment_rel, {S.rnd('rc')} AS expected_loss_ship_control_rel,
+  CASE WHEN rt < 0.005 AND pw >= 0.5 THEN 'SHIP' WHEN rc < 0.005 AND pw < 0.5 THEN 'ABORT' ELSE 'CONTINUE' END AS decision FROM r""")
+def q_beta_wins(spark, sf):
+    """The part of the Beta test that finite sums can say."""
+    return _rounded(bayes.beta_binomial_test(_pairs(spark, sf, "converted")), ["experiment_id", "arm", "decision"],
+                    {c: 6 for c in ("prob_treatment_better", "expected_loss_ship_treatment_rel", "expected_loss_ship_control_rel")})
+
+
 @query("normal_normal_test")
 def q_normal(spark, sf):
     return _rounded(bayes.normal_normal_test(_pairs(spark, sf, "value")), ["experiment_id", "arm", "decision"], BAYES_OUT)
