@@ -72,3 +72,9 @@ def test_marks_and_deep_trees():
     assert text("<article>a</article><aside>b</aside><article>c</article>") == "a c"
     assert text("<div>" * 300 + "deep" + "</div>" * 300) == "deep"
     assert text("<p>open <i>one<p>two</i> three</p></div> four") == "open one two three four"
+
+
+def test_pages_of_any_depth(spark):
+    deep = "<div>" * 5000 + "far down" + "</div>" * 5000
+    pages = spark.createDataFrame([(1, "http://a.b/1", deep), (2, "http://a.b/2", "<p>near</p>")], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_templates.extract(pages).collect()} == {1: "far down", 2: "near"}

@@ -116,17 +116,25 @@ def digest(node: Node) -> int:
 
     Also sets each node's ``size``, the length of its text.
     """
-    node.size = 0
-    h = xxhash.xxh64(f"{node.tag} {' '.join(sorted(node.marks))}\x00")
-    for kid in node.kids:
-        if isinstance(kid, str):
-            text = SPACE.sub(" ", kid).strip()
-            node.size += len(text)
-            h.update(b"\x01" + text.encode("utf-8", "surrogatepass"))
-        else:
-            h.update(b"\x02%d" % digest(kid))
-            node.size += kid.size
-    node.digest = h.intdigest() - (1 << 63)
+    below: list[Node] = []
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        below.append(n)
+        todo += [k for k in n.kids if isinstance(k, Node)]
+    # Kids come before their parents, at any depth.
+    for n in reversed(below):
+        n.size = 0
+        h = xxhash.xxh64(f"{n.tag} {' '.join(sorted(n.marks))}\x00")
+        for kid in n.kids:
+            if isinstance(kid, str):
+                text = SPACE.sub(" ", kid).strip()
+                n.size += len(text)
+                h.update(b"\x01" + text.encode("utf-8", "surrogatepass"))
+            else:
+                h.update(b"\x02%d" % kid.digest)
+                n.size += kid.size
+        n.digest = h.intdigest() - (1 << 63)
     return node.digest
 
 
