@@ -34,7 +34,7 @@ class Metric:
     folds a unit's rows.  A proportion is 1 when any row passes `filter`.
     `winsorize` clips unit values to quantiles of the experiment, arms pooled;
     `invert` says that less is better; `baseline_range` is where the control
-    value is expected.
+    value is expected.  `source` and `denominator_source` name declared sources.
     """
 
     name: str
@@ -47,6 +47,7 @@ class Metric:
     filter: str | None = None
     unit: str = "unit_id"
     source: str = ""
+    denominator_source: str = ""
     baseline_range: tuple[float, float] | None = None
     winsorize: bool = False
     winsorize_bounds: tuple[float, float] = (0.01, 0.99)
@@ -74,6 +75,8 @@ def metric_validate(spec: Mapping) -> Metric:
         raise MetricError(f"unknown metric type {kind!r}")
     if kind == "ratio" and not spec.get("denominator"):
         raise MetricError("a ratio metric needs a denominator")
+    if spec.get("denominator_source") and kind != "ratio":
+        raise MetricError("only a ratio metric has a denominator_source")
     base = spec.get("baseline_range")
     if base is not None:
         base = _bounds("baseline_range", base)
@@ -112,7 +115,12 @@ def metric_catalog(specs: Iterable[Mapping]) -> dict[str, Metric]:
 
 
 def load_metric_catalog(spark, path: str) -> dict[str, Metric]:
-    """Definitions from a directory, in order of their names.
+    """Metric definitions from a directory, in order of their names."""
+    return metric_catalog(read_definitions(spark, path))
+
+
+def read_definitions(spark, path: str) -> list[Mapping]:
+    """Objects from the files of a directory, in order of the files' names.
 
     `.yaml` and `.yml` files hold one definition or several documents, all
     others JSON: one object or array a file, or one object a line.  Definitions
@@ -122,7 +130,7 @@ def load_metric_catalog(spark, path: str) -> dict[str, Metric]:
     specs: list[Mapping] = []
     for row in files.orderBy("file").toLocalIterator():
         specs += _parsed(row.value, row.file)
-    return metric_catalog(specs)
+    return specs
 
 
 def _parsed(text: str, file: str) -> list[Mapping]:
@@ -183,6 +191,20 @@ def unit_metrics(
     All metrics of the fact source share one join and one aggregate.  Units
     without facts count 0 for sums and counts, NULL for means.
     """
+    per_unit, zero = folded_units(assign, facts, metrics, keys, unit, ts, horizon_days)
+    return join_units_zero_filled(assign, per_unit, [*keys, unit], zero)
+
+
+def folded_units(
+    assign: DataFrame,
+    facts: DataFrame,
+    metrics: Mapping[str, Metric],
+    keys: Sequence[str],
+    unit: str = "unit_id",
+    ts: str = "event_at",
+    horizon_days: float | None = None,
+) -> tuple[DataFrame, list[str]]:
+    """Units with exposed facts, a column per metric, and the columns a unit without facts counts 0 in."""
     exposed = join_exposure(facts, assign.select(*keys, unit, "first_exposure_at"), unit, ts, horizon_days)
     aggs, zero = [], []
     for m in metrics.values():
@@ -202,8 +224,7 @@ def unit_metrics(
         if m.type == "ratio":
             aggs.append(_fold(m.denominator_aggregate, m.denominator, m.filter).alias(f"{m.name}__den"))
             zero.append(f"{m.name}__den")
-    per_unit = exposed.groupBy(*keys, unit).agg(*aggs)
-    return join_units_zero_filled(assign, per_unit, [*keys, unit], zero)
+    return exposed.groupBy(*keys, unit).agg(*aggs), zero
 
 
 def percentile_metrics(
