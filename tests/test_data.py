@@ -80,10 +80,37 @@ def test_exposure_join_routes_agree(spark):
     assert set(small.columns) == set(split.columns)
 
 
-def test_hot_list_finds_the_heavy_unit(spark):
-    facts = spark.range(30_000).select(F.when(C("id") % 3 == 0, 0).otherwise(C("id")).alias("unit_id"))
-    found = [r.unit_id for r in joins.hot_units(facts, "unit_id", share=0.01, fraction=0.2).collect()]
-    assert found == [0]
+def test_hot_units_are_split_and_facts_read_once(spark, tmp_path):
+    """A unit with a third of all events is cut by adaptive execution; no pass before the join looks for it."""
+    path = str(tmp_path / "facts")
+    spark.range(0, 600_000, numPartitions=12).select(
+        F.when(C("id") % 3 == 0, 0).otherwise(C("id") % 5000 + 1).alias("unit_id"), F.timestamp_seconds(C("id") % 1000).alias("event_at"),
+        C("id").alias("value"), F.repeat(F.sha2(C("id").cast("string"), 256), 2).alias("pad"),
+    ).write.parquet(path)
+    assign = spark.range(0, 5001).select(C("id").alias("unit_id"), F.timestamp_seconds(C("id") % 50 * 20).alias("first_exposure_at"), F.lit("control").alias("arm"))
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    old = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        joined = joins.join_exposure(spark.read.parquet(path), assign, broadcast_limit=-1)
+        totals = joined.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"), F.max("pad").alias("pad"))
+        got = {r.unit_id: (r.n, r.v) for r in totals.collect()}
+        plan = totals._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    final = plan[:plan.index("Initial Plan")]
+    assert "skew=true" in final and final.count("FileScan") == 1 and "BroadcastExchange" not in final
+    facts, expected = np.arange(600_000), {}
+    units = np.where(facts % 3 == 0, 0, facts % 5000 + 1)
+    kept = facts % 1000 >= units % 50 * 20
+    for u in (0, 1, 17, 4999, 5000):
+        rows = facts[kept & (units == u)]
+        expected[u] = (len(rows), int(rows.sum()))
+    assert {u: got[u] for u in expected if expected[u][0]} == {u: e for u, e in expected.items() if e[0]}
+    assert sum(n for n, _ in got.values()) == int(kept.sum())
 
 
 def test_align_fills_missing_arms(spark):

@@ -6,11 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import BROADCAST_LIMIT_BYTES, attach_one_row, fits_broadcast, materialize
-
-# Units above this share of the facts are joined by broadcast instead of by
-# shuffle; there can be at most 1/share of them.
-HOT_SHARE = 1e-4
+from ..session import BROADCAST_LIMIT_BYTES, fits_broadcast
 
 
 def first_exposure(
@@ -21,19 +17,6 @@ def first_exposure(
     return events.where(cond).groupBy(*keys, unit).agg(F.min(ts).alias("first_exposure_at"))
 
 
-def hot_units(facts: DataFrame, unit: str, share: float = HOT_SHARE, fraction: float = 0.01) -> DataFrame:
-    """Units that own more than `share` of the facts, judged on a sample.
-
-    The list only routes rows (results do not depend on it) and holds at most
-    1/share units.  It is stored, so both routes see the same list.
-    """
-    sample = facts.select(unit).where(F.col(unit).isNotNull()).sample(fraction, seed=1)
-    counts = sample.groupBy(unit).agg(F.count(F.lit(1)).alias("_c"))
-    heavy = attach_one_row(counts, sample.agg((F.count(F.lit(1)) * share).alias("_t")))
-    picked = heavy.where((F.col("_c") > F.col("_t")) & (F.col("_c") > 1)).orderBy(F.col("_c").desc())
-    return materialize(picked.limit(int(1 / share)).select(unit), "hot-units")
-
-
 def join_exposure(
     facts: DataFrame,
     assign: DataFrame,
@@ -46,21 +29,18 @@ def join_exposure(
 
     Inner by design: units without facts come back in `join_units_zero_filled`,
     so the fact side is never NULL-extended.  A small assignment is broadcast.
-    Otherwise the few hot units (one may own a third of all facts) are joined by
-    broadcasting only their assignment rows, and the rest is a shuffle join.
+    Otherwise both sides are shuffled once by unit, and adaptive execution cuts
+    the partition of a hot unit (one may own a third of all facts) into pieces
+    by the real sizes of its map outputs, each beside a copy of that partition's
+    assignment.  Facts are read once, and any number of units may be hot.
     """
     right = assign.withColumnRenamed(unit, "_unit")
     on = (F.col(unit) == F.col("_unit")) & (F.col(ts) >= F.col("first_exposure_at"))
     if horizon_days is not None:
         seconds = int(horizon_days * 86400)
         on = on & (F.col(ts) < F.col("first_exposure_at") + F.make_dt_interval(secs=F.lit(seconds)))
-    if fits_broadcast(assign, broadcast_limit):
-        return facts.join(F.broadcast(right), on, "inner").drop("_unit")
-    hot = F.broadcast(hot_units(facts, unit))
-    hot_right = right.join(hot.withColumnRenamed(unit, "_unit"), "_unit", "left_semi")
-    hot_part = facts.join(hot, unit, "left_semi").join(F.broadcast(hot_right), on, "inner")
-    cold_part = facts.join(hot, unit, "left_anti").join(right, on, "inner")
-    return hot_part.unionByName(cold_part).drop("_unit")
+    side = F.broadcast(right) if fits_broadcast(assign, broadcast_limit) else right
+    return facts.join(side, on, "inner").drop("_unit")
 
 
 def join_units_zero_filled(
