@@ -78,3 +78,42 @@ def test_nearest_edge_rows(spark, awkward):
     common = [i for i in first.values() if i == 0 or 100 < i < 200]
     assert common == sorted(common) and len(common) >= 19
     assert permutation_index.nearest(df.limit(0)).count() == 0
+
+
+def recall_of(got, rows, k=20):
+    """Hits over wanted, per vector length, against all inner products."""
+    hits, wanted = {}, {}
+    for dim in {len(v) for _, v in rows}:
+        ids = np.array([i for i, v in rows if len(v) == dim])
+        x = np.array([v for _, v in rows if len(v) == dim])
+        for q in ids[ids % 20 == 0]:
+            s = x @ x[ids == q][0]
+            want = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:k]
+            wanted[dim] = wanted.get(dim, 0) + len(want)
+            hits[dim] = hits.get(dim, 0) + len({int(ids[i]) for i in want} & got.get(int(q), set()))
+    return {dim: hits[dim] / n for dim, n in wanted.items() if n}
+
+
+def test_every_length_has_its_own_pivots(spark):
+    """A rare length beside a common one, one with too few rows for pivots, and lengths of other magnitudes."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(9000)]
+    rows += [(i, (rng.normal(size=24) * 1e-3).tolist()) for i in range(20_000, 20_800)]
+    rows += [(i, rng.normal(size=6).tolist()) for i in range(30_000, 30_050)]
+    rows += [(i, (rng.normal(size=5) * 1e150).tolist()) for i in range(40_000, 40_400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in permutation_index.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = recall_of(got, rows)
+    assert set(recall) == {16, 24, 6, 5} and min(recall.values()) >= 0.9 and recall[6] == 1
+
+
+def test_lengths_beyond_the_pivots_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(permutation_index, "ALL_PIVOTS", 150)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4 + i % 3).tolist()) for i in range(900)]
+    got = {}
+    for r in permutation_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(recall_of(got, rows).values()) == {1.0}

@@ -6,25 +6,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import store
 from .vectors import answer, clean_vectors, matrix, search_tiles
 
-# The pivots are a bounded sample; every row is indexed by its nearest ones.
+# The pivots of each vector length are a bounded sample; every row is indexed by its nearest ones.
 PIVOTS = 512
 NEAREST = 32
+# Pivots of all lengths together, and the fewest that order a length's rows: a
+# length with fewer is compared whole, which is exact.
+ALL_PIVOTS = 8192
+FEWEST = 128
 # The share of a shard's rows, nearest by footrule, whose vectors are compared.
 RERANK_SHARE = 0.25
 
 
-def _indexer(pivots: np.ndarray, pivot_dims: np.ndarray, longest: float):
-    def lifted(x: np.ndarray) -> np.ndarray:
-        # One more component gives all vectors the same length, so the largest
-        # inner product with a query is the smallest angle.
-        return np.concatenate([x, np.sqrt(np.maximum(longest - (x**2).sum(1), 0))[:, None]], 1)
+def _indexer(pivots: dict[int, np.ndarray], longest: dict[int, float]):
+    def lifted(x: np.ndarray, dim: int) -> np.ndarray:
+        # In units of the longest vector, so that no square overflows.  One more
+        # component gives all vectors the same length, so the largest inner
+        # product with a query is the smallest angle.
+        half = np.exp(-longest[dim] / 2)
+        x = x * half * half
+        return np.concatenate([x, np.sqrt(np.maximum(1 - (x**2).sum(1), 0))[:, None]], 1)
 
-    by_dim = {int(d): lifted(np.stack([p for p in pivots[pivot_dims == d]])) for d in set(pivot_dims.tolist())}
+    by_dim = {dim: lifted(x, dim) for dim, x in pivots.items()}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -34,7 +41,7 @@ def _indexer(pivots: np.ndarray, pivot_dims: np.ndarray, longest: float):
                 at = np.flatnonzero(dims == dim)
                 if dim not in by_dim:
                     continue
-                x = lifted(matrix(rows.column("embedding").take(pa.array(at)), dim))
+                x = lifted(matrix(rows.column("embedding").take(pa.array(at)), dim), dim)
                 near = -(x @ by_dim[dim].T)
                 order = np.argsort(near, axis=1, kind="stable")[:, :NEAREST]
                 for i, o in zip(at.tolist(), order.astype(np.int16)):
@@ -50,16 +57,23 @@ def _indexer(pivots: np.ndarray, pivot_dims: np.ndarray, longest: float):
 def permutations(rows: DataFrame) -> DataFrame:
     """Adds ``pivots``: the numbers of each vector's nearest pivots, nearest first.
 
-    Up to ``PIVOTS`` rows, taken by hash of their id, are the pivots.  A vector
-    whose length no pivot shares has an empty list.
+    Up to ``PIVOTS`` rows of each length, taken by hash of their id, are its
+    pivots.  A length with fewer than ``FEWEST`` (few rows, or so many lengths
+    that ``ALL_PIVOTS`` is used up) has empty lists, and its rows are all compared.
     """
-    taken = rows.select("dim", "embedding", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
-    longest = rows.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
-    pivots = np.empty(len(taken), object)
-    for i, r in enumerate(taken):
-        pivots[i] = np.array(r.embedding)
-    index = _indexer(pivots, np.array([r.dim for r in taken], np.int64), longest)
-    return rows.mapInArrow(index, "vec_id long, dim int, embedding array<double>, pivots array<short>")
+    hashed = rows.select("dim", "embedding", "vec_id", F.xxhash64("vec_id").alias("_h"))
+    by_hash = Window.partitionBy("dim").orderBy("_h", "vec_id")
+    first = hashed.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= PIVOTS)
+    taken: dict[int, list] = {}
+    for r in first.orderBy("_n", "_h", "vec_id").limit(ALL_PIVOTS).collect():
+        taken.setdefault(r.dim, []).append(r.embedding)
+    pivots = {dim: np.array(x) for dim, x in taken.items() if len(x) >= FEWEST}
+    # The logarithm of the longest vector's length, from components in units of the largest.
+    largest = F.array_max(F.transform("embedding", F.abs))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))
+    lengths = rows.where(F.col("dim").isin(list(pivots))).groupBy("dim").agg(F.max(F.log(largest) + F.log(squares) / 2).alias("longest"))
+    longest = {r.dim: r.longest for r in lengths.collect()} if pivots else {}
+    return rows.mapInArrow(_indexer(pivots, longest), "vec_id long, dim int, embedding array<double>, pivots array<short>")
 
 
 def _search(k: int, share: float):
