@@ -117,3 +117,12 @@ def test_lengths_beyond_the_pivots_are_compared_whole(spark, monkeypatch):
     for r in permutation_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert set(recall_of(got, rows).values()) == {1.0}
+
+
+@pytest.mark.parametrize("scale", [1e-200, 1e200])
+def test_lengths_whose_squares_leave_the_doubles(spark, scale):
+    """Products out of range leave no order to find; every candidate is still there and nothing fails."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=8) * scale).tolist()) for i in range(200)]
+    got = permutation_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 10 * 20

@@ -68,10 +68,12 @@ def permutations(rows: DataFrame) -> DataFrame:
     for r in first.orderBy("_n", "_h", "vec_id").limit(ALL_PIVOTS).collect():
         taken.setdefault(r.dim, []).append(r.embedding)
     pivots = {dim: np.array(x) for dim, x in taken.items() if len(x) >= FEWEST}
-    # The logarithm of the longest vector's length, from components in units of the largest.
-    largest = F.array_max(F.transform("embedding", F.abs))
-    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))
-    lengths = rows.where(F.col("dim").isin(list(pivots))).groupBy("dim").agg(F.max(F.log(largest) + F.log(squares) / 2).alias("longest"))
+    # The logarithm of the longest vector's length; where squares overflow or vanish, an upper bound of it.
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    bound = F.log(F.array_max(F.transform("embedding", F.abs))) + F.log("dim") / 2
+    measured = rows.where(F.col("dim").isin(list(pivots))).select("dim", squares.alias("_s"), bound.alias("_b"))
+    length = F.when((F.col("_s") > 0) & (F.col("_s") < float("inf")), F.log("_s") / 2).otherwise(F.col("_b"))
+    lengths = measured.groupBy("dim").agg(F.max(length).alias("longest"))
     longest = {r.dim: r.longest for r in lengths.collect()} if pivots else {}
     return rows.mapInArrow(_indexer(pivots, longest), "vec_id long, dim int, embedding array<double>, pivots array<short>")
 
