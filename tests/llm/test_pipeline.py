@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import tiktoken
-from test_simhash_index import plain_classes, plain_fingerprint
+from test_near_texts import plain_near_classes
 from test_suffix_dedup import plain_passages
 
 import corpus_pipeline
@@ -22,7 +22,7 @@ def test_stages_follow_one_another(spark, sf):
     assert {r.doc_id: r.text for r in one.collect()} == want
 
     two = near(spark, one, sf)
-    classes = plain_classes([plain_fingerprint(t) for t in want.values()])
+    classes = plain_near_classes(list(want.values()))
     first = {}
     for i, c in zip(want, classes):
         first[c] = min(first.get(c, i), i)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import repeat
 
@@ -112,7 +112,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stands in several rows is told apart by fingerprint.  Of a class without ids
     one row stays.
     """
-    known = store(classes(docs), "known")
+    return keep_first(docs, store(classes(docs), "known"), _with_prints)
+
+
+def keep_first(docs: DataFrame, known: DataFrame, with_prints: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``keep_one`` for stored classes ``known`` whose ``fp`` is what ``with_prints`` adds to rows as ``_fp``."""
     first = known.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("first"))
     kept = store(first.select(F.col("first.doc_id").alias("_kept"), F.col("first.fp").alias("_fp")), "kept")
     again = known.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
@@ -122,13 +126,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     several = store(kept.join(again, "_kept", "left_semi"), "several")
     if not several.isEmpty():
         ids = lookup(store(several.select("_kept").distinct(), "several-ids"))
-        rows = _with_prints(docs.join(ids, F.col("doc_id") == F.col("_kept"), "left_semi"))
+        rows = with_prints(docs.join(ids, F.col("doc_id") == F.col("_kept"), "left_semi"))
         rows = rows.withColumn("_kept", F.col("_doc.doc_id").cast("long")).join(lookup(several), ["_kept", "_fp"], "left_semi")
         parts.append(rows.dropDuplicates(["_kept", "_fp"]).select("_doc.*"))
     # Rows of classes in which no row has an id: one per class stands for them.
     nameless = known.where("component_id is null").groupBy("root").agg(F.min("fp").alias("_fp")).select("_fp")
     if not nameless.isEmpty():
-        alone = _with_prints(docs.where("doc_id is null").dropDuplicates(["text"])).join(nameless, "_fp", "left_semi")
+        alone = with_prints(docs.where("doc_id is null").dropDuplicates(["text"])).join(nameless, "_fp", "left_semi")
         parts.append(alone.dropDuplicates(["_fp"]).select("_doc.*"))
     return reduce(DataFrame.unionByName, parts)
 
