@@ -149,3 +149,20 @@ def test_columns_of_any_name(spark):
     assert [r.text for r in cut] == [" ".join(f"w{i}" for i in [*range(10), *range(70, 80)]), ""]
     assert cut[0]["odd name"] == 3 and cut[0]["_kept"] == "u" and cut[0]["passages"] == 4
     assert suffix_dedup.cut(docs).select("doc.`odd name`").count() == 2
+
+
+def test_joins_take_the_marked_texts_alone(spark, make_docs):
+    texts = suffix_dedup._texts(make_docs([(i, f"text {i}") for i in range(2000)] + [(2000, None), (2001, "text 0")]))
+    keys = texts.where("doc.doc_id % 100 = 0").select("key")
+    some, rest = ([r.doc.doc_id for r in x.collect()] for x in suffix_dedup.marked(texts, keys))
+    assert sorted(some + rest) == list(range(2002))
+    assert {*range(0, 2001, 100), 2001} <= set(some) and len(some) < 60
+    some, rest = suffix_dedup.marked(texts, keys.limit(0))
+    assert some.count() == 0 and rest.count() == 2002
+
+
+def test_short_texts_keep_small_tables(monkeypatch):
+    sizes, powers = [], suffix_dedup._powers
+    monkeypatch.setattr(suffix_dedup, "_powers", lambda n: sizes.append(n) or powers(n))
+    assert list(suffix_dedup.anchor_regions(b"ab" * 1000)) and sizes == [1 << 16]
+    assert list(suffix_dedup.anchor_regions(b"ab" * 50000)) and sizes[1:] == [1 << 17]

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import lookup, store, utf8
+from .common import store, utf8
 from .induced_sort import repeats
 
 LENGTH = 400
@@ -28,6 +28,11 @@ CHUNK = 1 << 20
 SEED = 42
 # Larger groups are split by the position of the anchor before they are sorted.
 GROUP_REGIONS = 4096
+# Marks for the texts that a join needs: so many bits a text, in all at most so
+# many buckets of bitmap_construct_agg's 32,768 (8 MB), however many texts.
+MARK_BITS = 16
+MARK_BUCKET = 32768
+MARK_BUCKETS = 2048
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -51,7 +56,8 @@ def anchor_regions(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> I
     Of equal hashes in a string the leftmost counts, so the choice depends on
     the string alone.  Long texts go chunk by chunk.
     """
-    powers, inverse = _powers(CHUNK + length)
+    # Sized by the texts that come, as a worker keeps them through the stages that follow.
+    powers, inverse = _powers(1 << max(16, (min(len(data), CHUNK + length) - 1).bit_length()))
     window = length - anchor + 1
     for base in range(0, len(data) - length + 1, CHUNK):
         b = np.frombuffer(data, np.uint8)[base : base + CHUNK + length - 1]
@@ -78,13 +84,15 @@ def anchor_regions(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> I
 REGIONS = "key long, n long, anchor long, region long, start long, left int, count int"
 
 
-def _regions(length: int, anchor: int):
+def _regions(length: int, anchor: int, words: bool):
     names = [c.split()[0] for c in REGIONS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             parts: list[list[np.ndarray]] = [[] for _ in names]
             for key, size, data in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "data"))):
+                data = coded(data, known) if words else data
                 if len(data) < length:
                     continue
                 for start, place, end in anchor_regions(data, length, anchor):
@@ -123,23 +131,34 @@ def coded(text: bytes, known: dict[bytes, bytes]) -> bytes:
     return b"".join(out)
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, bytes] = {}
-    for batch in batches:
-        data = [coded(x, known) for x in batch.column("data").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), batch.column("n"), pa.array(data, pa.binary())], ["key", "n", "data"]
-        )
+def marked(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``texts`` that may have a key in ``keys``, and all other rows; none of those has one.
+
+    Every text with a key is marked, and few others, so a join has to shuffle
+    little more than the texts that it needs.  Only the marks are broadcast, and
+    their size is bounded: more keys mark more texts without need.
+    """
+    bits = min(MARK_BUCKETS, keys.count() * MARK_BITS // MARK_BUCKET + 1) * MARK_BUCKET
+    slot = F.pmod(F.xxhash64("key"), F.lit(bits))
+    bucket, bit = F.floor(slot / F.lit(MARK_BUCKET)).cast("int"), F.pmod(slot, F.lit(MARK_BUCKET))
+    marks = keys.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_marks"))
+    rows = texts.withColumns({"_bucket": bucket, "_bit": bit.cast("int")})
+    rows = rows.join(F.broadcast(store(marks, "marks")), "_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(_marks, _bit div 8 + 1, 1)")), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, F.col("_bit") % 8) == 1, F.lit(False))
+    return rows.where(is_set).select(*texts.columns), rows.where(~is_set).select(*texts.columns)
 
 
 SUFFIXES = "anchor long, region long, left binary, right binary"
 
 
-def _suffixes(length: int, anchor: int):
+def _suffixes(length: int, anchor: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for data, wanted in zip(batch.column("data").to_pylist(), batch.column("wanted").to_pylist()):
+                data = coded(data, known) if words else data
                 for w in wanted:
                     place = w["start"] + w["left"]
                     out[0].append(w["anchor"])
@@ -244,14 +263,18 @@ def _all_of():
     return F.array(F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))).alias("ranges")
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most: int | None = None) -> DataFrame:
+def repeated_spans(
+    texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most: int | None = None, words: bool = False
+) -> DataFrame:
     """``key, n, spans``: for each text with repeated strings of ``length`` bytes, the bytes they cover.
 
     ``texts`` has ``key, n`` (hash and size of the text) and ``data``; ``spans``
     are [start, end) ranges.  Copies of a text are counted and collapse.
     ``anchor`` bytes file the strings; it is a matter of cost, not of results.
+    With ``words``, strings and ranges are of the texts' ``coded`` words.
     """
-    regions = store(texts.select("key", "n", "data").mapInArrow(_regions(length, anchor), REGIONS), "regions")
+    texts = texts.select("key", "n", "data")
+    regions = store(texts.mapInArrow(_regions(length, anchor, words), REGIONS), "regions")
     # An anchor that occurs once holds no repeated string.
     again = regions.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
     again = store(again, "again")  # a table of its own, so that the join can split hot anchors
@@ -275,9 +298,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     wanted = kinds.join(mixed, "anchor", "left_semi").select("one.*", "anchor", "region").groupBy("key", "n").agg(
         F.collect_list(F.struct("start", "left", "count", "anchor", "region")).alias("wanted")
     )
-    wanted = lookup(store(wanted, "wanted"), ["wanted", "wanted", "wanted", "wanted", "wanted"])
-    found = texts.select("key", "n", "data").join(wanted, ["key", "n"]).select("data", "wanted")
-    found = found.mapInArrow(_suffixes(length, anchor), SUFFIXES).groupBy("anchor", "region").agg(
+    wanted = store(wanted, "wanted")
+    found = marked(texts, wanted.select("key"))[0].join(wanted, ["key", "n"]).select("data", "wanted")
+    found = found.mapInArrow(_suffixes(length, anchor, words), SUFFIXES).groupBy("anchor", "region").agg(
         F.first("left").alias("left"), F.first("right").alias("right")
     )
     found = store(found, "suffixes").select(
@@ -292,7 +315,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     ranges = store(ranges.select("anchor", "region", F.explode("ranges").alias("r")).distinct(), "found")
     place = F.col("start") + F.col("left")
     span = F.struct((place - F.col("r.last")).alias("start"), (place - F.col("r.first") + length).alias("end"))
-    spans = places.join(lookup(ranges), ["anchor", "region"]).select("key", "n", span.alias("span"))
+    spans = places.join(ranges, ["anchor", "region"]).select("key", "n", span.alias("span"))
     spans = spans.groupBy("key", "n").agg(F.collect_set("span").alias("spans"))
     return spans.mapInArrow(_merge, "key long, n long, spans array<struct<start long, end long>>")
 
@@ -343,12 +366,15 @@ def cut(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFram
     nothing.  Repeated rows are copies of each other.  An empty table gives no
     rows; columns of any name stay in ``doc``.
     """
-    spans = lookup(store(repeated_spans(_texts(docs), length, anchor), "spans"), ["spans", "spans"])
-    rows = _texts(docs).join(spans, ["key", "n"], "left").select("doc", "n", "data", "spans")
+    spans = store(repeated_spans(_texts(docs), length, anchor), "spans")
+    some, rest = marked(_texts(docs), spans.select("key"))
+    rows = some.join(spans, ["key", "n"], "left").select("doc", "n", "data", "spans")
     kind = rows.select("doc").schema
     for name, of in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
         kind = kind.add(name, of)
-    return rows.mapInArrow(_cut, kind)
+    none = F.lit(0).cast("long")
+    whole = rest.select("doc", F.col("n").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("data").alias("kept"))
+    return rows.mapInArrow(_cut, kind).unionByName(whole)
 
 
 def passages(docs: DataFrame, words: int = PASSAGE_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
@@ -359,8 +385,7 @@ def passages(docs: DataFrame, words: int = PASSAGE_WORDS, anchor: int = ANCHOR_W
     by ``CODE`` bytes of their hashes: runs that differ in one word are taken for
     equal once in 2^48 cases.
     """
-    codes = _texts(docs).select("key", "n", "data").mapInArrow(_coded, "key long, n long, data binary")
-    spans = repeated_spans(codes, words * CODE, anchor * CODE)
+    spans = repeated_spans(_texts(docs), words * CODE, anchor * CODE, words=True)
     whole = F.transform("spans", lambda s: F.struct(
         F.ceil(s["start"] / F.lit(CODE)).alias("start"), F.floor(s["end"] / F.lit(CODE)).alias("end")
     ))
@@ -396,9 +421,11 @@ def cut_passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
     fewer words stay as they are.  Repeated rows are copies of each other and
     lose what is long enough in them.  An empty table gives no rows.
     """
-    known = lookup(store(passages(docs, words), "passages"), ["passages", "passages"])
-    rows = _texts(docs).join(known, ["key", "n"], "left").select("doc", "data", "passages")
+    known = store(passages(docs, words), "passages")
+    some, rest = marked(_texts(docs), known.select("key"))
+    rows = some.join(known, ["key", "n"], "left").select("doc", "data", "passages")
     rows = rows.mapInArrow(_cut_words, rows.select("doc").schema.add("kept", "string"))
+    rows = rows.unionByName(rest.select("doc", F.col("doc.text").alias("kept")))
     text = F.when(F.col("doc.text").isNotNull(), F.col("kept"))
     new = {"text": text, "n_chars": F.length(text)}
     return rows.select(*[
