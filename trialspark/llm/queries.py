@@ -120,14 +120,17 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
-    cut = suffix_dedup.cut(docs).withColumn("data", utf8("doc.text"))
+    # Digests take the texts' place before the join, so that it shuffles no text.
+    cut = suffix_dedup.cut(docs).select(
+        "doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        F.xxhash64(utf8("doc.text")).alias("of"), F.col("n_bytes").alias("size"),
+    )
     # What repeats over more than fifty words, in columns of its own: such passages may have fewer bytes.
     known = store(suffix_dedup.passages(docs), "op8-passages")
     words = F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["start"])
-    known = lookup(known.select(F.col("key").alias("of"), F.col("n").alias("size"), F.size("passages").alias("runs"), words.alias("words")))
-    same = (F.xxhash64("data") == F.col("of")) & (F.col("n_bytes") == F.col("size"))
-    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).join(known, same, "left").select(
-        "doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256",
+    known = known.select(F.col("key").alias("of"), F.col("n").alias("size"), F.size("passages").alias("runs"), words.alias("words"))
+    return cut.join(known, ["of", "size"], "left").select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256",
         F.coalesce("runs", F.lit(0)).cast("long").alias("n_passages"),
         F.coalesce("words", F.lit(0)).cast("long").alias("n_passage_words"),
     )
