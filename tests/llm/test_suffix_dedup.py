@@ -166,3 +166,23 @@ def test_short_texts_keep_small_tables(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_powers", lambda n: sizes.append(n) or powers(n))
     assert list(suffix_dedup.anchor_regions(b"ab" * 1000)) and sizes == [1 << 16]
     assert list(suffix_dedup.anchor_regions(b"ab" * 50000)) and sizes[1:] == [1 << 17]
+
+
+def test_regions_without_a_second_anchor_are_not_joined(make_docs, monkeypatch):
+    rnd, seen, plain = random.Random(4), [], suffix_dedup.marked
+
+    def spy(rows, keys, *on):
+        found = plain(rows, keys, *on)
+        if "region" in rows.columns:
+            known = {r.anchor for r in keys.collect()}
+            rows, some = ([r.anchor for r in x.collect()] for x in (rows, found[0]))
+            seen.append((len(rows), len(some), sum(a in known for a in rows), sum(a in known for a in some)))
+        return found
+
+    monkeypatch.setattr(suffix_dedup, "marked", spy)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(120)) for _ in range(300)]
+    rows = [*enumerate(texts), (300, texts[0] + " more"), (301, "less " + texts[1])]
+    known = {r.key: r.passages for r in suffix_dedup.passages(make_docs(rows)).collect()}
+    assert len(known) == 4
+    [(regions, joined, again, kept)] = seen
+    assert again == kept > 0 and joined < again + 0.2 * regions

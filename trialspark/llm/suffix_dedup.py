@@ -131,15 +131,15 @@ def coded(text: bytes, known: dict[bytes, bytes]) -> bytes:
     return b"".join(out)
 
 
-def marked(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``texts`` that may have a key in ``keys``, and all other rows; none of those has one.
+def marked(texts: DataFrame, keys: DataFrame, on: str = "key") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``texts`` that may have their ``on`` in ``keys``, and all other rows; none of those has it.
 
-    Every text with a key is marked, and few others, so a join has to shuffle
-    little more than the texts that it needs.  Only the marks are broadcast, and
+    Every row with a key is marked, and few others, so a join has to shuffle
+    little more than the rows that it needs.  Only the marks are broadcast, and
     their size is bounded: more keys mark more texts without need.
     """
     bits = min(MARK_BUCKETS, keys.count() * MARK_BITS // MARK_BUCKET + 1) * MARK_BUCKET
-    slot = F.pmod(F.xxhash64("key"), F.lit(bits))
+    slot = F.pmod(F.xxhash64(on), F.lit(bits))
     bucket, bit = F.floor(slot / F.lit(MARK_BUCKET)).cast("int"), F.pmod(slot, F.lit(MARK_BUCKET))
     marks = keys.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_marks"))
     rows = texts.withColumns({"_bucket": bucket, "_bit": bit.cast("int")})
@@ -280,7 +280,7 @@ def repeated_spans(
     again = store(again, "again")  # a table of its own, so that the join can split hot anchors
     columns = ["key", "n", "anchor", "region", "start", "left", "count"]
     places = store(
-        regions.join(again, "anchor", "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")), "places"
+        marked(regions, again, "anchor")[0].join(again, "anchor", "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")), "places"
     )
     one = F.min(F.struct("key", "n", "start", "left", "count")).alias("one")
     kinds = store(places.groupBy("anchor", "region").agg(F.sum("copies").alias("copies"), one), "kinds")
